@@ -26,6 +26,7 @@ from ragscope.operators.judge import (TEMPLATES, ExpressionResponder, Judge, bui
                                       cache_key)
 from ragscope.operators.metrics import ALL_JUDGE, METRIC_REQUIREMENTS
 from ragscope.operators.score import score
+from ragscope.session import spread
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -265,11 +266,11 @@ def _sql_scores_ab_cte() -> str:
 
 def q_token_f1_by_lang(spark, sf_dir):
     """Token F1 of each document against its benchmark item, by lang."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
     j = d.join(b, (d.doc_id % REF_ITEMS) == b.item_id, "inner")
-    f1 = X.token_f1("text", "ref")
-    s = j.select("lang", f1.alias("f1"))
+    sets = j.select("lang", X.token_set("text").alias("a"), X.token_set("ref").alias("r"))
+    s = sets.select("lang", X.token_f1_from_sets("a", "r").alias("f1"))
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
                                  *[_r6(c).alias(n) for c, n in
                                    zip(S.distribution(F.col("f1")),
@@ -288,7 +289,7 @@ FROM j GROUP BY lang"""
 
 def q_format_rules_by_role(spark, sf_dir):
     """X4-X7 over whole conversation texts, per role."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"))
     t = F.coalesce(F.col("text"), F.lit(""))
     return c.groupBy("role").agg(
         F.count(F.lit(1)).alias("n"),
@@ -326,7 +327,7 @@ FROM samples_docs"""
 
 def q_toxicity_pattern_hits(spark, sf_dir):
     """Documents whose whole text hits a toxic pattern."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     h = d.select("doc_id", X.toxic_hits("text").alias("hits"))
     return h.where(F.size("hits") > 0).select("doc_id", F.size("hits").alias("n_hits"),
                                               F.lower(F.array_join("hits", "|")).alias("hits"))

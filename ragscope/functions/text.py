@@ -60,6 +60,18 @@ def token_set(text) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), 0))
 
 
+def token_f1_from_counts(na, nr, common) -> Column:
+    """X2 from set sizes: both empty -> 1.0; one empty or no overlap -> 0.0;
+    else ``2pr/(p+r)`` with ``p = common/na`` and ``r = common/nr``."""
+    na, nr, common = _col(na), _col(nr), _col(common)
+    precision = common / na
+    recall = common / nr
+    f1 = F.lit(2.0) * precision * recall / (precision + recall)
+    return (F.when((na == 0) & (nr == 0), F.lit(1.0))
+            .when((na == 0) | (nr == 0) | (common == 0), F.lit(0.0))
+            .otherwise(f1))
+
+
 def token_f1_from_sets(a_tokens, r_tokens) -> Column:
     """X2 on precomputed token sets.
 
@@ -77,13 +89,25 @@ def token_f1_from_sets(a_tokens, r_tokens) -> Column:
 
 
 def token_f1(answer, reference) -> Column:
-    """Token-set F1 of two texts."""
+    """Token-set F1 of two texts.
+
+    For large inputs select ``token_set`` of each side into columns first and
+    call ``token_f1_from_sets``: the sets are then computed once per row.
+    """
     return token_f1_from_sets(token_set(answer), token_set(reference))
 
 
+def _spaces(text, keep_newline: bool = False) -> Column:
+    """Every Python whitespace character mapped to a plain space (``translate``
+    is a per-character table lookup, far cheaper than a Unicode class)."""
+    chars = PY_WHITESPACE.replace("\n", "") if keep_newline else PY_WHITESPACE
+    return F.translate(_col(text), chars, " " * len(chars))
+
+
 def word_count(text) -> Column:
     """Number of words as ``len(text.split())`` counts them."""
-    return F.size(F.regexp_extract_all(_col(text), F.lit(f"[^{WS_CLASS}]+"), 0))
+    t = F.trim(_spaces(text))
+    return F.when(t == F.lit(""), F.lit(0)).otherwise(F.size(F.split(t, " +")))
 
 
 def _ws(rule: str, no_nl: bool = False) -> str:
@@ -96,11 +120,12 @@ def starts_with_heading(text) -> Column:
 
 
 def _count_line_rule(text, rule: str) -> Column:
-    # Every line of the stripped text that matches the rule; ``(?m)`` with
-    # ``(?d)`` makes ``^`` mean "after \n" only, and the whitespace class
-    # without \n keeps a match inside one line, as a per-line test does.
-    pattern = "(?md)(?U)" + _ws(rule, no_nl=True)
-    return F.size(F.regexp_extract_all(py_strip(text), F.lit(pattern), 0))
+    # Lines of the stripped text matching the rule. Whitespace other than \n
+    # becomes a space first, so \n is the only line terminator left and
+    # ``(?m)^`` marks exactly the line starts of ``split("\n")``; `` `` inside a
+    # line cannot cross into the next one.
+    pattern = "(?m)(?U)" + rule.replace(r"\s", " ")
+    return F.regexp_count(_spaces(py_strip(text), keep_newline=True), F.lit(pattern))
 
 
 def bullet_items(text) -> Column:

@@ -100,9 +100,9 @@ def _section_value(kind: str, s) -> Column:
     if kind == "reference_opt":
         return F.nullif(s["reference"], F.lit(""))
     if kind == "context_bullets":
-        return context_bullets(s["context"])
+        return s["_ctx_bullets"] if "_ctx_bullets" in s else context_bullets(s["context"])
     if kind == "context_numbered":
-        return context_numbered(s["context"])
+        return s["_ctx_numbered"] if "_ctx_numbered" in s else context_numbered(s["context"])
     raise ValueError(kind)
 
 

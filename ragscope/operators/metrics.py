@@ -85,6 +85,9 @@ class MetricSpec:
     finish: Callable[[dict, Column, dict], Column] | None = None  # (reply, pre, opts) -> RESULT
     default_score: float = 0.0
     options: dict = field(default_factory=dict)
+    # Per-sample values computed once before the metrics are stacked:
+    # (sample cols) -> {column name: expression}.
+    features: Callable[[dict], dict] | None = None
 
     @property
     def uses_judge(self) -> bool:
@@ -186,16 +189,30 @@ def _toxic_guard_result(s):
 # Deterministic format compliance (M8)
 # ---------------------------------------------------------------------------
 
+def format_features(s: dict) -> dict:
+    """Values M8 reads more than once, computed once per sample."""
+    answer = F.coalesce(s["answer"], F.lit(""))
+    fmt = F.try_element_at(s["metadata"], F.lit("expected_format"))
+    return {
+        "_fc_json": json_check(F.when(fmt == F.lit("json"), answer)),
+        "_fc_bullets": F.when(fmt == F.lit("bullet_list"), X.bullet_items(answer)),
+        "_fc_numbered": F.when(fmt == F.lit("numbered_list"), X.numbered_items(answer)),
+        "_fc_heading": F.when(fmt == F.lit("markdown_heading"), X.starts_with_heading(answer)),
+        "_fc_words": X.word_count(answer),
+    }
+
+
 def format_compliance_result(s: dict, opts: dict | None = None) -> Column:
     """M8: format rule and word bounds from the sample's metadata."""
-    answer = F.coalesce(s["answer"], F.lit(""))
+    if "_fc_words" not in s:
+        s = {**s, **{k: v for k, v in format_features(s).items()}}
     md = s["metadata"]
     fmt = F.try_element_at(md, F.lit("expected_format"))
     has_fmt = fmt.isNotNull() & (fmt != F.lit(""))
-    js = json_check(F.when(fmt == F.lit("json"), answer))
-    n_bullets = X.bullet_items(answer)
-    n_numbered = X.numbered_items(answer)
-    heading = X.starts_with_heading(answer)
+    js = s["_fc_json"]
+    n_bullets = s["_fc_bullets"]
+    n_numbered = s["_fc_numbered"]
+    heading = s["_fc_heading"]
     fmt_passed = (F.when(fmt == "json", js["valid"])
                   .when(fmt == "markdown_heading", heading)
                   .when(fmt == "bullet_list", n_bullets >= 2)
@@ -215,7 +232,7 @@ def format_compliance_result(s: dict, opts: dict | None = None) -> Column:
     min_raw = F.try_element_at(md, F.lit("min_words"))
     max_raw = F.try_element_at(md, F.lit("max_words"))
     has_bounds = min_raw.isNotNull() | max_raw.isNotNull()
-    wc = X.word_count(answer)
+    wc = s["_fc_words"]
     min_fail = F.coalesce(min_raw.isNotNull() & (wc < min_raw.try_cast("double")), F.lit(False))
     max_fail = F.coalesce(max_raw.isNotNull() & (wc > max_raw.try_cast("double")), F.lit(False))
     all_passed = ~fmt_failed & ~min_fail & ~max_fail
@@ -240,9 +257,11 @@ def format_compliance_result(s: dict, opts: dict | None = None) -> Column:
 
 
 def _correctness_pre(s, opts):
-    return F.when(~_no_reference(s),
-                  X.token_f1_from_sets(s["_answer_tokens"],
-                                       X.token_set(F.coalesce(s["reference"], F.lit("")))))
+    if "_tok_common" in s:
+        f1 = X.token_f1_from_counts(s["_tok_na"], s["_tok_nr"], s["_tok_common"])
+    else:
+        f1 = X.token_f1(F.coalesce(s["answer"], F.lit("")), F.coalesce(s["reference"], F.lit("")))
+    return F.when(~_no_reference(s), f1)
 
 
 # ---------------------------------------------------------------------------
@@ -275,7 +294,7 @@ def builtin_metrics() -> list[MetricSpec]:
                               Guard(_no_reference, _guarded(NO_REFERENCE_RECALL))]),
         MetricSpec(name="format_compliance",
                    description="Answer follows the requested format (deterministic)",
-                   native=format_compliance_result),
+                   native=format_compliance_result, features=format_features),
         _judge_metric("hallucination", "Unsupported claims (1.0 is bad)", ("context",),
                       finish=_finish_hallucination),
         _judge_metric("toxicity", "Harmful content; pattern scan first, then the judge",

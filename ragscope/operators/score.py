@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragscope.functions import text as X
-from ragscope.operators.judge import Judge, cache_key, judge_prompts, parse_reply, reply_fields
+from ragscope.operators.judge import (ExpressionResponder, Judge, ask, build_prompt, cache_key,
+                                      parse_reply, reply_fields)
 from ragscope.operators.metrics import RESULT, MetricRegistry, MetricSpec, default_registry, result
-from ragscope.schemas import SCORE_COLUMNS
+from ragscope.schemas import SCORES
+from ragscope.session import spread
 
 SAMPLE_COLUMNS = ["sample_id", "query", "context", "answer", "reference", "metadata"]
 
@@ -63,7 +65,6 @@ def _requests(specs: list[MetricSpec], s: dict) -> Column:
                 guard_result = F.when(g.when(s), g.result(s)).otherwise(guard_result)
             for g in spec.guards:
                 fired = fired | g.when(s)
-            from ragscope.operators.judge import build_prompt
             prompt = F.when(~fired, build_prompt(spec.template, s))
             pre_result = guard_result
             aux = spec.pre(s, opts).cast("double") if spec.pre else F.lit(None).cast("double")
@@ -73,51 +74,103 @@ def _requests(specs: list[MetricSpec], s: dict) -> Column:
     return F.array(*reqs)
 
 
+def _features(specs: list[MetricSpec], base: DataFrame) -> DataFrame:
+    """Per-sample values used by several metrics, computed once per row
+    before the metrics are stacked (one projection, no shuffle)."""
+    s = {c: F.col(c) for c in base.columns}
+    names = {sp.name for sp in specs}
+    cols: dict[str, Column] = {}
+    if any(sp.pre for sp in specs):
+        cols["_answer_tokens"] = X.token_set(F.coalesce(s["answer"], F.lit("")))
+        cols["_ref_tokens"] = X.token_set(F.coalesce(s["reference"], F.lit("")))
+    staged = base.select("*", *[c.alias(n) for n, c in cols.items()]) if cols else base
+    if "_answer_tokens" in cols:
+        # Set sizes as columns so F1 reads each intersection once.
+        a, r = F.col("_answer_tokens"), F.col("_ref_tokens")
+        staged = staged.select("*", F.size(a).alias("_tok_na"), F.size(r).alias("_tok_nr"),
+                               F.size(F.array_intersect(a, r)).alias("_tok_common")) \
+            .drop("_answer_tokens", "_ref_tokens")
+    base, cols = staged, {}
+    if "toxicity" in names:
+        cols["_hits"] = X.toxic_hits(F.coalesce(s["answer"], F.lit("")))
+    kinds = {k for sp in specs if sp.template for _, k in sp.template.sections}
+    if "context_bullets" in kinds:
+        cols["_ctx_bullets"] = X.context_bullets(s["context"])
+    if "context_numbered" in kinds:
+        cols["_ctx_numbered"] = X.context_numbered(s["context"])
+    for sp in specs:
+        if sp.features:
+            cols.update(sp.features(s))
+    return base.select("*", *[c.alias(n) for n, c in cols.items()]) if cols else base
+
+
+def _finish(judged: list[MetricSpec], df: DataFrame) -> DataFrame:
+    """Parse each reply once into a column, then apply each metric's finish
+    (one CASE on ``metric``). The parsed reply is its own column because
+    Catalyst does not share subexpressions across CASE branches."""
+    parsed = df.withColumn("_v", parse_reply(F.col("response")))
+    v = F.col("_v")
+    finished = F.lit(None).cast(RESULT)
+    for spec in reversed(judged):
+        fields = reply_fields(v, spec.default_score)
+        finished = F.when(F.col("metric") == spec.name,
+                          spec.finish(fields, F.col("aux"), spec.options)).otherwise(finished)
+    error = F.col("error")
+    err = F.coalesce(error, F.lit("no JSON object in the judge reply"))
+    res = F.when(F.col("pre").isNotNull(), F.col("pre")) \
+        .when(error.isNotNull() | v.isNull(),
+              result(None, "judge_error", reasoning=err, method="llm_judge")) \
+        .otherwise(finished)
+    return parsed.select("run_id", "sample_id", "metric", res.alias("_res")) \
+        .select("run_id", "sample_id", "metric", "_res.*")
+
+
 def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str = "run",
           registry: MetricRegistry | None = None, options: dict | None = None) -> DataFrame:
-    """Score every sample with every metric; returns SCORES rows."""
+    """Score every sample with every metric; returns SCORES rows.
+
+    Plan: samples -> features -> one explode into (sample, metric) requests.
+    Rows resolved without the judge (deterministic metrics, guards, pattern
+    hits) keep their result. Judge requests: with a pure-expression judge and
+    no cache the reply is computed in the same projection (nothing to
+    deduplicate); otherwise the distinct prompts are answered once (see
+    ``judge.ask``) and joined back on the cache key.
+    """
     specs = resolve_metrics(metrics, registry, options)
+    spark = samples.sparkSession
     if not specs:
-        return samples.sparkSession.createDataFrame([], "run_id string").select(
-            *[F.lit(None).alias(c) for c in SCORE_COLUMNS]).limit(0)
+        return spark.createDataFrame([], SCORES)
     judged = [sp for sp in specs if sp.uses_judge]
     if judged and judge is None:
         raise ValueError(f"metrics {[sp.name for sp in judged]} need a judge")
 
-    base = normalize_samples(samples)
-    names = {sp.name for sp in specs}
-    if "answer_correctness" in names or any(sp.pre for sp in specs):
-        base = base.withColumn("_answer_tokens", X.token_set(F.coalesce("answer", F.lit(""))))
-    if "toxicity" in names:
-        base = base.withColumn("_hits", X.toxic_hits(F.coalesce("answer", F.lit(""))))
+    base = _features(specs, spread(normalize_samples(samples)))
     s = {c: F.col(c) for c in base.columns}
-
     exploded = (base.select(F.lit(run_id).alias("run_id"), "sample_id",
                             F.explode(_requests(specs, s)).alias("r"))
                 .select("run_id", "sample_id", "r.*"))
 
-    def out(df, res: Column):
+    def out(df: DataFrame, res: Column) -> DataFrame:
         return df.select("run_id", "sample_id", "metric", res.alias("_res")) \
                  .select("run_id", "sample_id", "metric", "_res.*")
 
     if not judged:
         return out(exploded, F.col("pre"))
 
-    resolved = out(exploded.where(F.col("prompt").isNull()), F.col("pre"))
-    asked = exploded.where(F.col("prompt").isNotNull()).select(
-        "run_id", "sample_id", "metric", "aux", "prompt",
-        cache_key(judge.model, judge.temperature, F.col("prompt")).alias("cache_key"))
-    replied = judge_prompts(samples.sparkSession, judge, asked) \
-        .withColumn("_v", parse_reply(F.col("response")))
-
-    finished = F.lit(None).cast(RESULT)
-    for spec in reversed(judged):
-        fields = reply_fields(F.col("_v"), spec.default_score)
-        finished = F.when(F.col("metric") == spec.name,
-                          spec.finish(fields, F.col("aux"), spec.options)).otherwise(finished)
-    err = F.when(F.col("error").isNotNull(), F.col("error")) \
-        .otherwise(F.lit("no JSON object in the judge reply"))
-    finished = F.when(F.col("error").isNotNull() | F.col("_v").isNull(),
-                      result(None, "judge_error", reasoning=err, method="llm_judge")) \
-        .otherwise(finished)
-    return resolved.unionByName(out(replied, finished))
+    prompt = F.col("prompt")
+    if isinstance(judge.responder, ExpressionResponder) and judge.cache is None:
+        replied = exploded.select("run_id", "sample_id", "metric", "aux", "pre",
+                                  judge.responder.fn(prompt).alias("response"),
+                                  F.lit(None).cast("string").alias("error"))
+        return _finish(judged, replied)
+
+    key = cache_key(judge.model, judge.temperature, prompt)
+    replies = ask(judge, exploded.where(prompt.isNotNull())
+                  .select(key.alias("cache_key"), "prompt"))
+    # Rows that need no reply get a key that can never match a SHA-256 hex
+    # (and spreads evenly), so one left join serves every row; the prompt
+    # text is dropped before the shuffle.
+    own_key = F.concat(F.lit("-"), F.col("sample_id").cast("string"), F.lit("-"), F.col("metric"))
+    keyed = exploded.select("run_id", "sample_id", "metric", "aux", "pre",
+                            F.when(prompt.isNull(), own_key).otherwise(key).alias("cache_key"))
+    return _finish(judged, keyed.join(replies, "cache_key", "left"))

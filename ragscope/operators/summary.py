@@ -131,18 +131,19 @@ def pass_flags(samp: DataFrame, threshold: float) -> DataFrame:
 
 
 def histogram(scores: DataFrame, bins: int = 10) -> DataFrame:
-    """A10: equal-width bins ``min(int(score*bins), bins-1)``, empty bins kept."""
+    """A10: equal-width bins ``min(int(score*bins), bins-1)``, empty bins kept.
+
+    One aggregation with a conditional count per bin, then ``posexplode``:
+    every (run, metric) gets all bins without a join or a second scan.
+    """
     v = _valid_score()
     b = F.least(F.floor(v * bins).cast("int"), F.lit(bins - 1))
-    counts = scores.where(v.isNotNull()).groupBy("run_id", "metric", b.alias("bin")) \
-        .agg(F.count(F.lit(1)).alias("count"))
-    # All bins for every (run, metric): one small row per pair, exploded.
-    grid = scores.select("run_id", "metric").distinct() \
-        .select("run_id", "metric", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(counts, ["run_id", "metric", "bin"], "left") \
-        .select("run_id", "metric", "bin",
+    counts = scores.groupBy("run_id", "metric").agg(
+        F.array(*[F.count_if(b == i) for i in range(bins)]).alias("_c"))
+    return counts.select("run_id", "metric", F.posexplode("_c").alias("bin", "count")) \
+        .select("run_id", "metric", F.col("bin").cast("int").alias("bin"),
                 (F.col("bin") / F.lit(float(bins))).alias("lower"),
-                F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+                F.col("count").cast("long").alias("count"))
 
 
 def failures_by_metric(scores: DataFrame, threshold: float) -> DataFrame:

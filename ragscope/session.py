@@ -61,3 +61,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - already set to the same folder
         pass
     return d
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin an under-partitioned input over the cores.
+
+    A single Parquet row group is read by one task; scoring is CPU-heavy
+    per row, so a small input is spread before the work. Inputs that already
+    have enough splits (the normal case on a cluster) are left alone: no
+    shuffle is added there.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - streaming or unsupported plans
+        return df
+    return df.repartition(want) if have < want else df

@@ -81,3 +81,24 @@ def test_preview_and_clamp(spark):
     rows = df.select(X.preview("t"), X.clamp01("s")).collect()
     assert rows[0][0] == "x" * 100 + "..." and rows[0][1] == 1.0
     assert rows[1][0] == "short" and rows[1][1] == 0.0
+
+
+JSON_PROBES = ["NaN", '{"a":1,"a":2}', '{"a":1} x', "1 2", "[1,]", "{'a': 1}", "", "  ",
+               "\n\n  Hello", "plain prose", '  {"score": 0.5}', "true", "-1.5e3", "﻿{}",
+               "Infinity", "\r\n\tx", "[", '"str"']
+
+
+def test_json_check_matches_python(spark):
+    import json
+    from ragscope.functions.jsoncheck import json_check
+
+    def py(t):
+        try:
+            json.loads(t)
+            return True, "Valid JSON"
+        except json.JSONDecodeError as exc:
+            return False, f"Invalid JSON: {exc}"
+
+    rows = _one(spark, JSON_PROBES, json_check(F.col("t")))
+    for t, r in zip(JSON_PROBES, rows):
+        assert (r["valid"], r["detail"]) == py(t), repr(t)
