@@ -571,6 +571,382 @@ FROM (SELECT * FROM m WHERE run_id = 'A') a LEFT JOIN (SELECT * FROM m WHERE run
 ON a.metric = b.metric"""
 
 
+# --- dataset quality (A9, F9, A12), filters (F1, F2), chat pairs ----------
+
+def q_dataset_profile(spark, sf_dir):
+    """Dataset profile of the document samples."""
+    p = Q.profile(samples_docs(spark, sf_dir))
+    return p.select("samples", "with_reference", "with_context",
+                    *[_r6(F.col(c)).alias(c) for c in
+                      ["avg_context_chunks", "avg_query_len", "avg_answer_len"]])
+
+
+SQL_DATASET_PROFILE = f"""
+WITH {SAMPLES_SQL}
+SELECT count(*) AS samples, count(*) FILTER (WHERE coalesce(length(reference), 0) > 0) AS with_reference,
+       count(*) FILTER (WHERE len(context) > 0) AS with_context,
+       round(avg(len(context)), 6) AS avg_context_chunks, round(avg(length(query)), 6) AS avg_query_len,
+       round(avg(length(answer)), 6) AS avg_answer_len
+FROM samples_docs"""
+
+
+def q_dataset_issues(spark, sf_dir):
+    """validation issues by code."""
+    return Q.issues(samples_docs(spark, sf_dir)).groupBy("code", "severity") \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_DATASET_ISSUES = f"""
+WITH {SAMPLES_SQL}
+SELECT code, severity, count(*) AS n FROM (
+  SELECT 'empty_query' AS code, 'error' AS severity FROM samples_docs WHERE {_sql_strip("coalesce(query, '')")} = ''
+  UNION ALL SELECT 'empty_answer', 'error' FROM samples_docs WHERE {_sql_strip("coalesce(answer, '')")} = ''
+  UNION ALL SELECT 'no_context', 'warning' FROM samples_docs WHERE coalesce(len(context), 0) = 0
+  UNION ALL SELECT 'query_equals_answer', 'warning' FROM samples_docs WHERE coalesce(query, '') = coalesce(answer, '')
+) GROUP BY 1, 2"""
+
+
+def q_missing_fields_by_metric(spark, sf_dir):
+    """Rows lacking a field some selected metric needs."""
+    m = Q.missing_fields(samples_docs(spark, sf_dir), ALL_METRICS)
+    return m.select("field", "missing", F.array_join("needed_by", ",").alias("needed_by"))
+
+
+def _needed(field):
+    return ",".join(m for m in ALL_METRICS if field in METRIC_REQUIREMENTS.get(m, ()))
+
+
+SQL_MISSING_FIELDS_BY_METRIC = f"""
+WITH {SAMPLES_SQL}
+SELECT * FROM (
+  SELECT 'context' AS field, count(*) FILTER (WHERE coalesce(len(context), 0) = 0) AS missing,
+         '{_needed("context")}' AS needed_by FROM samples_docs
+  UNION ALL
+  SELECT 'reference', count(*) FILTER (WHERE coalesce(length(reference), 0) = 0),
+         '{_needed("reference")}' FROM samples_docs) WHERE missing > 0"""
+
+
+def q_filter_by_metadata(spark, sf_dir):
+    """``metadata.lang=en``."""
+    return FL.filter_samples(samples_docs(spark, sf_dir), "metadata.lang=en").select("sample_id")
+
+
+SQL_FILTER_BY_METADATA = f"""
+WITH {SAMPLES_SQL}
+SELECT sample_id FROM samples_docs WHERE lang = 'en'"""
+
+
+def q_sample_n(spark, sf_dir):
+    """exactly 100 samples by a seeded hash order (the limit is the feature)."""
+    return FL.sample_n(samples_docs(spark, sf_dir), 100, seed=7).select("sample_id")
+
+
+def q_chat_turn_pairs(spark, sf_dir):
+    """FIXTURES 2.2: user turn followed by an assistant turn."""
+    c = samples_chat(spark, sf_dir)
+    return c.select("sample_id", F.length("query").alias("qlen"), F.length("answer").alias("alen"),
+                    F.size("context").alias("n_context"))
+
+
+SQL_CHAT_TURN_PAIRS = """
+WITH c AS (SELECT conv_id, turn, role, text,
+                  lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nrole,
+                  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ntext
+           FROM conversations),
+sys AS (SELECT conv_id, arg_min(text, turn) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id)
+SELECT conv_id * 1000 + turn AS sample_id, length(text) AS qlen, length(ntext) AS alen,
+       CAST(CASE WHEN sys.system IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_context
+FROM c LEFT JOIN sys USING (conv_id) WHERE role = 'user' AND nrole = 'assistant'"""
+
+
+# --- judge cache (J3, U5, U7, U8, W3, A15) ---------------------------------
+
+JUDGE_METRICS = [m for m in ALL_METRICS if m != "format_compliance"]
+CACHE_AS_OF = "2024-03-01 00:00:00"
+
+
+def cache_fixture(spark, sf_dir):
+    """FIXTURES 2.4: replies for the prompts of even sample ids, written over
+    60 days. Returns ``(prompts, cache rows)``."""
+    j = standin_judge(MODEL_A)
+    from ragscope.operators.score import prompt_table
+    prompts = prompt_table(samples_docs(spark, sf_dir), JUDGE_METRICS, j, run_id="A")
+    day = F.timestamp_add("DAY", (F.col("sample_id") % 60).cast("int"),
+                          F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    cache = prompts.where(F.col("sample_id") % 2 == 0).select(
+        "cache_key", j.responder.fn(F.col("prompt")).alias("response"), day.alias("created_at"))
+    return prompts, cache
+
+
+def q_cache_hit_miss(spark, sf_dir):
+    """Per metric, prompts answered from the cache and prompts to ask."""
+    prompts, cache = cache_fixture(spark, sf_dir)
+    looked = C.lookup(prompts.select("metric", "cache_key"), C.latest_per_key(cache))
+    return looked.groupBy("metric").agg(F.count(F.lit(1)).alias("prompts"),
+                                        F.count_if("hit").alias("hits"),
+                                        F.count_if(~F.col("hit")).alias("misses"))
+
+
+def _sql_asked() -> str:
+    rows = []
+    for m in JUDGE_METRICS:
+        guard = {"answer_similarity": f"NOT ({_sql_no_ref()})",
+                 "context_precision": f"NOT ({_sql_no_ctx()})",
+                 "context_recall": f"NOT ({_sql_no_ctx()} OR {_sql_no_ref()})",
+                 "toxicity": f"NOT {_sql_toxic_any('answer')}"}.get(m, "true")
+        rows.append(f"SELECT sample_id, '{m}' AS metric, {_sql_prompt(m)} AS prompt "
+                    f"FROM samples_docs WHERE {guard}")
+    return (f"WITH {SAMPLES_SQL},\nasked0 AS ({' UNION ALL '.join(rows)}),\n"
+            f"asked AS (SELECT *, sha256('{MODEL_A}|0.0|' || prompt) AS cache_key FROM asked0),\n"
+            f"cache AS (SELECT cache_key, max(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(sample_id % 60 AS INTEGER))) AS created_at\n"
+            f"          FROM asked WHERE sample_id % 2 = 0 GROUP BY cache_key)")
+
+
+SQL_CACHE_HIT_MISS = f"""
+{_sql_asked()}
+SELECT metric, count(*) AS prompts, count(c.cache_key) AS hits, count(*) - count(c.cache_key) AS misses
+FROM asked a LEFT JOIN cache c USING (cache_key) GROUP BY metric"""
+
+
+def q_cache_evict(spark, sf_dir):
+    """Keep the newest 500 keys (ties on key); the limit is the feature."""
+    _, cache = cache_fixture(spark, sf_dir)
+    kept = C.evict(C.latest_per_key(cache), 500)
+    return kept.select("cache_key", X.short_ts(F.col("created_at")).alias("created_at"))
+
+
+SQL_CACHE_EVICT = f"""
+{_sql_asked()}
+SELECT cache_key, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM cache
+ORDER BY created_at DESC, cache_key ASC LIMIT 500"""
+
+
+def q_cache_purge(spark, sf_dir):
+    """Drop entries older than 30 days before the reference time."""
+    _, cache = cache_fixture(spark, sf_dir)
+    kept = C.purge(C.latest_per_key(cache), 30, F.lit(CACHE_AS_OF).cast("timestamp"))
+    st = C.stats(kept)
+    return kept.groupBy(F.to_date("created_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("entries")).select(F.date_format("day", "yyyy-MM-dd").alias("day"),
+                                                   "entries")
+
+
+SQL_CACHE_PURGE = f"""
+{_sql_asked()}
+SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS entries FROM cache
+WHERE NOT (created_at < TIMESTAMP '{CACHE_AS_OF}' - INTERVAL 30 DAY) GROUP BY 1"""
+
+
+def q_cache_stats(spark, sf_dir):
+    """Entries and reply bytes of the cache."""
+    _, cache = cache_fixture(spark, sf_dir)
+    return C.stats(C.latest_per_key(cache)).select("entry_count")
+
+
+SQL_CACHE_STATS = f"""
+{_sql_asked()}
+SELECT count(*) AS entry_count FROM cache"""
+
+
+# --- history (T1, T2, W1, W2, W5, A14) -------------------------------------
+
+def history_fixture(spark, sf_dir):
+    """FIXTURES 2.4: one run per source; tag = source number % 3; ts = day n."""
+    sc = run_scores(spark, sf_dir, "A")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "source")
+    n = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    samp = S.sample_scores(sc).join(d, "sample_id")
+    runs = samp.groupBy("source").agg(F.avg("overall_score").alias("overall_score"),
+                                      F.count(F.lit(1)).alias("total_samples")) \
+        .select(F.col("source").alias("run_id"),
+                F.timestamp_add("DAY", n, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("ts"),
+                F.concat(F.lit("tag"), (n % 3).cast("string")).alias("tag"),
+                "overall_score", "total_samples")
+    msum = sc.join(d, "sample_id").groupBy(F.col("source").alias("run_id"), "metric") \
+        .agg(F.avg("score").alias("mean"))
+    return runs, msum
+
+
+_SQL_RUNS = f"""{_sql_scores_cte()},
+ss AS (SELECT sample_id, avg(score) AS o FROM scores GROUP BY sample_id),
+r0 AS (SELECT d.source AS run_id, CAST(regexp_extract(d.source, '[0-9]+') AS INTEGER) AS n,
+              avg(o) AS overall_score, count(*) AS total_samples
+       FROM ss JOIN documents d ON d.doc_id = ss.sample_id GROUP BY d.source),
+runs AS (SELECT run_id, TIMESTAMP '2024-01-01 00:00:00' + to_days(n) AS ts, 'tag' || (n % 3) AS tag,
+                overall_score, total_samples FROM r0)"""
+
+
+def q_run_listing(spark, sf_dir):
+    """Ten newest runs."""
+    runs, _ = history_fixture(spark, sf_dir)
+    return H.list_runs(runs, None, 10).select(
+        "run_id", X.short_ts(F.col("ts")).alias("ts"), "tag",
+        _r6(F.col("overall_score")).alias("overall_score"), "total_samples")
+
+
+SQL_RUN_LISTING = f"""
+{_SQL_RUNS}
+SELECT run_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, tag, round(overall_score, 6) AS overall_score,
+       total_samples FROM runs ORDER BY ts DESC, run_id DESC LIMIT 10"""
+
+
+def q_score_trend(spark, sf_dir):
+    """Runs of tag1 oldest first, run number, sparkline level."""
+    runs, _ = history_fixture(spark, sf_dir)
+    return H.trend(runs, "tag1", 20).select("run_number", "run_id", "ts_text",
+                                            _r6(F.col("overall_score")).alias("overall_score"), "level")
+
+
+SQL_SCORE_TREND = f"""
+{_SQL_RUNS},
+listed AS (SELECT * FROM runs WHERE tag = 'tag1' ORDER BY ts DESC, run_id DESC LIMIT 20),
+mm AS (SELECT min(overall_score) AS mn, max(overall_score) AS mx FROM listed)
+SELECT CAST(row_number() OVER (ORDER BY ts, run_id) AS INTEGER) AS run_number, run_id,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text, round(overall_score, 6) AS overall_score,
+       CAST(floor((overall_score - mn) / CASE WHEN mx > mn THEN mx - mn ELSE 1.0 END * 8) AS INTEGER) AS level
+FROM listed, mm"""
+
+
+def q_trend_stats(spark, sf_dir):
+    """A14 T5-style: min, max, mean, latest over the listed runs."""
+    runs, _ = history_fixture(spark, sf_dir)
+    st = H.trend_stats(H.list_runs(runs, None, 20))
+    return st.select("runs", *[_r6(F.col(c)).alias(c) for c in
+                               ["min_score", "max_score", "mean_score", "latest_score"]])
+
+
+SQL_TREND_STATS = f"""
+{_SQL_RUNS},
+listed AS (SELECT * FROM runs ORDER BY ts DESC, run_id DESC LIMIT 20)
+SELECT count(*) AS runs, round(min(overall_score), 6) AS min_score, round(max(overall_score), 6) AS max_score,
+       round(avg(overall_score), 6) AS mean_score, round(arg_max(overall_score, ts), 6) AS latest_score
+FROM listed"""
+
+
+def q_run_over_run_delta(spark, sf_dir):
+    """Per tag and metric, the change against the previous run."""
+    runs, msum = history_fixture(spark, sf_dir)
+    r = H.run_over_run(runs, msum)
+    return r.select("tag", "metric", "run_id", _r6(F.col("mean")).alias("mean"),
+                    _r6(F.col("previous")).alias("previous"), _r6(F.col("delta")).alias("delta"))
+
+
+SQL_RUN_OVER_RUN_DELTA = f"""
+{_SQL_RUNS},
+ms AS (SELECT d.source AS run_id, s.metric, avg(s.score) AS mean FROM scores s
+       JOIN documents d ON d.doc_id = s.sample_id GROUP BY 1, 2),
+j AS (SELECT r.tag, ms.metric, ms.run_id, ms.mean,
+             lag(ms.mean) OVER (PARTITION BY r.tag, ms.metric ORDER BY r.ts, ms.run_id) AS previous
+      FROM ms JOIN runs r USING (run_id))
+SELECT tag, metric, run_id, round(mean, 6) AS mean, round(previous, 6) AS previous,
+       round(mean - previous, 6) AS delta FROM j"""
+
+
+# --- judge reply parsing (X10, X11) ----------------------------------------
+
+def q_judge_reply_parse(spark, sf_dir):
+    """Replies in four shapes built from conversation texts (bare
+    object, fenced block, object inside prose, no object) parsed back."""
+    from ragscope.operators.judge import parse_reply, reply_fields
+    c = table(spark, sf_dir, "conversations")
+    sc = ((F.length("text") % 101) / F.lit(100.0)).cast("string")
+    obj = F.concat(F.lit('{"score": '), sc, F.lit(', "reasoning": "r"}'))
+    k = F.col("turn") % 4
+    reply = (F.when(k == 0, obj)
+             .when(k == 1, F.concat(F.lit("Verdict:\n```json\n"), obj, F.lit("\n```")))
+             .when(k == 2, F.concat(F.lit("I would say "), obj, F.lit(" overall.")))
+             .otherwise(F.concat(F.lit("score "), sc, F.lit(" without an object"))))
+    f = reply_fields(parse_reply(reply), 0.0)
+    return c.select("conv_id", "turn", f["score"].alias("score"), f["status"].alias("status"))
+
+
+SQL_JUDGE_REPLY_PARSE = """
+SELECT conv_id, turn,
+       CASE WHEN turn % 4 = 3 THEN NULL ELSE (length(text) % 101) / 100.0::DOUBLE END AS score,
+       CASE WHEN turn % 4 = 3 THEN 'judge_error' ELSE 'ok' END AS status
+FROM conversations"""
+
+
+# --- sources and sinks (S1-S9, S17), streaming (R1, R2, R4) ----------------
+
+def _scratch(spark, name):
+    import uuid
+    from ragscope.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def q_jsonl_roundtrip(spark, sf_dir):
+    """Samples written as JSON Lines and read back."""
+    from ragscope.sources.reports import write_samples
+    from ragscope.sources.samples import read_jsonl
+    path = _scratch(spark, "jsonl")
+    write_samples(samples_docs(spark, sf_dir), path, "jsonl")
+    back, _ = read_jsonl(spark, path)
+    return back.select("sample_id", "query", "answer", "reference",
+                       F.size("context").alias("n_context"),
+                       F.try_element_at("metadata", F.lit("expected_format")).alias("expected_format"))
+
+
+SQL_JSONL_ROUNDTRIP = f"""
+WITH {SAMPLES_SQL}
+SELECT sample_id, query, answer, reference, CAST(len(context) AS INTEGER) AS n_context, expected_format
+FROM samples_docs"""
+
+
+def q_csv_context_parse(spark, sf_dir):
+    """CSV with JSON-array context (even ids) and pipe context
+    (odd ids), metadata as JSON text, read back."""
+    from ragscope.sources.samples import read_csv
+    path = _scratch(spark, "csv")
+    sd = samples_docs(spark, sf_dir)
+    ctx = F.when(F.col("sample_id") % 2 == 0, F.to_json("context")) \
+        .otherwise(F.array_join("context", " | "))
+    sd.select("sample_id", "query", ctx.alias("context"), "answer",
+              F.coalesce("reference", F.lit("")).alias("reference"),
+              F.to_json("metadata").alias("metadata")) \
+        .write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    back, _ = read_csv(spark, path)
+    return back.select("sample_id", F.size("context").alias("n_context"),
+                       F.try_element_at("metadata", F.lit("lang")).alias("lang"),
+                       F.col("reference").isNull().alias("no_reference"))
+
+
+def q_rejects(spark, sf_dir):
+    """JSON Lines with lines that are not JSON (the text's first line for
+    ids ending in 0) and objects without ``answer`` (ids ending in 1)."""
+    from ragscope.sources.samples import read_jsonl
+    path = _scratch(spark, "rejects")
+    sd = samples_docs(spark, sf_dir)
+    k = F.col("sample_id") % 10
+    good = F.to_json(F.struct("sample_id", "query", "context", "answer", "reference", "metadata"))
+    no_answer = F.to_json(F.struct("sample_id", "query", "context"))
+    line = F.when(k == 0, F.col("query")).when(k == 1, no_answer).otherwise(good)
+    sd.select(line.alias("value")).write.mode("overwrite").text(path)
+    _, rej = read_jsonl(spark, path)
+    return rej.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_stream_scores(spark, sf_dir):
+    """JSON Lines files as a stream, format compliance per row,
+    running per-metric summary (availableNow trigger)."""
+    from ragscope.sources.reports import write_samples
+    from ragscope.streaming.stream import (running_summary, run_to_table, stream_samples,
+                                           stream_scores)
+    import uuid
+    path = _scratch(spark, "stream-in")
+    write_samples(samples_docs(spark, sf_dir).repartition(4), path, "jsonl")
+    good, _ = stream_samples(spark, path, max_files_per_trigger=1)
+    summ = running_summary(stream_scores(good, ["format_compliance"], run_id="S"), THRESHOLD)
+    out = run_to_table(summ, f"stream_scores_{uuid.uuid4().hex[:8]}")
+    return out.select("metric", "n", _r6(F.col("mean")).alias("mean"), "min", "max", "pass_count")
+
+
+SQL_STREAM_SCORES = f"""
+WITH {SAMPLES_SQL}, f AS (SELECT {_sql_format_score()} AS score FROM samples_docs)
+SELECT 'format_compliance' AS metric, count(score) AS n, round(avg(score), 6) AS mean, min(score) AS min,
+       max(score) AS max, count(*) FILTER (WHERE score >= {THRESHOLD}) AS pass_count FROM f"""
+
+
 # ---------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -597,6 +973,25 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "scores_wide": (q_scores_wide, SQL_SCORES_WIDE),
     "compare_runs": (q_compare_runs, SQL_COMPARE_RUNS),
     "regression_check": (q_regression_check, SQL_REGRESSION_CHECK),
+    "dataset_profile": (q_dataset_profile, SQL_DATASET_PROFILE),
+    "dataset_issues": (q_dataset_issues, SQL_DATASET_ISSUES),
+    "missing_fields_by_metric": (q_missing_fields_by_metric, SQL_MISSING_FIELDS_BY_METRIC),
+    "filter_by_metadata": (q_filter_by_metadata, SQL_FILTER_BY_METADATA),
+    "sample_n": (q_sample_n, None),
+    "chat_turn_pairs": (q_chat_turn_pairs, SQL_CHAT_TURN_PAIRS),
+    "cache_hit_miss": (q_cache_hit_miss, SQL_CACHE_HIT_MISS),
+    "cache_evict": (q_cache_evict, SQL_CACHE_EVICT),
+    "cache_purge": (q_cache_purge, SQL_CACHE_PURGE),
+    "cache_stats": (q_cache_stats, SQL_CACHE_STATS),
+    "run_listing": (q_run_listing, SQL_RUN_LISTING),
+    "score_trend": (q_score_trend, SQL_SCORE_TREND),
+    "trend_stats": (q_trend_stats, SQL_TREND_STATS),
+    "run_over_run_delta": (q_run_over_run_delta, SQL_RUN_OVER_RUN_DELTA),
+    "judge_reply_parse": (q_judge_reply_parse, SQL_JUDGE_REPLY_PARSE),
+    "jsonl_roundtrip": (q_jsonl_roundtrip, SQL_JSONL_ROUNDTRIP),
+    "csv_context_parse": (q_csv_context_parse, None),
+    "rejects": (q_rejects, None),
+    "stream_scores": (q_stream_scores, SQL_STREAM_SCORES),
 }
 
 

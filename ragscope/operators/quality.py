@@ -63,7 +63,7 @@ def missing_fields(samples: DataFrame, metrics: list[str]) -> DataFrame:
     missing = {"reference": ~_has_reference(), "context": ~_has_context()}
     agg = samples.agg(*[F.count_if(missing[f]).alias(f) for f in need])
     rows = [F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("missing"),
-                     F.array(*[F.lit(m) for m in sorted(ms)]).alias("needed_by"))
+                     F.array(*[F.lit(m) for m in ms]).alias("needed_by"))
             for f, ms in need.items()]
     return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("missing > 0")
 

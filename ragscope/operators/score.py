@@ -174,3 +174,19 @@ def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str =
     keyed = exploded.select("run_id", "sample_id", "metric", "aux", "pre",
                             F.when(prompt.isNull(), own_key).otherwise(key).alias("cache_key"))
     return _finish(judged, keyed.join(replies, "cache_key", "left"))
+
+
+def prompt_table(samples: DataFrame, metrics, judge: Judge, run_id: str = "run",
+                 registry: MetricRegistry | None = None) -> DataFrame:
+    """The judge requests of a run: ``(run_id, sample_id, metric, cache_key,
+    prompt)`` for rows no guard resolved (X9, X13)."""
+    specs = [sp for sp in resolve_metrics(metrics, registry) if sp.uses_judge]
+    base = _features(specs, spread(normalize_samples(samples)))
+    s = {c: F.col(c) for c in base.columns}
+    exploded = (base.select(F.lit(run_id).alias("run_id"), "sample_id",
+                            F.explode(_requests(specs, s)).alias("r"))
+                .select("run_id", "sample_id", "r.metric", "r.prompt")
+                .where(F.col("prompt").isNotNull()))
+    return exploded.select("run_id", "sample_id", "metric",
+                           cache_key(judge.model, judge.temperature, F.col("prompt")).alias("cache_key"),
+                           "prompt")
