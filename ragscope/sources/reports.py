@@ -66,9 +66,10 @@ def results_table(scores: DataFrame, metrics: list[str]) -> DataFrame:
     pos = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric"))
     item = F.struct(pos.alias("pos"), F.col("metric").alias("name"), F.col("score"),
                     F.col("details"))
+    by_pos = lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
     return scores.groupBy("run_id", "sample_id").agg(
         F.coalesce(F.avg("score"), F.lit(0.0)).alias("overall_score"),
-        F.sort_array(F.collect_list(item)).alias("_m")) \
+        F.array_sort(F.collect_list(item), by_pos).alias("_m")) \
         .select("run_id", F.col("sample_id").alias("sample_index"), "overall_score",
                 F.transform("_m", lambda x: x.dropFields("pos")).alias("metrics"))
 
