@@ -55,7 +55,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
         d = tempfile.mkdtemp(prefix="ragscope-ckpt-", dir=os.environ.get("RAGSCOPE_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
+            pass
     try:
         spark.sparkContext.setCheckpointDir(d)
     except Exception:  # noqa: BLE001 - already set to the same folder

@@ -39,3 +39,29 @@ def test_evaluate_weights_and_verdict(spark):
     m = out.metric_summary.first()
     assert abs(s["overall_score"] - m["mean"]) < 1e-12
     assert out.passed() == (s["fail_count"] == 0 and s["total_samples"] > 0)
+
+
+def test_report_roundtrip_and_baseline(spark, scratch):
+    from ragscope.operators import compare as CMP
+    from ragscope.operators.score import score
+    from ragscope.sources.reports import (read_baseline, read_report, report_to_scores,
+                                          results_table, write_json_document)
+    sd = E.samples_docs(spark, E.SF0001)
+    sc = score(sd, ["format_compliance"], run_id="r1")
+    ms = {r["metric"]: r["mean"] for r in
+          __import__("ragscope.operators.summary", fromlist=["x"]).metric_summary(sc).collect()}
+    summary = {"total_samples": 200, "overall_score": 0.5,
+               "metric_scores": {"format_compliance": {"mean": ms["format_compliance"]},
+                                 "legacy": 0.25}}
+    path = os.path.join(scratch, "rep.json")
+    write_json_document(spark, summary, results_table(sc, ["format_compliance"]), path,
+                        metadata={"version": "x"})
+    rep = read_report(spark, path)
+    base = {r["metric"]: r["mean"] for r in read_baseline(spark, path).collect()}
+    assert base == {"format_compliance": ms["format_compliance"], "legacy": 0.25}
+    back = report_to_scores(rep)
+    assert back.count() == 200
+    assert back.agg(F.avg("score")).first()[0] == sc.agg(F.avg("score")).first()[0]
+    reg = CMP.check_regression(sc, read_baseline(spark, path), 0.05)
+    assert {r["metric"]: r["passed"] for r in reg.collect()} == {"format_compliance": True,
+                                                                 "legacy": False}
