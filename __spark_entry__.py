@@ -25,7 +25,7 @@ from ragscope.operators import cache as C
 from ragscope.operators.judge import (TEMPLATES, ExpressionResponder, Judge, build_prompt,
                                       cache_key)
 from ragscope.operators.metrics import ALL_JUDGE, METRIC_REQUIREMENTS
-from ragscope.operators.score import score
+from ragscope.operators.score import score, score_runs
 from ragscope.session import spread
 
 SF0001 = "/root/testdata/sf0.001"
@@ -100,6 +100,12 @@ def run_scores(spark: SparkSession, sf_dir: str, run: str = "A", metrics=None) -
                  judge=standin_judge(model), run_id=run)
 
 
+def run_scores_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs A and B (two stand-in judges) scored in one pass over the samples."""
+    return score_runs(samples_docs(spark, sf_dir), ALL_METRICS,
+                      {"A": standin_judge(MODEL_A), "B": standin_judge(MODEL_B)})
+
+
 def _r6(c):
     return F.round(c, 6)
 
@@ -536,7 +542,7 @@ FROM scores GROUP BY sample_id"""
 
 def q_compare_runs(spark, sf_dir):
     """Run A against run B per metric (full outer on metric)."""
-    sc = run_scores(spark, sf_dir, "A").unionByName(run_scores(spark, sf_dir, "B"))
+    sc = run_scores_ab(spark, sf_dir)
     m = S.metric_summary(sc)
     cmp = CMP.compare(m.where(F.col("run_id") == "A"), m.where(F.col("run_id") == "B"))
     return cmp.select("metric", _r6(F.col("score_a")).alias("score_a"),

@@ -190,3 +190,38 @@ def prompt_table(samples: DataFrame, metrics, judge: Judge, run_id: str = "run",
     return exploded.select("run_id", "sample_id", "metric",
                            cache_key(judge.model, judge.temperature, F.col("prompt")).alias("cache_key"),
                            "prompt")
+
+
+def score_runs(samples: DataFrame, metrics, judges: dict, registry: MetricRegistry | None = None,
+               options: dict | None = None) -> DataFrame:
+    """Several runs (one judge each) over the same samples.
+
+    With pure-expression judges the features and prompts are built once per
+    (sample, metric) and fanned out over the runs by a second explode; other
+    judges are scored one run at a time (each run has its own judge stage).
+    """
+    inline = all(isinstance(j.responder, ExpressionResponder) and j.cache is None
+                 for j in judges.values())
+    if not inline or len(judges) < 2:
+        out = None
+        for rid, j in judges.items():
+            df = score(samples, metrics, judge=j, run_id=rid, registry=registry, options=options)
+            out = df if out is None else out.unionByName(df)
+        return out
+    specs = resolve_metrics(metrics, registry, options)
+    judged = [sp for sp in specs if sp.uses_judge]
+    base = _features(specs, spread(normalize_samples(samples)))
+    s = {c: F.col(c) for c in base.columns}
+    per_metric = (base.select("sample_id", F.explode(_requests(specs, s)).alias("r"))
+                  .select("sample_id", "r.*"))
+    runs = per_metric.select("*", F.explode(F.array(*[F.lit(r) for r in judges])).alias("run_id"))
+    prompt = F.col("prompt")
+    reply = F.lit(None).cast("string")
+    for rid, j in reversed(list(judges.items())):
+        reply = F.when(F.col("run_id") == rid, j.responder.fn(prompt)).otherwise(reply)
+    replied = runs.select("run_id", "sample_id", "metric", "aux", "pre",
+                          F.when(prompt.isNotNull(), reply).alias("response"),
+                          F.lit(None).cast("string").alias("error"))
+    if not judged:
+        return replied.select("run_id", "sample_id", "metric", "pre.*")
+    return _finish(judged, replied)

@@ -150,3 +150,16 @@ def test_batch_judge_with_cache_matches_expression(spark, scratch):
         AssertionError("called"))), model="m", cache=cache)) \
         .select("sample_id", "metric", "score").orderBy("sample_id", "metric").collect()
     assert c == a
+
+
+def test_score_runs_equals_per_run(spark):
+    import __spark_entry__ as E
+    from ragscope.operators.score import score_runs
+    sd = E.samples_docs(spark, E.SF0001)
+    metrics = ["format_compliance", "answer_correctness", "toxicity", "context_recall"]
+    judges = {"A": E.standin_judge(E.MODEL_A), "B": E.standin_judge(E.MODEL_B)}
+    cols = ["run_id", "sample_id", "metric", "score", "status"]
+    fused = score_runs(sd, metrics, judges).select(*cols).orderBy(*cols[:3]).collect()
+    single = score(sd, metrics, judge=judges["A"], run_id="A").unionByName(
+        score(sd, metrics, judge=judges["B"], run_id="B")).select(*cols).orderBy(*cols[:3]).collect()
+    assert fused == single
