@@ -1004,9 +1004,15 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
 }
 
 
+try:  # the training-data subpackage and the pipeline may be absent
+    from ragscope.llm import queries as llm
+except ImportError:
+    llm = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v[0] for k, v in _QUERIES.items()}
+    return {k: v[0] for k, v in _QUERIES.items()} | (llm.QUERIES if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in _QUERIES.items() if v[1] is not None}
+    return {k: v[1] for k, v in _QUERIES.items() if v[1] is not None} | (llm.ORACLE_SQL if llm else {})
