@@ -8,6 +8,7 @@ broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``).
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -25,6 +26,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Nothing needs the shuffles behind the table any more, but Spark deletes
+    # their files only when the driver's garbage collector has run.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
