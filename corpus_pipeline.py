@@ -33,19 +33,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest doc_id of each group of near copies."""
     docs = _columns(docs)
     found = ngram_join.near_duplicates(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 50 words that an earlier document has, and the
     documents of which nothing is left."""
-    docs = _columns(docs)
-    changed = substring.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept")
-    out = docs.join(changed.dropDuplicates(["doc_id"]), "doc_id", "left").where("kept IS NULL OR kept <> ''")
-    text = F.coalesce("kept", "text")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars"))
-                      .otherwise(F.length("kept")).cast("long").alias("n_chars"))
+    out = substring.remove_repeats(_columns(docs)).where("n_removed = 0 OR kept <> ''")
+    changed = F.col("n_removed") > 0
+    return out.select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
+                      F.when(changed, F.length("kept")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

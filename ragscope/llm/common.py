@@ -25,12 +25,22 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     # Nothing needs the shuffles behind the table any more, but Spark deletes
     # their files only when the driver's garbage collector has run.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,12 +144,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         large = materialize(large.where("lo < hi").distinct(), "cc-large")
+        discard(e)
         # small star: a node and its smaller neighbours move to the smallest of them
         low = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         moved = large.join(low, large.hi == low.u)
         small = moved.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").union(
             low.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct()
         nxt = materialize(small, "cc-small")
+        discard(large)
         # done when every edge joins a node to a root: no node is both
         if nxt.join(nxt.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").isEmpty():
             parents = nxt.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"),

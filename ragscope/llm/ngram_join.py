@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ragscope.llm.common import (as_long, connected_components, documents, materialize, mix64, texts_of,
+from ragscope.llm.common import (as_long, connected_components, discard, documents, materialize, mix64, texts_of,
                                  window_hashes, word_hashes)
 
 HOT = 64  # units that hold a token beyond which it comes last in the order
@@ -122,7 +122,8 @@ def matrix_rows(described: DataFrame, units: DataFrame, docs: DataFrame, size: i
                        "postings")
     count = materialize(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
                         .select("t", (F.col("c") > HOT).alias("hot")), "counts")
-    rows = materialize(rows.join(count, "t"), "postings2")
+    first, rows = rows, materialize(rows.join(count, "t"), "postings2")
+    discard(first)
     # how far a unit's prefix reaches once its frequent tokens stand last
     late = (rows.where("hot").groupBy("unit").agg(F.sort_array(F.collect_list("pos")).alias("late"),
                                                   F.first("k").alias("k"), F.first("m").alias("m"),
@@ -138,16 +139,20 @@ def matrix_rows(described: DataFrame, units: DataFrame, docs: DataFrame, size: i
     # wholly emitted units with too few rare tokens go on with frequent ones
     order = Window.partitionBy("unit").orderBy("pos")
     more = easy.where("hot AND fill > 0").withColumn("i", F.row_number().over(order)).where("i <= fill").select("t", "unit")
-    hard = late.where("hard").join(units.select("unit", "k"), "unit")
+    hard = materialize(late.where("hard").join(units.select("unit", "k"), "unit").select("unit", "k"), "hard-units")
     if hard.isEmpty():
         return kept.unionByName(more)
     everything = explode_tokens(token_rows(hard, docs, size)).distinct()
-    ranked = (everything.join(count.where("hot"), "t", "left").join(hard.select("unit", "k"), "unit")
+    ranked = (everything.join(count.where("hot"), "t", "left").join(hard, "unit")
               .withColumn("i", F.row_number().over(Window.partitionBy("unit").orderBy(F.coalesce("hot", F.lit(False)), "t")))
               .where("i <= k"))
     ranked = materialize(ranked.select("t", "unit", "hot"), "hard")
-    # others' prefixes may hold these tokens as their only holder so far
-    fresh = ranked.where("hot IS NULL").select("t").distinct().join(shared, "t", "left_anti")
+    # beyond what such a unit had emitted, its tokens may have one holder so far
+    last = described.join(hard.select(F.col("unit").alias("doc_id"), "unit"), "doc_id").select(
+        "unit", F.element_at("first", -1).alias("last"))
+    fresh = (ranked.where("hot IS NULL").join(last, "unit").where("t > last").select("t").distinct()
+             .join(shared, "t", "left_anti"))
+    fresh = materialize(fresh, "fresh")
     reach = late.select("unit", "reach", F.col("hard").alias("is_hard"))
     alone = (emitted.join(fresh, "t").join(member, "doc_id").join(reach, "unit", "left")
              .where("NOT coalesce(is_hard, false) AND pos < coalesce(reach, k)").select("t", "unit"))
@@ -243,6 +248,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                                      F.expr(f"n - ({percent} * n + 99) DIV 100 + 1").alias("k")), "units")
     rows = materialize(matrix_rows(described.where("doc_id IS NOT NULL"), units, docs.where("doc_id IS NOT NULL"), size)
                        .distinct(), "matrix")
+    # what the rest needs of the texts' description is narrow
+    described, wide = materialize(described.select("doc_id", "n", "sig_a", "sig_b"), "documents"), described
+    discard(wide)
     # groups: units with the same key, split where they are many
     live = rows.select("unit").distinct().join(units.select("unit", "key", "n", "k"), "unit")
     live = materialize(live, "live")

@@ -17,14 +17,12 @@ no part in the comparison. Rows that repeat a doc_id count as one document.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragscope.llm.common import as_long, documents, materialize, texts_of, window_hashes, word_hashes
+from ragscope.llm.common import as_long, discard, documents, materialize, texts_of, window_hashes, word_hashes
 
 
 def chosen_halves(half_hash: np.ndarray, span: int) -> np.ndarray:
@@ -71,47 +69,30 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, halves: DataFrame, window: int) -> DataFrame:
-    """Each document with the windows that may repeat.
-
-    n_words, kept_sha256 (of the whole text, where nothing can repeat), text
-    (where something can), the candidates' places and their hashes.
-    """
+    """(doc_id, pos, h): the windows whose chosen half survived, in arrays."""
     half = (window + 1) // 2
     places = halves.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("n_words", "kept", "text", "pos", "h")}
-            for text, pos in zip(texts_of(batch), batch.column("pos").to_pylist(), strict=True):
-                words, data, start, end = word_hashes(text, lower=False)
-                out["n_words"].append(len(words))
-                at = None
-                if pos:
-                    chosen = chosen_halves(window_hashes(words, half), window - half + 1)
-                    survived = np.zeros(len(words) + 1, bool)
-                    survived[pos] = True
-                    at = np.flatnonzero(survived[chosen])
-                if at is None or not len(at):
-                    out["kept"].append(hash_words(data, start, end))
-                    for k in ("text", "pos", "h"):
-                        out[k].append(None)
-                else:
-                    out["kept"].append(None)
-                    out["text"].append(text)
-                    out["pos"].append(at.astype(np.int32))
-                    out["h"].append(as_long(window_hashes(words, window)[at]))
+            ids, places, hashes = [], [], []
+            for key, text, pos in zip(batch.column("doc_id").to_pylist(), texts_of(batch),
+                                      batch.column("pos").to_pylist(), strict=True):
+                words, _, _, _ = word_hashes(text, lower=False)
+                chosen = chosen_halves(window_hashes(words, half), window - half + 1)
+                survived = np.zeros(len(words) + window, bool)
+                survived[pos] = True
+                at = np.flatnonzero(survived[chosen])
+                if len(at):
+                    ids.append(key)
+                    places.append(at.astype(np.int32))
+                    hashes.append(as_long(window_hashes(words, window)[at]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["kept"], pa.string()),
-                 pa.array(out["text"], pa.string()), pa.array(out["pos"], pa.list_(pa.int32())),
-                 pa.array(out["h"], pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "kept_sha256", "text", "pos", "h"])
-
-    return docs.select("doc_id", "text").join(places, "doc_id", "left").mapInArrow(
-        run, "doc_id long, n_words long, kept_sha256 string, text string, pos array<int>, h array<long>")
-
+                [pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["doc_id", "pos", "h"])
 
-def hash_words(data: bytes, start: np.ndarray, end: np.ndarray) -> str:
-    return hashlib.sha256(b" ".join([data[i:j] for i, j in zip(start.tolist(), end.tolist())])).hexdigest()
+    return docs.select("doc_id", "text").join(places, "doc_id").mapInArrow(
+        run, "doc_id long, pos array<int>, h array<long>")
 
 
 def covered(n: int, places: list[int], window: int) -> np.ndarray:
@@ -122,47 +103,48 @@ def covered(n: int, places: list[int], window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def find_repeats(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(candidates, repeats): the table of ``candidates`` and, for each document
-    with words to remove, the places of the windows that cover them."""
+def find_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, drop): for each document with words to remove, the places of the
+    windows that cover them."""
     docs = docs.select("doc_id", "text")
-    halves = repeated(level_zero(docs, window)).select("doc_id", "pos").distinct()
+    halves = materialize(repeated(level_zero(docs, window)).select("doc_id", "pos").distinct(), "halves")
     work = materialize(candidates(docs, halves, window), "windows")
-    rows = work.where("pos IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("pos", "h")).alias("w")).select(
+    discard(halves)
+    rows = work.select("doc_id", F.explode(F.arrays_zip("pos", "h")).alias("w")).select(
         F.col("w.h").alias("h"), "doc_id", F.col("w.pos").alias("pos"))
-    repeats = (repeated(rows).where("first_doc < doc_id").groupBy("doc_id")
-               .agg(F.collect_list("pos").alias("drop")))
-    return work, repeats
+    repeats = materialize(repeated(rows).where("first_doc < doc_id").groupBy("doc_id").agg(
+        F.collect_list("pos").alias("drop")), "repeats")
+    discard(work)
+    return repeats
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and for a document that lost
-    words ``kept``, the other words joined by one blank (else null)."""
-    work, repeats = find_repeats(docs, window)
+    """``docs`` with the columns n_words, n_removed and kept (the words that
+    stay, joined by one blank); a text that loses nothing is its own kept."""
+    repeats = find_repeats(docs, window)
+    names = [f.name for f in docs.schema]
 
     def run(batches):
         for batch in batches:
-            removed, kept, sha = [], [], []
+            count, removed, kept = [], [], []
             for text, drop in zip(texts_of(batch), batch.column("drop").to_pylist(), strict=True):
                 words, data, start, end = word_hashes(text, lower=False)
                 gone = covered(len(words), drop, window) if drop else np.zeros(len(words), bool)
                 left = b" ".join([data[i:j] for i, j in zip(start[~gone].tolist(), end[~gone].tolist())])
+                count.append(len(words))
                 removed.append(int(gone.sum()))
-                sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "surrogatepass") if drop else None)
+                kept.append(left.decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()),
-                 pa.array(sha, pa.string()), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                [batch.column(n) for n in names] + [pa.array(count, pa.int64()), pa.array(removed, pa.int64()),
+                                                    pa.array(kept, pa.string())],
+                names=[*names, "n_words", "n_removed", "kept"])
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    changed = (work.where("pos IS NOT NULL").select("doc_id", "n_words", "text").join(repeats, "doc_id", "left")
-               .mapInArrow(run, schema))
-    same = work.where("pos IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"),
-                                            "kept_sha256", F.lit(None).cast("string").alias("kept"))
-    return same.unionByName(changed)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.join(repeats, "doc_id", "left").select(*names, "drop").mapInArrow(
+        run, f"{fields}, n_words long, n_removed long, kept string")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Passages of 50 words that repeat across documents, removed but once."""
-    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
