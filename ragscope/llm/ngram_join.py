@@ -275,7 +275,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     many = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
     wanted = pairs.select(F.col("g1").alias("g")).union(pairs.select(F.col("g2").alias("g"))).union(many).distinct()
     chosen = materialize(grouped.join(wanted, "g").select("unit", "g"), "opened")
-    tokens = token_rows(chosen, docs.where("doc_id IS NOT NULL"), size).dropDuplicates(["unit"])
+    # ids alone, in order: a table small enough to be sent to the texts up to
+    # some size, beyond which the planner shuffles both
+    ids = materialize(chosen.select("unit").sortWithinPartitions("unit"), "opened-ids")
+    tokens = token_rows(ids, docs.where("doc_id IS NOT NULL"), size).dropDuplicates(["unit"])
     groups = materialize(tokens.join(chosen, "unit").groupBy("g").agg(
         F.collect_list(F.struct("unit", "tokens")).alias("members")), "members")
     links = materialize(open_groups(pairs, groups, percent).distinct(), "links")
