@@ -33,10 +33,9 @@ SF0001 = "/root/testdata/sf0.001"
 # ---------------------------------------------------------------------------
 # Fixture: how the driver's tables stand in for evaluation samples.
 # ---------------------------------------------------------------------------
-# Fixed values of the fixture (FIXTURES 2.1): reference item = doc_id % 40,
+# The fixture (FIXTURES 2.1): reference item = doc_id modulo the number of items,
 # no reference when doc_id % 5 = 0, empty context when doc_id % 7 = 0,
 # expected format by doc_id % 5, word bounds 10..400.
-REF_ITEMS = 40
 FORMAT_BY_MOD5 = ["json", "markdown_heading", "bullet_list", "numbered_list", None]
 MIN_WORDS, MAX_WORDS = "10", "400"
 MODEL_A, MODEL_B = "judge-a", "judge-b"
@@ -57,7 +56,8 @@ def samples_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("ref_text"))
     # benchmark is a small dimension; Spark's size-checked broadcast
     # threshold picks the join strategy from the scan statistics.
-    j = d.join(b, (d.doc_id % REF_ITEMS) == b.item_id, "left")
+    items = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)))  # one row
+    j = d.join(b, d.doc_id % items.scalar() == b.item_id, "left")
     fmt = F.element_at(F.array(*[F.lit(f) for f in FORMAT_BY_MOD5]), (F.col("doc_id") % 5 + 1).cast("int"))
     md = F.map_filter(F.create_map(
         F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"),
@@ -67,7 +67,7 @@ def samples_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("sample_id"),
         F.substring_index("text", "\n", 1).alias("query"),
         F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>"))
-         .otherwise(F.slice(F.split("text", "\n"), 1, 3)).alias("context"),
+         .otherwise(F.slice(F.split("text", "\n"), F.lit(2), F.size(F.split("text", "\n")) - 1)).alias("context"),
         F.col("text").alias("answer"),
         F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("ref_text")).alias("reference"),
@@ -125,14 +125,14 @@ samples_docs AS (
   SELECT d.doc_id AS sample_id,
          split_part(d.text, chr(10), 1) AS query,
          CASE WHEN d.doc_id % 7 = 0 THEN []::VARCHAR[]
-              ELSE string_split(d.text, chr(10))[1:3] END AS context,
+              ELSE string_split(d.text, chr(10))[2:] END AS context,
          d.text AS answer,
          CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE b.text END AS reference,
          d.lang, d.source,
          CASE d.doc_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'markdown_heading'
               WHEN 2 THEN 'bullet_list' WHEN 3 THEN 'numbered_list' END AS expected_format,
          {MIN_WORDS} AS min_words, {MAX_WORDS} AS max_words
-  FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % {REF_ITEMS})"""
+  FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
 
 
 def _sql_tokens(x: str) -> str:
@@ -274,7 +274,8 @@ def q_token_f1_by_lang(spark, sf_dir):
     """Token F1 of each document against its benchmark item, by lang."""
     d = spread(table(spark, sf_dir, "documents"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
-    j = d.join(b, (d.doc_id % REF_ITEMS) == b.item_id, "inner")
+    items = b.agg(F.count(F.lit(1)))  # one row
+    j = d.join(b, d.doc_id % items.scalar() == b.item_id, "inner")
     sets = j.select("lang", X.token_set("text").alias("a"), X.token_set("ref").alias("r"))
     s = sets.select("lang", X.token_f1_from_sets("a", "r").alias("f1"))
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
@@ -285,7 +286,7 @@ def q_token_f1_by_lang(spark, sf_dir):
 
 SQL_TOKEN_F1_BY_LANG = f"""
 WITH j AS (SELECT d.lang, {_sql_f1('d.text', 'b.text')} AS f1
-           FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % {REF_ITEMS})
+           FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT lang, count(*) AS n, round(avg(f1), 6) AS mean, round(min(f1), 6) AS min,
        round(max(f1), 6) AS max, round(quantile_cont(f1, 0.25), 6) AS p25,
        round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.75), 6) AS p75,
@@ -650,6 +651,22 @@ def q_sample_n(spark, sf_dir):
     return FL.sample_n(samples_docs(spark, sf_dir), 100, seed=7).select("sample_id")
 
 
+SQL_SAMPLE_N = f"""
+WITH {SAMPLES_SQL}
+SELECT sample_id FROM samples_docs ORDER BY md5('7|' || sample_id::VARCHAR), sample_id LIMIT 100"""
+
+
+def q_reference_coverage(spark, sf_dir):
+    """How many reference texts the samples are bound to: all of them."""
+    s = samples_docs(spark, sf_dir).where("reference IS NOT NULL")
+    return s.agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("reference").alias("texts"))
+
+
+SQL_REFERENCE_COVERAGE = f"""
+WITH {SAMPLES_SQL}
+SELECT count(*) AS samples, count(DISTINCT reference) AS texts FROM samples_docs WHERE reference IS NOT NULL"""
+
+
 def q_chat_turn_pairs(spark, sf_dir):
     """FIXTURES 2.2: user turn followed by an assistant turn."""
     c = samples_chat(spark, sf_dir)
@@ -854,25 +871,29 @@ SELECT tag, metric, run_id, round(mean, 6) AS mean, round(previous, 6) AS previo
 # --- judge reply parsing (X10, X11) ----------------------------------------
 
 def q_judge_reply_parse(spark, sf_dir):
-    """Replies in four shapes built from conversation texts (bare
-    object, fenced block, object inside prose, no object) parsed back."""
+    """Replies in ten shapes around the conversations' own texts,
+    parsed back: bare, fenced and embedded objects, other JSON before the
+    object, trailing text, a scalar score, and none."""
     from ragscope.operators.judge import parse_reply, reply_fields
     c = table(spark, sf_dir, "conversations")
-    sc = ((F.length("text") % 101) / F.lit(100.0)).cast("string")
-    obj = F.concat(F.lit('{"score": '), sc, F.lit(', "reasoning": "r"}'))
-    k = F.col("turn") % 4
-    reply = (F.when(k == 0, obj)
-             .when(k == 1, F.concat(F.lit("Verdict:\n```json\n"), obj, F.lit("\n```")))
-             .when(k == 2, F.concat(F.lit("I would say "), obj, F.lit(" overall.")))
-             .otherwise(F.concat(F.lit("score "), sc, F.lit(" without an object"))))
+    n = F.length("text") % 101
+    sc = (n / F.lit(100.0)).cast("string")
+    why = F.regexp_replace("text", r'[{}\\"`\p{Cntrl}]', " ")
+    obj = F.concat(F.lit('{"score": '), sc, F.lit(', "reasoning": "'), why, F.lit('"}'))
+    fence = F.concat(F.lit("```json\n"), obj, F.lit("\n```"))
+    shapes = [obj, F.concat(F.lit("Verdict:\n"), fence), F.concat(F.lit("I would say "), obj, F.lit(" overall.")),
+              F.concat(F.lit("score "), sc, F.lit(" without an object")), F.concat(F.lit("0.8\n"), fence),
+              F.concat(F.lit('"ok" '), obj), F.concat(F.lit("true "), obj), F.concat(F.lit("[1, 2] "), obj),
+              F.concat(F.lit('{"note": "x"}\n'), fence), F.concat(obj, F.lit(" as asked"))]
+    reply = F.element_at(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % len(shapes) + 1).cast("int"))
     f = reply_fields(parse_reply(reply), 0.0)
     return c.select("conv_id", "turn", f["score"].alias("score"), f["status"].alias("status"))
 
 
 SQL_JUDGE_REPLY_PARSE = """
 SELECT conv_id, turn,
-       CASE WHEN turn % 4 = 3 THEN NULL ELSE (length(text) % 101) / 100.0::DOUBLE END AS score,
-       CASE WHEN turn % 4 = 3 THEN 'judge_error' ELSE 'ok' END AS status
+       CASE WHEN (conv_id + turn) % 10 = 3 THEN NULL ELSE (length(text) % 101) / 100.0::DOUBLE END AS score,
+       CASE WHEN (conv_id + turn) % 10 = 3 THEN 'judge_error' ELSE 'ok' END AS status
 FROM conversations"""
 
 
@@ -986,7 +1007,8 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "dataset_issues": (q_dataset_issues, SQL_DATASET_ISSUES),
     "missing_fields_by_metric": (q_missing_fields_by_metric, SQL_MISSING_FIELDS_BY_METRIC),
     "filter_by_metadata": (q_filter_by_metadata, SQL_FILTER_BY_METADATA),
-    "sample_n": (q_sample_n, None),
+    "sample_n": (q_sample_n, SQL_SAMPLE_N),
+    "reference_coverage": (q_reference_coverage, SQL_REFERENCE_COVERAGE),
     "chat_turn_pairs": (q_chat_turn_pairs, SQL_CHAT_TURN_PAIRS),
     "cache_hit_miss": (q_cache_hit_miss, SQL_CACHE_HIT_MISS),
     "cache_evict": (q_cache_evict, SQL_CACHE_EVICT),

@@ -34,6 +34,9 @@ def _json_check(texts: pd.Series) -> pd.DataFrame:
         except json.JSONDecodeError as exc:
             valid.append(False)
             detail.append(f"Invalid JSON: {exc}")
+        except (ValueError, RecursionError) as exc:  # a number too long, nesting too deep
+            valid.append(False)
+            detail.append(f"Invalid JSON: {type(exc).__name__}")
     return pd.DataFrame({"valid": valid, "detail": detail})
 
 

@@ -8,7 +8,6 @@ and switch to it, so no job ever overwrites the files it is reading.
 
 from __future__ import annotations
 
-import os
 import uuid
 from datetime import datetime, timezone
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from ragscope.operators.ranking import global_rank
 from ragscope.schemas import JUDGE_CACHE
 
-DEFAULT_MAX_ENTRIES = 10_000
+DEFAULT_MAX_ENTRIES = 0  # keep every reply; a limit is the caller's to set
 
 
 # --- pure operators over a cache DataFrame ---------------------------------
@@ -82,28 +81,33 @@ class JudgeCache:
         self.max_entries = max_entries
 
     # generations -----------------------------------------------------------
+    # The name of a generation carries its number, and it counts once its
+    # marker file is there; both go through Spark's file system, so any storage
+    # that the executors see will do.
+    def _fs(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path.rstrip("/"), *parts)))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def _generation(self) -> str | None:
-        ptr = os.path.join(self.path, "CURRENT")
-        if os.path.exists(ptr):
-            with open(ptr, encoding="utf-8") as f:
-                return os.path.join(self.path, f.read().strip())
-        return None
+        fs, path = self._fs()
+        if not fs.exists(path):
+            return None
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path))
+        ready = [n.removesuffix(".ready") for n in names if n.startswith("gen-") and n.endswith(".ready")]
+        return f"{self.path.rstrip('/')}/{ready[-1]}" if ready else None
 
     def _switch(self, name: str) -> None:
-        os.makedirs(self.path, exist_ok=True)
-        tmp = os.path.join(self.path, f".CURRENT-{uuid.uuid4().hex}")
-        with open(tmp, "w", encoding="utf-8") as f:
-            f.write(name)
-        os.replace(tmp, os.path.join(self.path, "CURRENT"))
+        fs, path = self._fs(f"{name}.ready")
+        fs.create(path, True).close()
 
     def _new_generation(self) -> str:
-        stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
+        stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S.%f")
         return f"gen-{stamp}-{uuid.uuid4().hex[:8]}"
 
     # reads -----------------------------------------------------------------
     def table(self) -> DataFrame:
         gen = self._generation()
-        if gen is None or not os.path.exists(gen):
+        if gen is None:
             return self.spark.createDataFrame([], JUDGE_CACHE)
         return self.spark.read.schema(JUDGE_CACHE).parquet(gen)
 
@@ -116,7 +120,8 @@ class JudgeCache:
         gen = self._generation()
         if gen is None:
             name = self._new_generation()
-            gen = os.path.join(self.path, name)
+            gen = f"{self.path.rstrip('/')}/{name}"
+            self.spark.createDataFrame([], JUDGE_CACHE).write.parquet(gen)
             self._switch(name)
         (replies.select("cache_key", "response",
                         F.current_timestamp().alias("created_at"))
@@ -125,7 +130,7 @@ class JudgeCache:
     def _rewrite(self, keep: DataFrame) -> None:
         name = self._new_generation()
         keep.select("cache_key", "response", "created_at") \
-            .write.mode("overwrite").parquet(os.path.join(self.path, name))
+            .write.mode("overwrite").parquet(f"{self.path.rstrip('/')}/{name}")
         self._switch(name)
 
     def clear(self) -> int:

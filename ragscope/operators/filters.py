@@ -38,7 +38,7 @@ def filter_samples(samples: DataFrame, expr: str) -> DataFrame:
 def sample_n(samples: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """exactly ``n`` rows (all rows when fewer), chosen by a seeded hash
     order: deterministic, without replacement; ``limit`` is the feature."""
-    order = F.xxhash64(F.col("sample_id"), F.lit(seed))
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("sample_id").cast("string")))
     return samples.orderBy(order, F.col("sample_id")).limit(int(n))
 
 

@@ -130,21 +130,32 @@ def cache_key(model: str, temperature: float, prompt: Column) -> Column:
 # Reply parsing
 # ---------------------------------------------------------------------------
 
-FENCE_RULE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
-OBJECT_RULE = r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+FENCED = r"(?s)```[A-Za-z]*\s*(.*?)\s*```"
+BRACED = r"(?s)\{(?:[^{}]|\{[^{}]*\})*+\}"  # an object with at most one more level
+
+
+def _object(text: Column) -> Column:
+    """``text`` as a VARIANT if it is one JSON object and nothing else."""
+    # within brackets, anything before or after the object breaks the array
+    # or makes it longer
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    first = F.try_variant_get(listed, "$[0]", "variant")
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.rtrim(text).endswith("}")
+    return F.when(alone & F.schema_of_variant(first).startswith("OBJECT"), first)
 
 
 def parse_reply(text: Column) -> Column:
-    """The reply as a VARIANT object, or null when no JSON is found.
+    """The reply as a VARIANT object, or null when it has none.
 
     Tried in order: the whole text, the first fenced block, the first object
-    with at most one level of nesting.
+    in the text with at most one level of nesting. Each counts only if it is a
+    JSON object as a whole; ``spark.sql.variant.allowDuplicateKeys`` decides
+    about repeated keys.
     """
-    whole = F.try_parse_json(text)
-    fenced = F.try_parse_json(F.nullif(F.regexp_extract(text, FENCE_RULE, 1), F.lit("")))
-    obj = F.try_parse_json(F.nullif(F.regexp_extract(text, OBJECT_RULE, 0), F.lit("")))
-    v = F.coalesce(whole, fenced, obj)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    fenced = F.nullif(F.regexp_extract(text, FENCED, 1), F.lit(""))
+    braced = F.nullif(F.regexp_extract(text, BRACED, 0), F.lit(""))
+    return F.coalesce(_object(trimmed), _object(fenced), _object(braced))
 
 
 def reply_fields(v: Column, default_score: float) -> dict[str, Column]:
@@ -212,8 +223,9 @@ class BatchResponder(Responder):
     """A Python function ``pd.Series[str] -> pd.Series[str]`` run per Arrow batch.
 
     U4: a failing batch is retried ``max_retries`` times with 1 s, 2 s, ...
-    waits; after the last failure the rows carry the error instead of failing
-    the job (Q17), so one bad reply does not stop a large run.
+    waits; after the last failure its rows are asked one by one, and those that
+    fail carry the error instead of failing the job (Q17), so one bad prompt
+    costs neither the run nor the other replies of its batch.
     """
 
     def __init__(self, fn: Callable[[pd.Series], pd.Series], max_retries: int = 3,
@@ -239,11 +251,16 @@ class BatchResponder(Responder):
                         err = f"{type(exc).__name__}: {exc}"
                         if attempt < tries - 1:
                             time.sleep(backoff * (2 ** attempt))
-                yield pd.DataFrame({
-                    "cache_key": pdf["cache_key"],
-                    "response": out if err is None else None,
-                    "error": err,
-                })
+                if err is None:
+                    yield pd.DataFrame({"cache_key": pdf["cache_key"], "response": out, "error": None})
+                    continue
+                rows = []
+                for key, prompt in zip(pdf["cache_key"], pdf["prompt"]):
+                    try:
+                        rows.append((key, pd.Series(fn(pd.Series([prompt]))).iloc[0], None))
+                    except Exception as exc:  # noqa: BLE001 - reported per row
+                        rows.append((key, None, f"{type(exc).__name__}: {exc}"))
+                yield pd.DataFrame(rows, columns=["cache_key", "response", "error"], dtype=object)
 
         src = prompts.select("cache_key", "prompt")
         if self.parallelism:

@@ -56,7 +56,8 @@ def report_to_scores(reports: DataFrame, run_id_col: str = "path") -> DataFrame:
     m = r.select("run_id", F.col("r.sample_index").alias("sample_id"),
                  F.explode("r.metrics").alias("m"))
     return m.select("run_id", "sample_id", F.col("m.name").alias("metric"),
-                    F.col("m.score").alias("score"), F.col("m.details").alias("details"))
+                    F.col("m.score").alias("score"), F.col("m.details").alias("details"),
+                    F.lit("ok").alias("status"))
 
 
 def results_table(scores: DataFrame, metrics: list[str]) -> DataFrame:
@@ -81,21 +82,19 @@ def write_json_report(scores: DataFrame, metrics: list[str], path: str) -> None:
 
 
 def write_json_document(spark: SparkSession, summary: dict, results: DataFrame, path: str,
-                        metadata: dict | None = None, max_rows: int = 100_000) -> None:
-    """S13 for small runs: one document ``{metadata?, summary, results}``.
-    Refuses runs larger than ``max_rows`` rather than collecting them."""
+                        metadata: dict | None = None) -> None:
+    """S13 as one document ``{metadata?, summary, results}`` in one local file.
+
+    The results stream through the driver a partition at a time and are never
+    held whole; ``write_json_report`` is the form for large runs."""
     import json
-    n = results.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"{n}+ results: write JSON Lines with write_json_report instead")
-    doc = {}
-    if metadata:
-        doc["metadata"] = metadata
-    doc["summary"] = summary
-    doc["results"] = [json.loads(r) for r in results.toJSON().collect()]
+    head = ({"metadata": metadata} if metadata else {}) | {"summary": summary}
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(doc, f, ensure_ascii=False)
+        f.write(json.dumps(head, ensure_ascii=False)[:-1] + ', "results": [')
+        for i, row in enumerate(results.select(F.to_json(F.struct("*")).alias("r")).toLocalIterator()):
+            f.write((", " if i else "") + row.r)
+        f.write("]}")
 
 
 def write_csv_report(wide: DataFrame, path: str, metadata: dict | None = None) -> None:
@@ -126,7 +125,7 @@ def write_samples(samples: DataFrame, path: str, fmt: str = "jsonl") -> None:
     md = F.when(F.size("metadata") > 0, F.col("metadata"))
     ref = F.nullif(F.col("reference"), F.lit(""))
     line = F.to_json(F.struct("sample_id", "query", "context", "answer",
-                              ref.alias("reference"), md.alias("metadata")))
+                              ref.alias("reference"), md.alias("metadata")), {"ignoreNullFields": "false"})
     samples.select(line.alias("value")).write.mode("overwrite").text(path)
 
 

@@ -62,8 +62,17 @@ def parse_jsonl_lines(lines: DataFrame) -> DataFrame:
     keys = F.json_object_keys(text)
     parsed = F.from_json(text, SAMPLE_JSON)
     missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED]), F.coalesce(keys, F.array()))
-    reason = (F.when(keys.isNull(), F.lit("invalid JSON (not an object)"))
-              .when(F.size(missing) > 0, F.lit("missing required field(s)")))
+    kind = _json_kind(text)
+    field = lambda k: F.regexp_extract(F.schema_of_variant(F.try_variant_get(
+        F.try_parse_json(text), f"$.{k}", "variant")), "^[A-Z]+", 0)
+    fits = {"query": ["STRING", "VOID"], "answer": ["STRING", "VOID"], "context": ["ARRAY", "VOID"],
+            "reference": ["STRING", "VOID"], "metadata": ["OBJECT", "VOID"]}
+    misfit = F.lit(False)
+    for k, kinds in fits.items():
+        misfit = misfit | F.coalesce(~field(k).isin(*kinds), F.lit(False))
+    reason = (F.when(keys.isNull() | F.coalesce(kind != "OBJECT", F.lit(True)), F.lit("invalid JSON (not an object)"))
+              .when(F.size(missing) > 0, F.lit("missing required field(s)"))
+              .when(misfit, F.lit("a field has the wrong type")))
     return (lines.where(text != F.lit(""))
             .select("file", F.col("value").alias("line"), parsed.alias("s"),
                     F.when(keys.isNotNull(), missing).alias("missing"), reason.alias("reason")))
@@ -102,15 +111,29 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = False,
     rejects = _rejects(parsed)
     _check_strict(rejects, strict)
     if assign_ids is None:
-        assign_ids = parsed.where(F.col("s.sample_id").isNotNull()).limit(1).count() == 0
+        # without an id on every line, every line is numbered: ids never mix
+        good = parsed.where(F.col("reason").isNull())
+        assign_ids = not good.where(F.col("s.sample_id").isNull()).limit(1).isEmpty()
     return _finish_samples(parsed, assign_ids), rejects
 
 
+def _json_kind(text: Column) -> Column:
+    """OBJECT, ARRAY or another kind if all of ``text`` is one JSON value, else null."""
+    # within brackets, text after the value would break the list or lengthen it
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    kind = F.regexp_extract(F.schema_of_variant(F.try_variant_get(listed, "$[0]", "variant")), "^[A-Z]+", 0)
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), kind)
+
+
 def parse_csv_context(raw: Column) -> Column:
     """Empty -> []; a JSON list -> its items as strings; else split on
     ``|``, trim, drop empties."""
     r = py_strip(F.coalesce(raw, F.lit("")))
-    as_json = F.when(r.startswith("["), F.from_json(r, T.ArrayType(T.StringType())))
+    # within brackets, text after the list would break the outer list
+    whole = F.from_json(F.concat(F.lit("["), r, F.lit("]")), T.ArrayType(T.ArrayType(T.StringType())),
+                        {"mode": "PERMISSIVE"})
+    as_json = F.when(r.startswith("[") & (_json_kind(r) == "ARRAY"),
+                     F.transform(F.get(whole, F.lit(0)), lambda c: F.coalesce(c, F.lit("null"))))
     piped = F.filter(F.transform(F.split(r, r"\|"), lambda c: py_strip(c)), lambda c: c != "")
     return (F.when(r == F.lit(""), F.array().cast("array<string>"))
             .otherwise(F.coalesce(as_json, piped)))
@@ -120,7 +143,7 @@ def parse_csv_metadata(raw: Column) -> Column:
     """Blank -> {}; JSON object -> map; otherwise ``{raw_metadata: text}``."""
     r = py_strip(F.coalesce(raw, F.lit("")))
     return (F.when(r == F.lit(""), F.create_map().cast("map<string,string>"))
-            .otherwise(F.coalesce(F.from_json(r, T.MapType(T.StringType(), T.StringType())),
+            .otherwise(F.coalesce(F.when(_json_kind(r) == "OBJECT", F.from_json(r, T.MapType(T.StringType(), T.StringType()))),
                                   F.create_map(F.lit("raw_metadata"), r))))
 
 
@@ -157,8 +180,8 @@ def read_samples(spark: SparkSession, path: str, fmt: str | None = None,
     .parquet -> Parquet, anything else -> JSON Lines)."""
     if not os.path.exists(path) and "://" not in path:
         raise FileNotFoundError(path)
-    f = fmt or ("csv" if path.endswith(".csv") else
-                "parquet" if path.endswith(".parquet") else "jsonl")
+    name = path.lower()
+    f = fmt or ("csv" if name.endswith(".csv") else "parquet" if name.endswith(".parquet") else "jsonl")
     if f == "csv":
         return read_csv(spark, path, strict=strict)
     if f == "parquet":
