@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragscope.llm.common import documents, texts_of
+from ragscope.llm.common import documents, slices, texts_of
 
 # White space (the Unicode property) and the contractions of the
 # byte-level pattern.
@@ -483,7 +483,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): how often each word occurs in all whole texts."""
     def count(batches):
         total: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch)
             for i, j in pieces(texts):
                 data, at, _ = split_words(texts[i:j])
@@ -531,7 +531,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, lexicon: Lex
 
     def run(batches):
         encoder = Encoder(vocabulary(path), Lexicon.map(SparkFiles.get(name)))
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch)
             for i, j in pieces(texts):
                 flat, at = encoder.encode(texts[i:j])

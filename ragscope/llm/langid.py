@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragscope.llm.common import documents, held_out
+from ragscope.llm.common import documents, held_out, slices
 
 WIDTHS = (2, 3, 4)
 WINDOW = 128
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few tables, whatever the input
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = predict_texts(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()),
                                               pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -213,7 +213,7 @@ def keep_recognised(docs: DataFrame, model: dict, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = predict_texts(shared.value, batch.column("text").to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 

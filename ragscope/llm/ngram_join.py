@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ragscope.llm.common import (as_long, connected_components, discard, documents, materialize, mix64, texts_of,
-                                 window_hashes, word_hashes)
+from ragscope.llm.common import (as_long, connected_components, discard, documents, materialize, mix64, slices,
+                                 texts_of, window_hashes, word_hashes)
 
 HOT = 64  # units that hold a token beyond which it comes last in the order
 GROUP_UNITS, GROUP_TOKENS = 128, 1 << 17
@@ -58,7 +58,7 @@ def describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in slices(batches):
             n, sig, key, first, shown = [], [], [], [], []
             for text in texts_of(batch):
                 t = shingles(text, size)
@@ -92,7 +92,7 @@ def describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def token_rows(units: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """unit and its whole token set (little-endian 64-bit), from the texts."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, size).astype("<i8").tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(sets, pa.binary())],
                                              names=["unit", "tokens"])
@@ -105,7 +105,7 @@ def token_rows(units: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 def explode_tokens(rows: DataFrame) -> DataFrame:
     """(unit, t) for every token of ``token_rows``."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for unit, tokens in zip(batch.column("unit").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 t = np.frombuffer(tokens, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), unit)), pa.array(t)], names=["unit", "t"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragscope.llm.bpe import Encoder, Vocabulary, default_tokenizer, pieces, vocabulary
-from ragscope.llm.common import documents, texts_of
+from ragscope.llm.common import documents, slices, texts_of
 
 SENTENCE_COST, SPLIT_COST, WINDOW_COST = 4, 64, 8
 ENDS = b".!?\n"
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, width: int = 1024, end_i
             return out
 
         waiting = 0
-        for batch in batches:
+        for batch in slices(batches):
             texts, keys = texts_of(batch), batch.column("doc_id").to_pylist()
             for i, j in pieces(texts):
                 flat, at = encoder.encode(texts[i:j])

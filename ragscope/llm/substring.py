@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragscope.llm.common import as_long, discard, documents, materialize, texts_of, window_hashes, word_hashes
+from ragscope.llm.common import as_long, discard, documents, materialize, slices, texts_of, window_hashes, word_hashes
 
 
 def chosen_halves(half_hash: np.ndarray, span: int) -> np.ndarray:
@@ -43,7 +43,7 @@ def level_zero(docs: DataFrame, window: int) -> DataFrame:
     half = (window + 1) // 2
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes, places = [], [], []
             for key, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 words, _, _, _ = word_hashes(text, lower=False)
@@ -74,7 +74,7 @@ def candidates(docs: DataFrame, halves: DataFrame, window: int) -> DataFrame:
     places = halves.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, places, hashes = [], [], []
             for key, text, pos in zip(batch.column("doc_id").to_pylist(), texts_of(batch),
                                       batch.column("pos").to_pylist(), strict=True):
@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     names = [f.name for f in docs.schema]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             count, removed, kept = [], [], []
             for text, drop in zip(texts_of(batch), batch.column("drop").to_pylist(), strict=True):
                 words, data, start, end = word_hashes(text, lower=False)

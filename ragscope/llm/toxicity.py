@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragscope.llm.common import documents, held_out, texts_of
+from ragscope.llm.common import documents, held_out, slices, texts_of
 
 BLOCK = 64
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -89,7 +89,7 @@ def choose_terms(examples: DataFrame, totals: dict[int, int], vocabulary: int, l
     """The terms with the largest chi-square between their presence and the label."""
     def count(batches):
         seen = ({}, {})
-        for batch in batches:
+        for batch in slices(batches):
             for y, text in zip(batch.column("toxic").to_pylist(), texts_of(batch), strict=True):
                 for t in {t for w in words_of(text) for t in terms_of(w)}:
                     seen[y][t] = seen[y].get(t, 0) + 1
@@ -114,7 +114,7 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.n
     def count(batches):
         reader = TermReader(terms)
         found = np.zeros(len(terms) + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             found[-1] += batch.num_rows
             for text in texts_of(batch):
                 found[list(reader.counts(text))] += 1
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, vocabulary: i
 
     def run(batches):
         reader = TermReader(terms)
-        for batch in batches:
+        for batch in slices(batches):
             vectors = [reader.vector(t, idf) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic"), pa.array([list(v) for v in vectors], pa.list_(pa.int64())),
@@ -250,7 +250,7 @@ def score_documents(docs: DataFrame, index: BlockMaxIndex | None) -> DataFrame:
     def run(batches):
         model = shared.value
         reader = TermReader(model.terms if model else [])
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.score(reader.vector(t, model.idf)) if model else (0.0, [], []) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()),
