@@ -89,6 +89,10 @@ def describe(docs: DataFrame, size: int, percent: int) -> DataFrame:
         run, "doc_id long, n long, sig_a long, sig_b long, key long, first array<long>")
 
 
+def texts_of_units(units: DataFrame, docs: DataFrame) -> DataFrame:
+    return docs.join(units.select(F.col("unit").alias("doc_id"), "unit"), "doc_id").select("unit", "text")
+
+
 def token_rows(units: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """unit and its whole token set (little-endian 64-bit), from the texts."""
     def run(batches):
@@ -97,20 +101,18 @@ def token_rows(units: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(sets, pa.binary())],
                                              names=["unit", "tokens"])
 
-    return docs.join(
-        units.select(F.col("unit").alias("doc_id"), "unit"), "doc_id").select("unit", "text").mapInArrow(
-        run, "unit long, tokens binary")
+    return texts_of_units(units, docs).mapInArrow(run, "unit long, tokens binary")
 
 
-def explode_tokens(rows: DataFrame) -> DataFrame:
-    """(unit, t) for every token of ``token_rows``."""
+def exploded_tokens(units: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(unit, t) for every token of the units, from the texts."""
     def run(batches):
         for batch in slices(batches):
-            for unit, tokens in zip(batch.column("unit").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                t = np.frombuffer(tokens, "<i8")
+            for unit, text in zip(batch.column("unit").to_pylist(), texts_of(batch), strict=True):
+                t = shingles(text, size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), unit)), pa.array(t)], names=["unit", "t"])
 
-    return rows.mapInArrow(run, "unit long, t long")
+    return texts_of_units(units, docs).mapInArrow(run, "unit long, t long")
 
 
 def matrix_rows(described: DataFrame, units: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -142,7 +144,7 @@ def matrix_rows(described: DataFrame, units: DataFrame, docs: DataFrame, size: i
     hard = materialize(late.where("hard").join(units.select("unit", "k"), "unit").select("unit", "k"), "hard-units")
     if hard.isEmpty():
         return kept.unionByName(more)
-    everything = explode_tokens(token_rows(hard, docs, size)).distinct()
+    everything = exploded_tokens(hard, docs, size).distinct()
     ranked = (everything.join(count.where("hot"), "t", "left").join(hard, "unit")
               .withColumn("i", F.row_number().over(Window.partitionBy("unit").orderBy(F.coalesce("hot", F.lit(False)), "t")))
               .where("i <= k"))
