@@ -5,8 +5,8 @@ as units: each line, each paragraph of several lines, and the whole text. A
 unit matches a template if the Dice coefficient of their bigram sets is at
 least ``threshold``. That bounds the size: |unit| lies between t / (2 - t) and
 (2 - t) / t times |template|, and at least t (|unit| + |template|) / 2 bigrams
-are shared, so units without so many bigrams known to any template go before
-the join, and the join looks at templates of fitting size alone.
+are shared, so units without so many bigrams known to any template (and, before these are
+formed, units with too many words that no template has) go before the join, and the join looks at templates of fitting size alone.
 
 Null and empty texts have no unit and no match; a unit of one word has no
 bigram. Ties go to the template whose name sorts first. Rows are told apart by
@@ -105,8 +105,22 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     paragraphs = F.filter(numbered(F.split("text", "\n[ \n]*\n"), -1), lambda u: F.contains(u["text"], F.lit("\n")))
     whole = F.when(F.contains("text", F.lit("\n")), F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("text")))
                    ).otherwise(F.array().cast("array<struct<unit:int,text:string>>"))
+    vocabulary = sorted({w for b in known for w in b.split()})
+
+    def word_list(u):
+        return F.struct(u["unit"].alias("unit"), F.filter(F.split(F.translate(u["text"], "\n", " "), " "),
+                                                          lambda x: x != "").alias("w"))
+
+    # Of n bigrams at least t / (2 - t) n are known, and every two unknown
+    # words make one more that is not: few units have so few unknown words.
+    strange = 2 * (1 - threshold / (2 - threshold))
+
+    def familiar(u):
+        unknown = F.array_distinct(F.filter(u["w"], lambda x: ~x.isin(vocabulary)))
+        return (F.size(u["w"]) > least) & (F.size(unknown) <= strange * (F.size(u["w"]) - 1) + 1e-9)
+
     def describe(u):
-        w = F.filter(F.split(F.translate(u["text"], "\n", " "), " "), lambda x: x != "")
+        w = u["w"]
         pair = F.array_distinct(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))),
                                            lambda x, y: F.when(y.isNotNull(), F.concat_ws(" ", x, y))))
         pair = F.filter(pair, lambda x: x.isNotNull())
@@ -115,7 +129,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     # a unit of m characters has at most (m - 1) / 2 bigrams
     units = F.filter(F.concat(numbered(F.split("text", "\n"), 1), paragraphs, whole),
                      lambda u: F.length(u["text"]) >= 2 * least + 1)
-    found = F.filter(F.transform(units, describe), lambda u: F.size(u["b"]) >= shared)
+    found = F.filter(F.transform(F.filter(F.transform(units, word_list), familiar), describe), lambda u: F.size(u["b"]) >= shared)
     base = materialize(base.select("row", "doc_id", found.alias("found")), "licences")
     pairs = base.select("row", F.explode("found").alias("u")).select("row", "u.unit", "u.n", "u.b")
     # templates are constants of the module: their bigrams are a bounded table
