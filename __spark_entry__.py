@@ -19,6 +19,7 @@ from ragscope.functions import text as X
 from ragscope.operators import compare as CMP
 from ragscope.operators import history as H
 from ragscope.operators import quality as Q
+from ragscope.operators import quantiles as QT
 from ragscope.operators import summary as S
 from ragscope.operators import filters as FL
 from ragscope.operators import cache as C
@@ -278,10 +279,8 @@ def q_token_f1_by_lang(spark, sf_dir):
     j = d.join(b, d.doc_id % items.scalar() == b.item_id, "inner")
     sets = j.select("lang", X.token_set("text").alias("a"), X.token_set("ref").alias("r"))
     s = sets.select("lang", X.token_f1_from_sets("a", "r").alias("f1"))
-    return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
-                                 *[_r6(c).alias(n) for c, n in
-                                   zip(S.distribution(F.col("f1")),
-                                       ["mean", "min", "max", "p25", "median", "p75", "std_dev"])])
+    return QT.distribution_of(s, ["lang"], F.col("f1")).select(
+        "lang", "n", *[_r6(F.col(c)).alias(c) for c in ["mean", "min", "max", "p25", "median", "p75", "std_dev"]])
 
 
 SQL_TOKEN_F1_BY_LANG = f"""

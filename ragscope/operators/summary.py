@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragscope.operators.quantiles import distribution_of_counts
+
 QUANTILES = [0.25, 0.5, 0.75]
 
 
@@ -21,31 +23,28 @@ def _valid_score() -> Column:
     return F.when(_ok(), F.col("score"))
 
 
-def distribution(value: Column, approx: bool = False, accuracy: int = 10000,
-                 with_mean: bool = True) -> list[Column]:
-    """mean, min, max, p25, median, p75 and population std of ``value``.
-
-    A2: exact ``percentile`` is the reference's linear interpolation
-    ``k = (n-1)p``. ``approx=True`` uses the mergeable sketch instead, which
-    keeps memory per group bounded when a group has very many distinct values.
-    """
-    if approx:
-        q = F.percentile_approx(value, QUANTILES, accuracy)
-    else:
-        q = F.percentile(value, F.array(*[F.lit(x) for x in QUANTILES]))
-    mean = [F.avg(value).alias("mean")] if with_mean else []
-    return mean + [F.min(value).alias("min"), F.max(value).alias("max"),
-                   q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75"),
-                   F.stddev_pop(value).alias("std_dev")]
+def distribution(value: Column, accuracy: int = 10000) -> list[Column]:
+    """mean, min, max, p25, median, p75 and population std of ``value``, the
+    quantiles from a mergeable sketch (``quantiles`` has the exact ones)."""
+    q = F.percentile_approx(value, QUANTILES, accuracy)
+    return [F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+            q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75"),
+            F.stddev_pop(value).alias("std_dev")]
 
 
 def metric_summary(scores: DataFrame, approx: bool = False) -> DataFrame:
-    """A1: per run and metric."""
+    """A1: per run and metric, with exact quantiles (A2) unless ``approx``."""
     v = _valid_score()
-    return scores.groupBy("run_id", "metric").agg(
-        F.count(v).alias("n"),
-        F.count_if(~_ok()).alias("error_count"),
-        *distribution(v, approx))
+    if approx:
+        return scores.groupBy("run_id", "metric").agg(
+            F.count(v).alias("n"),
+            F.count_if(~_ok()).alias("error_count"),
+            *distribution(v))
+    counts = scores.select("run_id", "metric", v.alias("v"), _ok().alias("ok")) \
+        .groupBy("run_id", "metric", "v", "ok").agg(F.count(F.lit(1)).alias("c"))
+    errors = F.sum(F.when(F.col("ok"), 0).otherwise(F.col("c"))).alias("error_count")
+    return distribution_of_counts(counts, ["run_id", "metric"], [errors]).select(
+        "run_id", "metric", "n", "error_count", "mean", "min", "max", "p25", "median", "p75", "std_dev")
 
 
 def sample_scores(scores: DataFrame) -> DataFrame:
@@ -88,11 +87,17 @@ def run_summary(samp: DataFrame, threshold: float = 0.7, metric_summ: DataFrame
     """
     t = float(threshold)
     o = F.col("overall_score")
-    dist = samp.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        F.avg(o).alias("unweighted_score"),
-        F.count_if(o >= t).alias("pass_count"),
-        *distribution(o, approx, with_mean=False))
+    if approx:
+        dist = samp.groupBy("run_id").agg(
+            F.count(F.lit(1)).alias("total_samples"),
+            F.count_if(o >= t).alias("pass_count"),
+            *distribution(o))
+    else:
+        counts = samp.groupBy("run_id", o.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        dist = distribution_of_counts(counts, ["run_id"], [
+            F.sum("c").alias("total_samples"),
+            F.sum(F.when(F.col("v") >= t, F.col("c")).otherwise(0)).alias("pass_count")])
+    dist = dist.withColumnRenamed("mean", "unweighted_score")
     if weights is not None and metric_summ is not None:
         dist = dist.join(weighted_overall(metric_summ, weights), "run_id", "left") \
             .withColumn("overall_score", F.coalesce("weighted_score", F.lit(0.0))) \

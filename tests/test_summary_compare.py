@@ -32,6 +32,31 @@ def test_percentile_matches_python(spark):
         assert r[k] == pytest.approx(want, abs=1e-12)
 
 
+def test_quantiles_of_awkward_groups(spark):
+    import numpy as np
+
+    from ragscope.operators.quantiles import distribution_of
+    g = np.random.default_rng(4)
+    groups = {"ties": g.integers(0, 3, 400).astype(float), "many": g.normal(size=3000), "two": np.array([1.0, 2.0]),
+              "one": np.array([0.8]), "hot": np.concatenate((np.zeros(900), g.random(50))), None: g.random(77)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("many", None), ("void", None), ("void", None)]
+    table = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r.k: r for r in distribution_of(table, ["k"], F.col("x")).collect()}
+    assert set(got) == {*groups, "void"}
+    for k, v in groups.items():
+        want = [len(v), v.mean(), v.min(), v.max(), *np.quantile(v, [0.25, 0.5, 0.75]), v.std()]
+        assert list(got[k])[1:] == pytest.approx(want, abs=1e-12), k
+    assert list(got["void"])[1:] == [0] + [None] * 7
+    assert distribution_of(table.where("k = 'none'"), ["k"], F.col("x")).count() == 0
+
+
+def test_exact_summaries_hold_no_group_in_one_buffer(spark):
+    table = scores(spark, [("m", s) for s in (0.9, 0.7, 0.5)])
+    for df in (S.metric_summary(table), S.run_summary(S.sample_scores(table))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "percentile(" not in plan
+
+
 def test_empty_run_summary_is_zeros(spark):
     empty = spark.createDataFrame([], "run_id string, sample_id long, overall_score double")
     ids = spark.createDataFrame([("r",)], "run_id string")
