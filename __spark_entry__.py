@@ -460,7 +460,7 @@ def q_weighted_overall(spark, sf_dir):
     """Weighted overall from per-metric means (missing weight = 1)."""
     sc = run_scores(spark, sf_dir, "A")
     w = S.weights_table(spark, WEIGHTS)
-    return S.weighted_overall(S.metric_summary(sc), w).select(
+    return S.weighted_overall(S.metric_means(sc), w).select(
         "run_id", _r6(F.col("weighted_score")).alias("weighted_score"))
 
 

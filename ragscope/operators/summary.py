@@ -59,6 +59,12 @@ def current_means(scores: DataFrame) -> DataFrame:
     return scores.groupBy("run_id", "metric").agg(F.avg(_valid_score()).alias("mean"))
 
 
+def metric_means(scores: DataFrame) -> DataFrame:
+    """n and mean per run and metric: what A4 needs of A1."""
+    v = _valid_score()
+    return scores.groupBy("run_id", "metric").agg(F.count(v).alias("n"), F.avg(v).alias("mean"))
+
+
 def weights_table(spark, weights: dict[str, float]) -> DataFrame:
     """The weights dict as a table (size bounded by the metric list)."""
     return spark.createDataFrame([(k, float(v)) for k, v in weights.items()],
