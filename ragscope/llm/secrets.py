@@ -4,9 +4,10 @@ Base spans are strong on their own: key assignments, access key ids, long hex
 runs. Weak parts are not: account names, endpoints and token-like strings are
 everywhere. They are reported only where complementary parts lie close: an
 identifier with a secret, a secret with an identifier, an endpoint with both.
-Parts are joined by intervals within a document: each part looks into the
-cells of ``reach`` code points around it, and the cells hold, for each role,
-how far its parts extend, so a text full of parts costs no pair of parts.
+Parts are joined by intervals within a document: each part stands in every
+cell of ``reach`` code points that it covers and looks into those around it; a
+cell holds, for each role, how far its parts extend there, so a text full of
+parts costs no pair of parts, and long parts are found from either end.
 
 Positions are code points, ends exclusive. Null text is the empty text and has
 no spans. Rows are told apart by position in the table, so repeated or null
@@ -83,10 +84,13 @@ def link_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
     role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv]), F.col("s.kind"))
     parts = (found.where(F.size("weak") > 0)
              .select("row", F.explode(F.concat("assign", "access", "hex", "weak")).alias("s"))
-             .select("row", "s", role.alias("role"), (F.col("s.rank") >= RANK[WEAK[0][0]]).alias("is_weak"),
-                     F.floor(F.col("s.start") / reach).alias("cell")))
-    cells = parts.groupBy("row", "cell", "role").agg(F.min("s.start").alias("lo"), F.max("s.end").alias("hi"))
-    around = F.sequence(F.col("cell") - 1, F.floor((F.col("s.end") + reach) / reach))
+             .select("row", "s", role.alias("role"), (F.col("s.rank") >= RANK[WEAK[0][0]]).alias("is_weak")))
+    cell = lambda at: F.floor(at / reach)
+    covered = parts.select("row", "role", "s", F.explode(F.sequence(cell(F.col("s.start")), cell(F.col("s.end") - 1))).alias("cell"))
+    cells = covered.groupBy("row", "cell", "role").agg(
+        F.min(F.greatest(F.col("s.start"), F.col("cell") * reach)).alias("lo"),
+        F.max(F.least(F.col("s.end"), (F.col("cell") + 1) * reach)).alias("hi"))
+    around = F.sequence(cell(F.col("s.start") - reach), cell(F.col("s.end") + reach))
     ask = parts.where("is_weak").select("row", "s", "role", F.explode(around).alias("cell"))
     near = ask.alias("p").join(cells.alias("c"), F.expr(
         f"p.row = c.row AND p.cell = c.cell AND p.role <> c.role AND c.lo <= p.s.end + {reach} AND c.hi + {reach} >= p.s.start"))
