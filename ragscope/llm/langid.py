@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ragscope.llm.common import documents, held_out, slices
 
@@ -136,26 +137,36 @@ def window_log_probs(model: dict, x: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def fit(docs: DataFrame, sample: int = 400, windows: int = 6, max_languages: int = 512) -> dict:
+def fit(docs: DataFrame, sample: int = 400, windows: int = 6) -> dict:
     """Train on at most ``sample`` documents of each language outside fold 0 and
-    ``windows`` windows of each. The bounds limit what the driver sees; the
-    languages come from all labelled rows."""
+    ``windows`` windows of each, spread evenly over the whole text. The bounds
+    limit what the driver sees; every language of a labelled row is learned.
+
+    Documents are chosen by a hash: those below a limit that leaves about twice
+    ``sample`` of each language, then the ``sample`` smallest of these, so that
+    no task holds a language's rows."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = [r.lang for r in counts.orderBy("lang").select("lang").collect()]
     if not langs:
         return {"classes": [], "tables": [], "out": None, "out_b": None}
-    picked = None
-    for lang in langs:
-        one = (known.where(F.col("lang") == lang).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-               .orderBy("h").limit(sample).select("lang", F.substring("text", 1, windows * WINDOW).alias("text")))
-        picked = one if picked is None else picked.unionByName(one)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    # one row a class: less than the network's last layer, which each task holds
+    some = (known.withColumn("share", share).join(F.broadcast(counts), "lang").where(F.col("share") * F.col("n") <= 2 * sample + 100)
+            .select("lang", "share", "text", F.length("text").alias("size")))
+    place = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring(
+        "text", (F.greatest(F.col("size") - WINDOW, F.lit(0)) * i / max(windows - 1, 1)).cast("int") + 1, F.lit(WINDOW)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("share", "pieces"))
+    picked = (some.select("lang", "share", F.array_distinct(place).alias("pieces")).withColumn("rank", rank)
+              .where(F.col("rank") <= sample).orderBy("lang", "rank").select("lang", "pieces"))
     rows = picked.collect()
     x, y = [], []
+    place = {lang: i for i, lang in enumerate(langs)}
     for r in rows:
-        if LETTER.search(r.text):
-            w = windows_of(r.text)[:windows]
-            x.append(w)
-            y += [langs.index(r.lang)] * len(w)
+        for piece in r.pieces:
+            if LETTER.search(piece):
+                x.append(windows_of(piece)[:1])
+                y.append(place[r.lang])
     if not x:
         return {"classes": [], "tables": [], "out": None, "out_b": None}
     return ByteCnn(langs).fit(np.concatenate(x), np.array(y)).compiled()
