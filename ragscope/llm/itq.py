@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from ragscope.llm.common import connected_components, materialize
 
-CHUNK = 512
+CHUNK = 1024  # vectors of a bucket in one matrix product
+BUCKET = 256  # vectors a bucket if codes were spread evenly: fewer, fuller buckets need fewer tables
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -85,25 +86,34 @@ def substrings(x: np.ndarray, model: dict) -> np.ndarray:
 def fit(distinct: DataFrame, count: int, width: int, cosine: float, recall: float, sample: int) -> dict:
     rows = distinct.where(F.size("v") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
     x = unit_rows(np.array([r.v for r in rows]))
-    length = min(30, max(6, round(math.log2(max(count, 2) / 16))))
+    length = min(30, max(6, round(math.log2(max(count, 2) / BUCKET))))
     k = tables(length, cosine, recall)
     mean, projection, cut = learn(x, length * k)
     return {"mean": mean, "projection": projection, "cut": cut, "tables": k, "length": length}
 
 
-def _block(left: list, right: list | None, table: int, cosine: float):
-    """Links in a bucket: per vector the number of linked vectors and a label."""
-    def arrays(rows):
-        return (np.array([r["vec_id"] for r in rows], np.int64), np.array([r["many"] for r in rows], np.int64),
-                np.array([r["codes"] for r in rows], np.int64), unit_rows(np.array([r["v"] for r in rows])))
+def _arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """vec_id, many, codes, unit vectors and chunk of a bucket's rows."""
+    def flat(name):
+        return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    ids, many, chunk = (table.column(c).to_numpy() for c in ("vec_id", "many", "chunk"))
+    return ids, many, flat("codes"), unit_rows(flat("v")), chunk
 
-    ia, ma, ca, xa = arrays(left)
-    ib, mb, cb, xb = (ia, ma, ca, xa) if right is None else arrays(right)
+
+def _block(left: tuple, right: tuple | None, table: int, cosine: float):
+    """Links in a bucket: per vector the number of linked vectors and a label."""
+    ia, ma, ca, xa = left
+    ib, mb, cb, xb = left if right is None else right
     link = xa @ xb.T >= cosine
-    for j in range(table):  # met before
-        link &= ca[:, j][:, None] != cb[:, j][None]
     if right is None:
         np.fill_diagonal(link, False)
+    if not link.any():
+        return []
+    for j in range(table):  # met before
+        link &= ca[:, j][:, None] != cb[:, j][None]
+    if not link.any():
+        return []
     big = np.iinfo(np.int64).max
     a, b = ia.copy(), ib.copy()
     while True:
@@ -147,14 +157,13 @@ def links(distinct: DataFrame, model: dict, cosine: float) -> DataFrame:
               .withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")))
 
     def compare(key, table):
-        rows = table.select(["vec_id", "many", "codes", "v", "chunk"]).to_pylist()
+        *rows, chunk = _arrays(table)
         j, lo, hi = key[0].as_py(), key[2].as_py(), key[3].as_py()
         if lo == hi:
             out = _block(rows, None, j, cosine)
         else:
-            left = [r for r in rows if r["chunk"] == lo]
-            right = [r for r in rows if r["chunk"] == hi]
-            out = _block(left, right, j, cosine) if left and right else []
+            left, right = ([x[chunk == c] for x in rows] for c in (lo, hi))
+            out = _block(left, right, j, cosine) if len(left[0]) and len(right[0]) else []
         ids, n, label = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3))
         some = n > 0
         return pa.table({"vec_id": ids[some], "n": n[some].astype(np.int64), "label": label[some]})
