@@ -7,6 +7,8 @@ least ``threshold``. That bounds the size: |unit| lies between t / (2 - t) and
 (2 - t) / t times |template|, and at least t (|unit| + |template|) / 2 bigrams
 are shared, so units without so many bigrams known to any template (and, before these are
 formed, units with too many words that no template has) go before the join, and the join looks at templates of fitting size alone.
+The same bound prunes templates for whole texts: words that take part in more than (1 - t / (2 - t)) |template|
+bigrams are chosen for each (``anchors``); a text with none of them matches nothing and is not cut into units.
 
 Null and empty texts have no unit and no match; a unit of one word has no
 bigram. Ties go to the template whose name sorts first. Rows are told apart by
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +91,20 @@ def template_rows(templates: dict[str, list[str]]) -> list[tuple[str, int, int,
     return [(name, i, len(bigrams(t)), sorted(bigrams(t))) for i, (name, t) in enumerate(texts)]
 
 
+def anchors(templates: list[tuple[str, int, int, list[str]]], threshold: float) -> list[str]:
+    """Words of which every match holds at least one: without them too few of
+    any template's bigrams are left. Words that serve many templates first."""
+    open_ = [{tuple(b.split()) for b in bs} for *_, bs in templates]
+    need = [threshold / (2 - threshold) * len(bs) - 1e-9 for bs in open_]
+    chosen: list[str] = []
+    while any(len(bs) >= n for bs, n in zip(open_, need)):
+        gain = Counter(w for bs, n in zip(open_, need) if len(bs) >= n for b in bs for w in set(b))
+        best = max(gain, key=lambda w: (len(w) >= 6, gain[w], w))
+        chosen.append(best)
+        open_ = [{b for b in bs if best not in b} for bs in open_]
+    return chosen
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """row, doc_id and matches: array of (licence, dice, unit) of every document;
     unit is the line's number from 1, 0 for the whole text, or minus the
@@ -130,7 +148,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     units = F.filter(F.concat(numbered(F.split("text", "\n"), 1), paragraphs, whole),
                      lambda u: F.length(u["text"]) >= 2 * least + 1)
     found = F.filter(F.transform(F.filter(F.transform(units, word_list), familiar), describe), lambda u: F.size(u["b"]) >= shared)
-    base = materialize(base.select("row", "doc_id", found.alias("found")), "licences")
+    likely = reduce(lambda a, b: a | b, [F.contains("text", F.lit(w)) for w in anchors(rows, threshold)])
+    base = materialize(base.select("row", "doc_id", F.when(likely, found).alias("found")), "licences")
     pairs = base.select("row", F.explode("found").alias("u")).select("row", "u.unit", "u.n", "u.b")
     # templates are constants of the module: their bigrams are a bounded table
     index = F.broadcast(spark.createDataFrame([(name, i, n, b) for name, i, n, bs in rows for b in bs],

@@ -185,6 +185,9 @@ def test_licenses(spark, empty):
     want = [("MIT", 2)] if 2 * len(a & b) / (len(a) + len(b)) >= 0.8 else []
     assert got[1] == want and got[2] == [("MIT", 1)] and got[3] == got[4] == got[6] == []
     assert ("MIT", 0) in got[5]
+    chosen = set(licenses.anchors(licenses.template_rows(licenses.TEMPLATES), 0.8))
+    for name, _, n, bs in licenses.template_rows(licenses.TEMPLATES):
+        assert sum(not chosen & set(b.split()) for b in bs) < 0.8 / 1.2 * n, name
     assert licenses.scan(empty).count() == 0
 
 
