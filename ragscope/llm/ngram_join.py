@@ -152,8 +152,9 @@ def matrix_rows(described: DataFrame, units: DataFrame, docs: DataFrame, size: i
     # beyond what such a unit had emitted, its tokens may have one holder so far
     last = described.join(hard.select(F.col("unit").alias("doc_id"), "unit"), "doc_id").select(
         "unit", F.element_at("first", -1).alias("last"))
+    # (not by shared: there, copies of one unit in other tasks count as holders)
     fresh = (ranked.where("hot IS NULL").join(last, "unit").where("t > last").select("t").distinct()
-             .join(shared, "t", "left_anti"))
+             .join(count, "t", "left_anti"))
     fresh = materialize(fresh, "fresh")
     reach = late.select("unit", "reach", F.col("hard").alias("is_hard"))
     alone = (emitted.join(fresh, "t").join(member, "doc_id").join(reach, "unit", "left")
