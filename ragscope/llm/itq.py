@@ -6,8 +6,11 @@ rotation that fits them best (an orthogonal Procrustes step); each bit is cut
 at the sample's median, so codes are balanced. The codes of several rotations
 make one long code, which is split into substrings; every substring indexes a
 table of all vectors, and vectors that agree in a substring are candidates.
-Substring length follows the number of vectors, and the number of tables
-follows from the length and the wanted recall at the threshold (``tables``).
+Substring length follows the number of vectors. The number of tables is what
+the length and the wanted recall ask for if bits differed by the angle alone
+(``tables``), and more until pairs at the threshold, made from the sample, meet
+with that recall under the learned bits (a mean that all vectors share makes
+bits differ more often); where that takes too many, substrings get shorter.
 Candidates are reranked by the cosine of the original vectors in double
 precision, as one matrix product per bucket; a pair counts in the first table
 in which it meets, so nothing is counted twice and no pair is ever a row.
@@ -31,6 +34,7 @@ from ragscope.llm.common import connected_components, materialize
 
 CHUNK = 1024  # vectors of a bucket in one matrix product
 BUCKET = 256  # vectors a bucket if codes were spread evenly: fewer, fuller buckets need fewer tables
+MOST = 256  # tables beyond which codes get shorter instead, where bits agree less than the angle says
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -83,13 +87,49 @@ def substrings(x: np.ndarray, model: dict) -> np.ndarray:
     return bits @ (np.int64(1) << np.arange(model["length"], dtype=np.int64))
 
 
+def threshold_pairs(x: np.ndarray, cosine: float, least: int = 8192, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at exactly ``cosine``: unit vectors with themselves moved in random
+    directions, and towards other vectors of ``x``."""
+    rng = np.random.default_rng(seed)
+    x = np.tile(x, (math.ceil(least / len(x)), 1))
+    out = []
+    for d in (rng.normal(size=x.shape), x[rng.permutation(len(x))]):
+        d = d - (d * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(d, axis=1, keepdims=True)
+        ok = size[:, 0] > 1e-6
+        if ok.any():
+            out.append((x[ok], cosine * x[ok] + math.sqrt(1 - cosine * cosine) * d[ok] / size[ok]))
+    return out
+
+
+def met(pairs: list[tuple[np.ndarray, np.ndarray]], model: dict) -> float:
+    """The share of the pairs that meet in a table; the smallest of the kinds of pairs."""
+    return min(((substrings(a, model) == substrings(b, model)).any(1).mean() for a, b in pairs), default=1.0)
+
+
 def fit(distinct: DataFrame, count: int, width: int, cosine: float, recall: float, sample: int) -> dict:
     rows = distinct.where(F.size("v") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
     x = unit_rows(np.array([r.v for r in rows]))
+    pairs = threshold_pairs(x, cosine)
     length = min(30, max(6, round(math.log2(max(count, 2) / BUCKET))))
-    k = tables(length, cosine, recall)
-    mean, projection, cut = learn(x, length * k)
-    return {"mean": mean, "projection": projection, "cut": cut, "tables": k, "length": length}
+    learned, had = None, 0
+    while True:
+        k = tables(length, cosine, recall)
+        most = max(MOST, k)
+        while True:
+            if length * k > had:  # more bits leave the first ones as they are
+                learned, had = learn(x, length * k), length * k
+            mean, projection, cut = learned
+            model = {"mean": mean, "projection": projection[:, :length * k], "cut": cut[:length * k], "tables": k,
+                     "length": length}
+            got = met(pairs, model)
+            if got >= recall or k == most:
+                break
+            need = math.log(1 - recall) / math.log(1 - got) if got > 0 else most
+            k = min(most, max(k + 1, math.ceil(k * min(need, most))))
+        if got >= recall or length == 1:
+            return model
+        length -= 1  # fuller buckets instead of a lower recall
 
 
 def _arrays(table: pa.Table) -> tuple[np.ndarray, ...]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ragscope.llm import ngram_join
+from ragscope.llm import itq, ngram_join
 
 
 def _hard_unit_case():
@@ -41,3 +41,21 @@ def test_ngram_link_of_hard_unit_with_copies(spark):
     found = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
     assert [found[i] for i in (1, 2, 3)] == [1, 1, 1]
     assert all(found[10 + i] == 10 + i for i in range(len(others)))
+
+
+def test_embedding_tables_reach_recall_with_a_common_component(spark):
+    # vectors with a mean cosine of 0.75, and codes as long as for a million
+    rng = np.random.default_rng(1)
+
+    def some(n):
+        g = rng.normal(size=(n, 64))
+        return itq.unit_rows(0.5 * g / np.linalg.norm(g, axis=1, keepdims=True) + 0.75**0.5 * np.eye(64)[0])
+
+    schema = "vec_id long, v array<double>"
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some(3000))], schema)
+    model = itq.fit(vectors, 1_000_000, 64, 0.95, 0.995, 8192)
+    x = some(3000)
+    d = rng.normal(size=x.shape)
+    d -= (d * x).sum(1, keepdims=True) * x
+    y = 0.955 * x + (1 - 0.955**2) ** 0.5 * d / np.linalg.norm(d, axis=1, keepdims=True)
+    assert (itq.substrings(x, model) == itq.substrings(y, model)).any(1).mean() >= 0.985
