@@ -9,6 +9,7 @@ from ragscope.llm.langid import op8_langid
 from ragscope.llm.licenses import op5_licenses
 from ragscope.llm.ngram_join import op7_ngram_jaccard
 from ragscope.llm.packing import op9_packing
+from ragscope.llm.residual_packing import op13_residual_packing
 from ragscope.llm.secrets import op3_secrets
 from ragscope.llm.substring import op10_substring_dedup
 from ragscope.llm.syncmers import op6_syncmers
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_residual_packing": op13_residual_packing,
     "pipeline": corpus_pipeline.run,
 }
 
