@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from ragscope.llm.alignment import op11_alignment
 from ragscope.llm.bpe import op4_bpe
 from ragscope.llm.itq import op1_embedding_dedup
 from ragscope.llm.langid import op8_langid
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_alignment": op11_alignment,
     "op13_residual_packing": op13_residual_packing,
     "pipeline": corpus_pipeline.run,
 }
