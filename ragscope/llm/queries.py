@@ -15,6 +15,7 @@ from ragscope.llm.secrets import op3_secrets
 from ragscope.llm.substring import op10_substring_dedup
 from ragscope.llm.syncmers import op6_syncmers
 from ragscope.llm.toxicity import op2_toxicity
+from ragscope.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_alignment": op11_alignment,
+    "op12_whitening": op12_whitening,
     "op13_residual_packing": op13_residual_packing,
     "pipeline": corpus_pipeline.run,
 }
