@@ -33,6 +33,7 @@ import functools
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -80,33 +81,54 @@ class Tokenizers:
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         byte = {chr(b) if b in printable else chr(next(rest)): b for b in range(256)}
-        self.bytes_a = {i: bytes(byte[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        vocab = self.a.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (1 + max(vocab.values()))
+        for token, i in vocab.items():
+            self.bytes_a[i] = bytes(byte[c] for c in token)
         self.bytes_b = []
         for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
             if SPACE_MARK in piece.lstrip(SPACE_MARK):
                 raise ValueError(f"piece {piece!r} joins across a space: words cannot be tokenised on their own")
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_MARK, " ").encode())
+        self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
+        self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
-    def tokens(self, words: list[bytes]) -> list[np.ndarray | None]:
-        """Each word's tokens, sorted; its bytes are a space and the word. None
-        where the tokens' bytes are not these."""
+    def encode(self, words: list[bytes]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Ids of both kinds, and whether their bytes are a space and the word."""
         texts = [w.decode("utf-8") for w in words]
-        found_a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        found_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         found_b = self.b.encode(texts, num_threads=1)
-        out: list[np.ndarray | None] = []
-        for word, a, b in zip(words, found_a, found_b, strict=True):
-            parts_a, parts_b = [self.bytes_a[i] for i in a.ids], [self.bytes_b[i] for i in b]
-            whole = b" " + word
-            if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-                out.append(None)
+        whole = b" " + b" ".join(words)
+
+        def same(found, table):
+            return b"".join(map(table.__getitem__, chain.from_iterable(found))) == whole
+
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ok = np.ones(len(words), bool)
+        for found, table, lengths in ((found_a, self.bytes_a, self.length_a), (found_b, self.bytes_b, self.length_b)):
+            if same(found, table) and (segment_sums(lengths, found) == sizes).all():
                 continue
-            ends_a = np.cumsum([len(p) for p in parts_a])
-            ends_b = np.cumsum([len(p) for p in parts_b])
-            packed = np.concatenate((ends_a << 17 | np.array(a.ids), ends_b << 17 | 1 << 16 | np.array(b)))
-            packed.sort()
-            out.append(packed)
-        return out
+            ok &= [b"".join(map(table.__getitem__, ids)) == b" " + w for ids, w in zip(found, words)]
+        return found_a, found_b, ok
+
+    def tokens(self, word: bytes) -> np.ndarray | None:
+        """One word's tokens, sorted; None where their bytes are not a space and the word."""
+        (a,), (b,), ok = self.encode([word])
+        if not ok[0]:
+            return None
+        packed = np.concatenate((np.cumsum(self.length_a[a]) << 17 | np.array(a, np.int64),
+                                 np.cumsum(self.length_b[b]) << 17 | 1 << 16 | np.array(b, np.int64)))
+        packed.sort()
+        return packed
+
+
+def segment_sums(values: np.ndarray, found: list[list[int]]) -> np.ndarray:
+    """The sum of ``values`` over each list of ids."""
+    count = np.fromiter(map(len, found), np.int64, len(found))
+    total = np.concatenate(([0], np.cumsum(values[np.fromiter(chain.from_iterable(found), np.int64)])))
+    end = np.cumsum(count)
+    return total[end] - total[end - count]
 
 
 @functools.lru_cache(2)
@@ -182,32 +204,80 @@ def counted(pairs: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
 
 
 class Words:
-    """The groups of whole words, remembered: row of numbers and text per word."""
+    """The groups of whole words, remembered: a row of numbers and a text for
+    each word. A row is [ok, tokens A, tokens B, groups, links...]."""
 
     def __init__(self, path_a: str, path_b: str):
         self.tokenizers = tokenizers(path_a, path_b)
         self.texts: list[str] = []
         self.memo = Memo(self._make)
+        # an id as text, with what follows it: , | ; or the end of a word
+        self.written = [f"{i}{mark}" for mark in ",|;\n" for i in range(1 << 16)]
 
-    def _make(self, words: list[bytes]) -> list[np.ndarray]:
+    def _make(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words at once, as tokens along one line of bytes."""
         if not self.memo.n:
             self.texts.clear()
-        rows = []
-        for tokens in self.tokenizers.tokens(words):
-            if tokens is None:
-                self.texts.append("")
-                rows.append(np.array([0, 0, 0, 0]))
-                continue
-            f = fragment(tokens, starts_cut=True)
-            n_b = int(((tokens >> 16) & 1).sum())
-            self.texts.append(f.groups)
-            rows.append(np.concatenate(([1, len(tokens) - n_b, n_b, f.n_groups], f.links)))
-        return rows
+        found_a, found_b, ok = self.tokenizers.encode(words)
+        if not ok.all():  # words without tokens: their rows are zeros
+            bad = np.flatnonzero(~ok).tolist()
+            for i in bad:
+                found_a[i], found_b[i] = [], []
+        t = self.tokenizers
+        size = np.where(ok, np.fromiter(map(len, words), np.int64, len(words)) + 1, 0)
+        word_end = np.cumsum(size)
+        ids, starts, ends, counts = [], [], [], []
+        for found, lengths in ((found_a, t.length_a), (found_b, t.length_b)):
+            flat = np.fromiter(chain.from_iterable(found), np.int64)
+            end = np.cumsum(lengths[flat])
+            ids.append(flat)
+            ends.append(end)
+            starts.append(end - lengths[flat])
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+        common = np.intersect1d(*ends, assume_unique=True)  # words end at common ends, too
+        # each pair that overlaps does so first where the later one starts
+        first = np.union1d(*starts)
+        links = (ids[0][np.searchsorted(starts[0], first, "right") - 1] << 16
+                 | ids[1][np.searchsorted(starts[1], first, "right") - 1]) if len(first) else NO_TOKENS
+        upto = np.searchsorted(first, word_end)
+        n_links = np.diff(upto, prepend=0)
+        n_groups = np.diff(np.searchsorted(common, word_end, "right"), prepend=0)
+        # groups as text: A ids, then B ids of each group
+        order = np.concatenate([np.searchsorted(common, e) * 2 + kind for kind, e in enumerate(ends)])
+        at = np.argsort(order, kind="stable")
+        flat, where = np.concatenate(ids)[at], order[at]
+        end = np.concatenate(ends)[at]
+        after = np.append(where[1:], -1)
+        mark = np.where(after == where, 0, np.where(where % 2 == 0, 1, np.where(np.isin(end, word_end), 3, 2)))
+        texts = "".join(map(self.written.__getitem__, (mark << 16 | flat).tolist())).split("\n")[:-1]
+        if len(texts) == len(words):
+            self.texts += texts
+        else:
+            each = iter(texts)
+            self.texts += [next(each) if x else "" for x in ok.tolist()]
+        row = np.empty(len(links) + 4 * len(words), np.int64)
+        begin = np.cumsum(n_links + 4) - n_links - 4
+        number = np.zeros(len(row), bool)
+        for k, column in enumerate((ok, counts[0], counts[1], n_groups)):
+            row[begin + k] = column
+            number[begin + k] = True
+        row[~number] = links
+        return row, n_links + 4
 
     def align(self, words: list[bytes]) -> tuple[bool, int, int, int, str, np.ndarray]:
         """Whether all words' bytes are covered, tokens A, tokens B, groups,
         their text, and counted links of the words in a row."""
-        index = self.memo.index(words)
+        return self._sum(self.memo.index(words))
+
+    def align_each(self, texts: list[list[bytes]]) -> list[tuple[bool, int, int, int, str, np.ndarray]]:
+        """``align`` of each text's words; new words are worked out together."""
+        index = self.memo.index(list(chain.from_iterable(texts)))
+        ends = np.cumsum([len(t) for t in texts])
+        return [self._sum(index[e - len(t):e]) for t, e in zip(texts, ends.tolist())]
+
+    def _sum(self, index: np.ndarray) -> tuple[bool, int, int, int, str, np.ndarray]:
+        if not len(index):
+            return True, 0, 0, 0, "", NO_TOKENS
         ok, n_a, n_b, n_groups = (self.memo.flat[self.memo.at[index] + k] for k in range(4))
         if not ok.all():
             return False, 0, 0, 0, "", NO_TOKENS
@@ -269,7 +339,7 @@ def range_fragment(known: Words, piece: bytes, lo: int, hi: int, base: int) -> t
         if i is None:
             whole.append(middle)
             continue
-        tokens = known.tokenizers.tokens([words[i]])[0]
+        tokens = known.tokenizers.tokens(words[i])
         if tokens is None:
             ok = False
             continue
@@ -295,8 +365,7 @@ def short_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches):
         known = words_of(path_a, path_b)
         for batch in slices(batches):
-            out = [known.align(CUT.split(t)) if t else (True, 0, 0, 0, "", NO_TOKENS)
-                   for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            out = known.align_each([CUT.split(t) if t else [] for t in batch.column("text").cast(pa.binary()).to_pylist()])
             _, n_a, n_b, n_groups, text, links = zip(*out)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()),

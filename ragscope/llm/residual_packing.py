@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,10 @@ def tokenizer(path: str):
 @functools.lru_cache(2)
 def word_ids(path: str, end_id: int) -> Memo:
     """The ids of words, kept from task to task of a worker."""
-    def make(words: list[bytes]) -> list[np.ndarray]:
-        found = tokenizer(path).encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids if w else [end_id], np.int64) for w, e in zip(words, found)]
+    def make(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = tokenizer(path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        ids = [e.ids if w else [end_id] for w, e in zip(words, found, strict=True)]
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
     return Memo(make)
 
