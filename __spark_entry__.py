@@ -8,12 +8,11 @@ oracle SQL for each query.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ragscope.functions import text as X
 from ragscope.operators import compare as CMP
@@ -28,6 +27,7 @@ from ragscope.operators.judge import (TEMPLATES, ExpressionResponder, Judge, bui
 from ragscope.operators.metrics import ALL_JUDGE, METRIC_REQUIREMENTS
 from ragscope.operators.score import score, score_runs
 from ragscope.session import spread
+from ragscope.storage import scratch_path
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -543,7 +543,7 @@ FROM scores GROUP BY sample_id"""
 def q_compare_runs(spark, sf_dir):
     """Run A against run B per metric (full outer on metric)."""
     sc = run_scores_ab(spark, sf_dir)
-    m = S.metric_summary(sc)
+    m = S.metric_means(sc)
     cmp = CMP.compare(m.where(F.col("run_id") == "A"), m.where(F.col("run_id") == "B"))
     return cmp.select("metric", _r6(F.col("score_a")).alias("score_a"),
                       _r6(F.col("score_b")).alias("score_b"), _r6(F.col("delta")).alias("delta"),
@@ -712,15 +712,19 @@ def q_cache_hit_miss(spark, sf_dir):
                                         F.count_if(~F.col("hit")).alias("misses"))
 
 
+def _sql_guard(m: str) -> str:
+    """When a metric asks the judge at all."""
+    return {"answer_similarity": f"NOT ({_sql_no_ref()})",
+            "context_precision": f"NOT ({_sql_no_ctx()})",
+            "context_recall": f"NOT ({_sql_no_ctx()} OR {_sql_no_ref()})",
+            "toxicity": f"NOT {_sql_toxic_any('answer')}"}.get(m, "true")
+
+
 def _sql_asked() -> str:
     rows = []
     for m in JUDGE_METRICS:
-        guard = {"answer_similarity": f"NOT ({_sql_no_ref()})",
-                 "context_precision": f"NOT ({_sql_no_ctx()})",
-                 "context_recall": f"NOT ({_sql_no_ctx()} OR {_sql_no_ref()})",
-                 "toxicity": f"NOT {_sql_toxic_any('answer')}"}.get(m, "true")
         rows.append(f"SELECT sample_id, '{m}' AS metric, {_sql_prompt(m)} AS prompt "
-                    f"FROM samples_docs WHERE {guard}")
+                    f"FROM samples_docs WHERE {_sql_guard(m)}")
     return (f"WITH {SAMPLES_SQL},\nasked0 AS ({' UNION ALL '.join(rows)}),\n"
             f"asked AS (SELECT *, sha256('{MODEL_A}|0.0|' || prompt) AS cache_key FROM asked0),\n"
             f"cache AS (SELECT cache_key, max(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(sample_id % 60 AS INTEGER))) AS created_at\n"
@@ -833,19 +837,18 @@ FROM listed, mm"""
 
 
 def q_trend_stats(spark, sf_dir):
-    """A14 T5-style: min, max, mean, latest over the listed runs."""
+    """A14 T5-style: min, max, mean, latest over all runs."""
     runs, _ = history_fixture(spark, sf_dir)
-    st = H.trend_stats(H.list_runs(runs, None, 20))
+    st = H.trend_stats(H.list_runs(runs))
     return st.select("runs", *[_r6(F.col(c)).alias(c) for c in
                                ["min_score", "max_score", "mean_score", "latest_score"]])
 
 
 SQL_TREND_STATS = f"""
-{_SQL_RUNS},
-listed AS (SELECT * FROM runs ORDER BY ts DESC, run_id DESC LIMIT 20)
+{_SQL_RUNS}
 SELECT count(*) AS runs, round(min(overall_score), 6) AS min_score, round(max(overall_score), 6) AS max_score,
        round(avg(overall_score), 6) AS mean_score, round(arg_max(overall_score, ts), 6) AS latest_score
-FROM listed"""
+FROM runs"""
 
 
 def q_run_over_run_delta(spark, sf_dir):
@@ -867,6 +870,254 @@ SELECT tag, metric, run_id, round(mean, 6) AS mean, round(previous, 6) AS previo
        round(mean - previous, 6) AS delta FROM j"""
 
 
+# --- the judge as a paid stage (U3, U4, U5, J3, A15) -------------------------
+
+BAD_BELOW = 40  # of 65,536: prompts that the recorded table lacks and the function refuses
+
+
+def _python_reply(model: str):
+    """The stand-in judge as a Python function that refuses some prompts."""
+    def answer(prompts):
+        import hashlib
+        out = []
+        for prompt in prompts:
+            h = int(hashlib.md5(f"{model}|{prompt}".encode()).hexdigest()[:4], 16)
+            if h < BAD_BELOW:
+                raise ValueError("refused")
+            out.append(f'{{"score": {h / 65535:.4f}, "reasoning": "stand-in reply"}}')
+        return out
+    return answer
+
+
+def _reply_4(model: str, prompt: Column) -> Column:
+    """The same reply as an expression."""
+    return F.format_string('{"score": %.4f, "reasoning": "stand-in reply"}', standin_score(model, prompt))
+
+
+def _stage_summary(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("metric", "status").agg(F.count(F.lit(1)).alias("n"), _r6(F.sum("score")).alias("total"))
+
+
+def q_judge_stage_recorded(spark, sf_dir):
+    """Every metric through the judge stage with recorded replies; prompts
+    without a recorded reply are judge errors."""
+    from ragscope.operators.judge import RecordedResponder
+    from ragscope.operators.score import prompt_table
+    samples = samples_docs(spark, sf_dir)
+    prompts = prompt_table(samples, JUDGE_METRICS, Judge(None, model=MODEL_A))
+    kept = prompts.where(standin_score(MODEL_A, F.col("prompt")) * 65535 >= BAD_BELOW)
+    recorded = kept.select("cache_key", _reply_4(MODEL_A, F.col("prompt")).alias("response")).dropDuplicates(["cache_key"])
+    judge = Judge(RecordedResponder(recorded), model=MODEL_A)
+    return _stage_summary(score(samples, ALL_METRICS, judge=judge, run_id="A"))
+
+
+def _stage_with_cache(spark, sf_dir):
+    """Scores and cache of a run whose cache already holds the replies for the
+    faithfulness prompts, through a Python function that refuses some prompts."""
+    from ragscope.operators.judge import BatchResponder
+    from ragscope.operators.score import prompt_table
+    samples = samples_docs(spark, sf_dir)
+    cache = C.JudgeCache(spark, _scratch(spark, "judge-cache"))
+    judge = Judge(BatchResponder(_python_reply(MODEL_A), max_retries=2, backoff=0.0), model=MODEL_A, cache=cache)
+    known = prompt_table(samples, ["faithfulness"], judge).where(
+        standin_score(MODEL_A, F.col("prompt")) * 65535 >= BAD_BELOW)
+    cache.append(known.select("cache_key", _reply_4(MODEL_A, F.col("prompt")).alias("response")).dropDuplicates(["cache_key"]))
+    return score(samples, ALL_METRICS, judge=judge, run_id="A"), cache
+
+
+def q_judge_stage_batch(spark, sf_dir):
+    """The same through a Python responder with retries, a journal
+    and a stored cache; refused prompts fail on their own."""
+    return _stage_summary(_stage_with_cache(spark, sf_dir)[0])
+
+
+def _sql_stage_rows() -> str:
+    """The long table with replies of four decimals, of which some are missing."""
+    rows = _sql_metric_rows(MODEL_A, "A")
+    for m in JUDGE_METRICS:
+        exact = _sql_standin(MODEL_A, _sql_prompt(m))
+        rows = rows.replace(exact, f"CAST(printf('%.4f', {exact}) AS DOUBLE)")
+    return rows
+
+
+def _sql_missing() -> str:
+    """Which rows asked a prompt that has no reply."""
+    rows = []
+    for m in JUDGE_METRICS:
+        rows.append(f"SELECT sample_id, '{m}' AS metric FROM samples_docs WHERE {_sql_guard(m)} "
+                    f"AND {_sql_standin(MODEL_A, _sql_prompt(m))} * 65535 < {BAD_BELOW}")
+    return "\nUNION ALL\n".join(rows)
+
+
+SQL_JUDGE_STAGE = f"""
+WITH {SAMPLES_SQL}, scores AS ({_sql_stage_rows()}), missing AS ({_sql_missing()})
+SELECT s.metric, CASE WHEN m.metric IS NULL THEN s.status ELSE 'judge_error' END AS status, count(*) AS n,
+       round(sum(CASE WHEN m.metric IS NULL THEN s.score END), 6) AS total
+FROM scores s LEFT JOIN missing m ON m.sample_id = s.sample_id AND m.metric = s.metric GROUP BY 1, 2"""
+
+
+def q_judge_cache_after_run(spark, sf_dir):
+    """What the cache holds once the run is scored: each distinct
+    prompt's reply once, errors not at all."""
+    scores, cache = _stage_with_cache(spark, sf_dir)
+    return cache.table().groupBy().agg(F.count(F.lit(1)).alias("rows")).crossJoin(cache.stats())
+
+
+SQL_JUDGE_CACHE_AFTER_RUN = f"""
+{_sql_asked()}
+SELECT count(DISTINCT cache_key) AS rows, count(DISTINCT cache_key) AS entry_count,
+       (count(DISTINCT cache_key) * length('{{"score": 0.1234, "reasoning": "stand-in reply"}}'))::BIGINT AS size_bytes
+FROM asked WHERE {_sql_standin(MODEL_A, 'prompt')} * 65535 >= {BAD_BELOW}"""
+
+
+# --- case rows and verdicts (A11, X16, F5, F4) -------------------------------
+
+def q_failure_cases(spark, sf_dir):
+    """Every failing case with its message."""
+    return S.failure_cases(run_scores(spark, sf_dir, "A"), THRESHOLD).select(
+        "sample_id", "metric", _r6(F.col("score")).alias("score"), "message")
+
+
+SQL_FAILURE_CASES = f"""
+{_sql_scores_cte()}
+SELECT sample_id, metric, round(coalesce(score, 0), 6) AS score,
+       'Score ' || printf('%.4f', coalesce(score, 0)) || ' < threshold {THRESHOLD}' AS message
+FROM scores WHERE coalesce(score, 0) < {THRESHOLD}"""
+
+
+def q_metric_verdicts(spark, sf_dir):
+    """per metric, whether the mean reaches the threshold."""
+    means = S.metric_means(run_scores(spark, sf_dir, "A"))
+    return S.metric_verdicts(means, 0.5).select("metric", "n", _r6(F.col("mean")).alias("mean"), "metric_passed")
+
+
+SQL_METRIC_VERDICTS = f"""
+{_sql_scores_cte()}
+SELECT metric, count(score) AS n, round(avg(score), 6) AS mean, avg(score) >= 0.5 AS metric_passed FROM scores GROUP BY metric"""
+
+
+def q_samples_without_metrics(spark, sf_dir):
+    """row scores of all samples, those of English texts alone being scored."""
+    samples = samples_docs(spark, sf_dir)
+    scored = score(FL.filter_samples(samples, "metadata.lang=en"), ["format_compliance"], run_id="A")
+    every = samples.select(F.lit("A").alias("run_id"), "sample_id")
+    return S.sample_scores(scored, every).select("sample_id", "overall_score", "n_metrics")
+
+
+SQL_SAMPLES_WITHOUT_METRICS = f"""
+WITH {SAMPLES_SQL}
+SELECT sample_id, CASE WHEN lang = 'en' THEN {_sql_format_score()} ELSE 0.0::DOUBLE END AS overall_score,
+       CASE WHEN lang = 'en' THEN 1 ELSE 0 END::BIGINT AS n_metrics FROM samples_docs"""
+
+
+# --- stored runs (S15, S16, J1, J8, I6) --------------------------------------
+
+def _stored_runs(spark, sf_dir) -> str:
+    """A history with runs A and B, saved one after the other."""
+    from datetime import datetime
+    from ragscope.storage import store
+    where = _scratch(spark, "history")
+    both = store(run_scores_ab(spark, sf_dir), "scores-ab")
+    for run, day in (("A", 1), ("B", 2)):
+        sc = both.where(F.col("run_id") == run)
+        samp = S.sample_scores(sc)
+        H.save_run(spark, where, S.run_summary(samp, THRESHOLD, approx=True), S.metric_means(sc), sc,
+                   tag=f"tag{day}", ts=datetime(2024, 1, day, 12))
+    return where
+
+
+def q_run_store(spark, sf_dir):
+    """Two runs saved; the second one's scores read back, with its date and tag."""
+    where = _stored_runs(spark, sf_dir)
+    runs = H.read_table(spark, where, "runs").select("run_id", "tag", X.short_ts(F.col("ts")).alias("ts"))
+    return H.load_run(spark, where, "B").groupBy("run_id", "run_date", "metric").agg(
+        F.count(F.lit(1)).alias("n"), _r6(F.sum("score")).alias("total")).join(runs, "run_id").select(
+        "run_id", F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), "tag", "ts", "metric", "n", "total")
+
+
+SQL_RUN_STORE = f"""
+{_sql_scores_ab_cte()}
+SELECT run_id, '2024-01-02' AS run_date, 'tag2' AS tag, '2024-01-02 12:00:00' AS ts, metric, count(*) AS n,
+       round(sum(score), 6) AS total FROM scores WHERE run_id = 'B' GROUP BY run_id, metric"""
+
+
+def q_stored_run_diff(spark, sf_dir):
+    """Two stored runs against each other, per metric and overall."""
+    d = CMP.diff_runs(spark, _stored_runs(spark, sf_dir), "A", "B")
+    overall = d.overall.select(F.lit("(overall)").alias("metric"), F.col("overall_a").alias("score_a"),
+                               F.col("overall_b").alias("score_b"), F.col("overall_delta").alias("delta"),
+                               F.col("verdict").alias("direction"))
+    return d.metrics.unionByName(overall).select(
+        "metric", *[_r6(F.col(c)).alias(c) for c in ("score_a", "score_b", "delta")], "direction")
+
+
+SQL_STORED_RUN_DIFF = f"""
+{_sql_scores_ab_cte()},
+m AS (SELECT run_id, metric, avg(score) AS mean FROM scores GROUP BY 1, 2),
+o AS (SELECT run_id, avg(o) AS o FROM (SELECT run_id, sample_id, avg(score) AS o FROM scores GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT a.metric, a.mean AS sa, b.mean AS sb, false AS whole FROM m a JOIN m b ON a.metric = b.metric
+      WHERE a.run_id = 'A' AND b.run_id = 'B'
+      UNION ALL SELECT '(overall)', a.o, b.o, true FROM o a, o b WHERE a.run_id = 'A' AND b.run_id = 'B')
+SELECT metric, round(sa, 6) AS score_a, round(sb, 6) AS score_b, round(sb - sa, 6) AS delta,
+       CASE WHEN whole THEN CASE WHEN sb > sa THEN 'better' WHEN sb < sa THEN 'worse' ELSE 'no difference' END
+            WHEN sb - sa > 0.001 THEN 'up' WHEN sb - sa < -0.001 THEN 'down' ELSE 'same' END AS direction
+FROM j"""
+
+
+def q_stored_sample_diff(spark, sf_dir):
+    """The same runs per sample."""
+    d = CMP.diff_runs(spark, _stored_runs(spark, sf_dir), "A", "B")
+    return d.samples.select("sample_id", *[_r6(F.col(c)).alias(c) for c in ("score_a", "score_b", "delta")], "direction")
+
+
+SQL_STORED_SAMPLE_DIFF = f"""
+{_sql_scores_ab_cte()}, {_SQL_SAMPLE_SCORES}
+SELECT a.sample_id, round(a.o, 6) AS score_a, round(b.o, 6) AS score_b, round(b.o - a.o, 6) AS delta,
+       CASE WHEN b.o - a.o > 0.001 THEN 'up' WHEN b.o - a.o < -0.001 THEN 'down' ELSE 'same' END AS direction
+FROM sample_scores a JOIN sample_scores b USING (sample_id) WHERE a.run_id = 'A' AND b.run_id = 'B'"""
+
+
+# --- reports written and read by Spark (S10-S13, I9) -------------------------
+
+def _stored_report(spark, sf_dir) -> str:
+    from ragscope.sources.reports import report_metadata, write_json_report
+    from ragscope.storage import store
+    where = _scratch(spark, "report")
+    sc = store(run_scores(spark, sf_dir, "A"), "scores-a")
+    write_json_report(sc, ALL_METRICS, where, S.run_summary(S.sample_scores(sc), THRESHOLD, approx=True),
+                      S.metric_means(sc), report_metadata(spark))
+    return where
+
+
+def q_report_roundtrip(spark, sf_dir):
+    """A report's results, written and read back as score rows."""
+    from ragscope.sources.reports import read_results, report_to_scores
+    back = report_to_scores(read_results(spark, _stored_report(spark, sf_dir)))
+    return back.select("sample_id", "metric", _r6(F.col("score")).alias("score"))
+
+
+SQL_REPORT_ROUNDTRIP = f"""
+{_sql_scores_cte()}
+SELECT sample_id, metric, round(score, 6) AS score FROM scores"""
+
+
+def q_report_baseline(spark, sf_dir):
+    """A report's summary read back, and its means as a baseline."""
+    from ragscope.sources.reports import read_report, report_metric_means
+    report = read_report(spark, _stored_report(spark, sf_dir))
+    head = report.select("path", "summary.total_samples", "summary.pass_count", "summary.threshold")
+    return report_metric_means(report).join(head, "path").select(
+        "metric", _r6(F.col("mean")).alias("mean"), "total_samples", "pass_count", "threshold")
+
+
+SQL_REPORT_BASELINE = f"""
+{_sql_scores_cte()}, {_SQL_SAMPLE_SCORES},
+h AS (SELECT count(*) AS total_samples, count(*) FILTER (WHERE o >= {THRESHOLD}) AS pass_count FROM sample_scores)
+SELECT metric, round(avg(score), 6) AS mean, any_value(total_samples) AS total_samples,
+       any_value(pass_count) AS pass_count, {THRESHOLD}::DOUBLE AS threshold
+FROM scores, h GROUP BY metric"""
+
+
 # --- judge reply parsing (X10, X11) ----------------------------------------
 
 def q_judge_reply_parse(spark, sf_dir):
@@ -899,9 +1150,7 @@ FROM conversations"""
 # --- sources and sinks (S1-S9, S17), streaming (R1, R2, R4) ----------------
 
 def _scratch(spark, name):
-    import uuid
-    from ragscope.session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    return scratch_path(spark, name)
 
 
 def q_jsonl_roundtrip(spark, sf_dir):
@@ -923,21 +1172,43 @@ FROM samples_docs"""
 
 
 def q_csv_context_parse(spark, sf_dir):
-    """CSV with JSON-array context (even ids) and pipe context
-    (odd ids), metadata as JSON text, read back."""
+    """CSV with JSON-array context (even ids) and pipe context
+    (odd ids), metadata as JSON text, and records that break off behind the
+    context (ids ending in 3), read back: samples and rejects."""
     from ragscope.sources.samples import read_csv
     path = _scratch(spark, "csv")
     sd = samples_docs(spark, sf_dir)
-    ctx = F.when(F.col("sample_id") % 2 == 0, F.to_json("context")) \
-        .otherwise(F.array_join("context", " | "))
-    sd.select("sample_id", "query", ctx.alias("context"), "answer",
-              F.coalesce("reference", F.lit("")).alias("reference"),
-              F.to_json("metadata").alias("metadata")) \
-        .write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    back, _ = read_csv(spark, path)
-    return back.select("sample_id", F.size("context").alias("n_context"),
-                       F.try_element_at("metadata", F.lit("lang")).alias("lang"),
-                       F.col("reference").isNull().alias("no_reference"))
+    ctx = F.when(F.col("sample_id") % 2 == 0, F.to_json("context")).otherwise(F.array_join("context", " | "))
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    some = [F.col("sample_id").cast("string"), cell(F.col("query")), cell(ctx)]
+    whole = [*some, cell(F.col("answer")), cell(F.col("reference")), cell(F.to_json("metadata"))]
+    line = F.when(F.col("sample_id") % 10 == 3, F.concat_ws(",", *some)).otherwise(F.concat_ws(",", *whole))
+    # one header a file: one file
+    head = spark.createDataFrame([("sample_id,query,context,answer,reference,metadata", 0)], "value string, n int")
+    head.unionByName(sd.select(line.alias("value"), F.lit(1).alias("n"))).coalesce(1).sortWithinPartitions("n") \
+        .select("value").write.mode("overwrite").text(path)
+    good, rejects = read_csv(spark, path, strict=False)
+    samples = good.select("sample_id", F.size("context").alias("n_context"),
+                          F.sum(F.lit(1)).over(Window.partitionBy("sample_id")).alias("n_records"),
+                          F.try_element_at("metadata", F.lit("lang")).alias("lang"),
+                          F.col("reference").isNull().alias("no_reference"), F.lit(None).cast("string").alias("missing"))
+    broken = rejects.select(F.regexp_extract("line", "^([0-9]+),", 1).cast("long").alias("sample_id"),
+                            F.lit(-1).alias("n_context"), F.lit(-1).cast("long").alias("n_records"),
+                            F.lit(None).cast("string").alias("lang"), F.lit(None).cast("boolean").alias("no_reference"),
+                            F.array_join("missing", ",").alias("missing"))
+    return samples.unionByName(broken)
+
+
+SQL_CSV_CONTEXT_PARSE = f"""
+WITH {SAMPLES_SQL}
+SELECT sample_id,
+       CASE WHEN sample_id % 10 = 3 THEN -1 WHEN sample_id % 2 = 0 THEN len(context) ELSE
+            len(list_filter(string_split(array_to_string(context, ' | '), '|'), lambda c: {_sql_strip("c")} <> '')) END::INTEGER AS n_context,
+       CASE WHEN sample_id % 10 = 3 THEN -1 ELSE 1 END::BIGINT AS n_records,
+       CASE WHEN sample_id % 10 = 3 THEN NULL ELSE lang END AS lang,
+       CASE WHEN sample_id % 10 = 3 THEN NULL ELSE {_sql_strip("coalesce(reference, '')")} = '' END AS no_reference,
+       CASE WHEN sample_id % 10 = 3 THEN 'answer,reference,metadata' END AS missing
+FROM samples_docs"""
 
 
 def q_rejects(spark, sf_dir):
@@ -955,6 +1226,132 @@ def q_rejects(spark, sf_dir):
     return rej.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+SQL_REJECTS = f"""
+WITH {SAMPLES_SQL}
+SELECT CASE sample_id % 10 WHEN 0 THEN 'invalid JSON (not an object)' ELSE 'missing required field(s)' END AS reason,
+       count(*) AS n
+FROM samples_docs WHERE sample_id % 10 = 1 OR (sample_id % 10 = 0 AND {_sql_strip("query")} <> '') GROUP BY 1"""
+
+
+def q_jsonl_ids(spark, sf_dir):
+    """Lines of which some have an id: given ids stay, the others are
+    numbered downwards from -1."""
+    from ragscope.sources.samples import read_jsonl
+    path = _scratch(spark, "jsonl-ids")
+    sd = samples_docs(spark, sf_dir)
+    own = F.when(F.col("sample_id") % 3 != 0, F.col("sample_id"))
+    line = F.to_json(F.struct(own.alias("sample_id"), "query", "context", "answer"))
+    sd.select(line.alias("value")).write.mode("overwrite").text(path)
+    back, _ = read_jsonl(spark, path)
+    given = F.col("sample_id") >= 0
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.count_if(given).alias("given"),
+                    F.sum(F.when(given, F.col("sample_id"))).alias("given_sum"), F.count_distinct("sample_id").alias("ids"),
+                    F.min("sample_id").alias("least"))
+
+
+SQL_JSONL_IDS = """
+SELECT count(*) AS rows, count(*) FILTER (WHERE doc_id % 3 <> 0) AS given,
+       (sum(doc_id) FILTER (WHERE doc_id % 3 <> 0))::BIGINT AS given_sum, count(*) AS ids,
+       -count(*) FILTER (WHERE doc_id % 3 = 0) AS least FROM documents"""
+
+
+def q_stream_line_ids(spark, sf_dir):
+    """A stream of lines without ids, each of them three times in a file;
+    how many samples and how many ids come out, by language."""
+    from ragscope.streaming.stream import run_to_path, stream_samples
+    path = _scratch(spark, "stream-lines")
+    sd = samples_docs(spark, sf_dir)
+    line = F.to_json(F.struct("query", "context", "answer", F.struct(F.try_element_at("metadata", F.lit("lang")).alias("lang")).alias("metadata")))
+    sd.select(F.explode(F.array_repeat(line, 3)).alias("value")).repartition(4, "value").write.mode("overwrite").text(path)
+    good, _ = stream_samples(spark, path, max_files_per_trigger=2)
+    out = run_to_path(good, _scratch(spark, "stream-samples"), _scratch(spark, "stream-lines-ck"))
+    return out.groupBy(F.try_element_at("metadata", F.lit("lang")).alias("lang")).agg(
+        F.count(F.lit(1)).alias("samples"), F.count_distinct("sample_id").alias("ids"))
+
+
+SQL_STREAM_LINE_IDS = """
+SELECT lang, 3 * count(*) AS samples, 3 * count(*) AS ids FROM documents GROUP BY lang"""
+
+
+def q_stream_judge(spark, sf_dir):
+    """Judge metrics in micro-batches, one folder each, with a cache that
+    they share; the last batch is written twice, as a replay would."""
+    from ragscope.sources.reports import write_samples
+    from ragscope.streaming.stream import judge_in_batches, stream_samples, write_epoch
+    path, out = _scratch(spark, "stream-judge"), _scratch(spark, "stream-judge-out")
+    write_samples(samples_docs(spark, sf_dir).repartition(3), path, "jsonl")
+    good, _ = stream_samples(spark, path, max_files_per_trigger=1, ids="given")
+    judge = standin_judge(MODEL_A, C.JudgeCache(spark, _scratch(spark, "stream-cache")))
+    judge_in_batches(good, ["coherence", "answer_similarity"], judge, out, "A",
+                     _scratch(spark, "stream-judge-ck")).awaitTermination()
+    done = spark.read.parquet(out)
+    last = done.agg(F.max("epoch")).first()[0]
+    from ragscope.storage import store
+    write_epoch(store(done.where(F.col("epoch") == last).drop("epoch"), "replay"), last, out)
+    return spark.read.parquet(out).groupBy("metric", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("epoch").alias("batches"), _r6(F.sum("score")).alias("total"))
+
+
+SQL_STREAM_JUDGE = f"""
+{_sql_scores_cte()}
+SELECT metric, status, count(*) AS n, 3::BIGINT AS batches, round(sum(score), 6) AS total FROM scores
+WHERE metric IN ('coherence', 'answer_similarity') GROUP BY 1, 2"""
+
+
+STREAM_DELAY = 30  # minutes
+
+
+def q_stream_windows(spark, sf_dir):
+    """Scores per ten minutes of event time behind a watermark. Three
+    files come one after the other; the third one's rows are partly late."""
+    from ragscope.sources.reports import write_samples
+    from ragscope.streaming.stream import run_to_path, stream_samples, stream_scores, windowed_summary
+    path = _scratch(spark, "stream-windows")
+    sd = samples_docs(spark, sf_dir)
+    file = F.when(F.col("sample_id") % 10 < 6, 1).when(F.col("sample_id") % 10 < 9, 2).otherwise(3)
+    minute = F.when(file == 1, F.col("sample_id") % 600).when(file == 2, 600 + F.col("sample_id") % 600) \
+        .otherwise(F.col("sample_id") % 1200)
+    ts = F.date_format(F.timestamp_add("MINUTE", minute.cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
+    timed = sd.withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("at"), ts)))
+    for k in (1, 2, 3):  # files are read in the order of their times
+        write_samples(timed.where(file == k).coalesce(1), f"{path}/{k}", "jsonl")
+    good, _ = stream_samples(spark, f"{path}/*", max_files_per_trigger=1, ids="given", event_time="at")
+    windows = windowed_summary(stream_scores(good, ["format_compliance"], "S", carry=("at",)), "at",
+                               "10 minutes", f"{STREAM_DELAY} minutes", THRESHOLD)
+    out = run_to_path(windows, _scratch(spark, "windows"), _scratch(spark, "windows-ck"))
+    return out.select(X.short_ts(F.col("window_start")).alias("window_start"), "metric", "n",
+                      _r6(F.col("mean")).alias("mean"), "pass_count")
+
+
+SQL_STREAM_WINDOWS = f"""
+WITH {SAMPLES_SQL},
+f0 AS (SELECT *, CASE WHEN sample_id % 10 < 6 THEN 1 WHEN sample_id % 10 < 9 THEN 2 ELSE 3 END AS file FROM samples_docs),
+f AS (SELECT *, CASE file WHEN 1 THEN sample_id % 600 WHEN 2 THEN 600 + sample_id % 600 ELSE sample_id % 1200 END AS m,
+             {_sql_format_score()} AS score FROM f0),
+w AS (SELECT *, m // 10 * 10 AS start,
+             -- what a file's rows are held against: the watermark one batch before
+             coalesce((SELECT max(m) FROM f g WHERE g.file < f.file - 1) - {STREAM_DELAY}, -1) AS mark FROM f),
+last AS (SELECT max(m) - {STREAM_DELAY} AS mark FROM f)
+SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(start AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start,
+       'format_compliance' AS metric, count(score) AS n, round(avg(score), 6) AS mean,
+       count(*) FILTER (WHERE score >= {THRESHOLD}) AS pass_count
+FROM w, last WHERE start + 10 > w.mark AND start + 10 <= last.mark GROUP BY start"""
+
+
+def q_score_progress(spark, sf_dir):
+    """The counts that a scoring run reports while it is written."""
+    from ragscope.operators.progress import watch
+    seen, progress = watch(run_scores(spark, sf_dir, "A"), "run-a")
+    seen.write.mode("overwrite").parquet(_scratch(spark, "progress"))
+    c = progress.counts()
+    return spark.createDataFrame([(c["rows"], c["guarded"], c["judge_errors"])], "rows long, guarded long, judge_errors long")
+
+
+SQL_SCORE_PROGRESS = f"""
+{_sql_scores_cte()}
+SELECT count(*) AS rows, count(*) FILTER (WHERE status = 'guarded') AS guarded, 0::BIGINT AS judge_errors FROM scores"""
+
+
 def q_stream_scores(spark, sf_dir):
     """JSON Lines files as a stream, format compliance per row,
     running per-metric summary (availableNow trigger)."""
@@ -964,7 +1361,7 @@ def q_stream_scores(spark, sf_dir):
     import uuid
     path = _scratch(spark, "stream-in")
     write_samples(samples_docs(spark, sf_dir).repartition(4), path, "jsonl")
-    good, _ = stream_samples(spark, path, max_files_per_trigger=1)
+    good, _ = stream_samples(spark, path, max_files_per_trigger=1, ids="given")
     summ = running_summary(stream_scores(good, ["format_compliance"], run_id="S"), THRESHOLD)
     out = run_to_table(summ, f"stream_scores_{uuid.uuid4().hex[:8]}")
     return out.select("metric", "n", _r6(F.col("mean")).alias("mean"), "min", "max", "pass_count")
@@ -1019,15 +1416,33 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "run_over_run_delta": (q_run_over_run_delta, SQL_RUN_OVER_RUN_DELTA),
     "judge_reply_parse": (q_judge_reply_parse, SQL_JUDGE_REPLY_PARSE),
     "jsonl_roundtrip": (q_jsonl_roundtrip, SQL_JSONL_ROUNDTRIP),
-    "csv_context_parse": (q_csv_context_parse, None),
-    "rejects": (q_rejects, None),
+    "csv_context_parse": (q_csv_context_parse, SQL_CSV_CONTEXT_PARSE),
+    "rejects": (q_rejects, SQL_REJECTS),
+    "jsonl_ids": (q_jsonl_ids, SQL_JSONL_IDS),
+    "judge_stage_recorded": (q_judge_stage_recorded, SQL_JUDGE_STAGE),
+    "judge_stage_batch": (q_judge_stage_batch, SQL_JUDGE_STAGE),
+    "judge_cache_after_run": (q_judge_cache_after_run, SQL_JUDGE_CACHE_AFTER_RUN),
+    "failure_cases": (q_failure_cases, SQL_FAILURE_CASES),
+    "metric_verdicts": (q_metric_verdicts, SQL_METRIC_VERDICTS),
+    "samples_without_metrics": (q_samples_without_metrics, SQL_SAMPLES_WITHOUT_METRICS),
+    "run_store": (q_run_store, SQL_RUN_STORE),
+    "stored_run_diff": (q_stored_run_diff, SQL_STORED_RUN_DIFF),
+    "stored_sample_diff": (q_stored_sample_diff, SQL_STORED_SAMPLE_DIFF),
+    "report_roundtrip": (q_report_roundtrip, SQL_REPORT_ROUNDTRIP),
+    "report_baseline": (q_report_baseline, SQL_REPORT_BASELINE),
+    "stream_line_ids": (q_stream_line_ids, SQL_STREAM_LINE_IDS),
+    "stream_judge": (q_stream_judge, SQL_STREAM_JUDGE),
+    "stream_windows": (q_stream_windows, SQL_STREAM_WINDOWS),
+    "score_progress": (q_score_progress, SQL_SCORE_PROGRESS),
     "stream_scores": (q_stream_scores, SQL_STREAM_SCORES),
 }
 
 
 try:  # the training-data subpackage and the pipeline may be absent
     from ragscope.llm import queries as llm
-except ImportError:
+except ImportError as gone:
+    if (gone.name or "").partition(".")[0] not in ("ragscope", "corpus_pipeline"):
+        raise  # they are there, and lack a library
     llm = None
 
 

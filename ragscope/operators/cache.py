@@ -14,8 +14,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscope.operators.ranking import global_rank
 from ragscope.schemas import JUDGE_CACHE
+from ragscope.storage import delete, exists, store
 
 DEFAULT_MAX_ENTRIES = 0  # keep every reply; a limit is the caller's to set
 
@@ -52,15 +52,59 @@ def purge(cache: DataFrame, days: int, as_of: Column | None = None) -> DataFrame
     return cache.where(~older_than(F.col("created_at"), days, as_of))
 
 
+#: Buckets of a histogram, and rows of its boundary bucket that are sorted.
+BUCKETS = 4096
+BOUNDARY_ROWS = 1 << 17
+
+
+def _boundary(table: DataFrame, bucket: Column, wanted: int) -> tuple[object, int]:
+    """The bucket (in rising order) that holds the ``wanted``-th row, and how
+    many rows are wanted of it. The driver sees one row per bucket."""
+    for r in sorted(table.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.b):
+        if wanted <= r.n:
+            return r.b, wanted
+        wanted -= r.n
+    raise ValueError("fewer rows than wanted")
+
+
+def _last_kept(keys: DataFrame, wanted: int) -> tuple[int, str]:
+    """Time (microseconds) and key of the ``wanted``-th row, newest first, ties
+    by key: by histograms of the time, then of the keys written at one time."""
+    t = F.unix_micros("created_at")
+    rest, low, high = keys, *keys.agg(F.min(t), F.max(t)).first()
+    while low < high:
+        width = -(-(high - low + 1) // BUCKETS)
+        b, wanted = _boundary(rest, F.floor((F.lit(high) - t) / width), wanted)
+        low, high = max(low, high - (b + 1) * width + 1), high - b * width
+        rest = keys.where(t.between(low, high))
+        if rest.count() <= BOUNDARY_ROWS:
+            break
+    prefix = 0
+    while low == high and rest.count() > BOUNDARY_ROWS:
+        # very many keys of one time: the boundary among their beginnings
+        prefix += 1
+        b, wanted = _boundary(rest, F.substring("cache_key", 1, prefix), wanted)
+        rest = rest.where(F.substring("cache_key", 1, prefix) == b)
+    newest_first = rest.select(t.alias("t"), "cache_key").orderBy(F.desc("t"), F.asc("cache_key")).limit(wanted)
+    row = newest_first.orderBy(F.asc("t"), F.desc("cache_key")).first()
+    return row.t, row.cache_key
+
+
 def evict(cache: DataFrame, max_entries: int) -> DataFrame:
     """Keep the newest ``max_entries`` keys (0 = keep all).
 
-    Order is insertion time, newest first, ties broken on the key (Q20).
+    Order is insertion time, newest first, ties broken on the key (Q20). The
+    last row to stay is found by histograms, and what stays is a filter; the
+    cache is never sorted. ``cache`` has one row per key and no null times.
     """
     if max_entries <= 0:
         return cache
-    ranked = global_rank(cache, [F.col("created_at").desc(), F.col("cache_key").asc()], "_r")
-    return ranked.where(F.col("_r") <= max_entries).drop("_r")
+    keys = store(cache.select("cache_key", "created_at"), "cache-keys")
+    if keys.count() <= max_entries:
+        return cache
+    at, key = _last_kept(keys, max_entries)
+    t = F.unix_micros("created_at")
+    return cache.where((t > at) | ((t == at) & (F.col("cache_key") <= key)))
 
 
 def stats(cache: DataFrame) -> DataFrame:
@@ -79,6 +123,7 @@ class JudgeCache:
         self.spark = spark
         self.path = path
         self.max_entries = max_entries
+        self.journal = f"{path.rstrip('/')}/journal"  # see judge.Journal
 
     # generations -----------------------------------------------------------
     # The name of a generation carries its number, and it counts once its
@@ -127,6 +172,17 @@ class JudgeCache:
                         F.current_timestamp().alias("created_at"))
          .write.mode("append").parquet(gen))
 
+    def recover(self) -> None:
+        """Take over the replies that a job stored and did not live to append."""
+        if exists(self.spark, self.journal):
+            left = self.spark.read.schema("cache_key string, response string") \
+                .option("recursiveFileLookup", "true").parquet(self.journal)
+            self.append(left)
+            self.forget_journal()
+
+    def forget_journal(self) -> None:
+        delete(self.spark, self.journal)
+
     def _rewrite(self, keep: DataFrame) -> None:
         name = self._new_generation()
         keep.select("cache_key", "response", "created_at") \

@@ -6,7 +6,9 @@ are between tiny tables; Spark broadcasts them from their runtime size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragscope.functions.text import direction, verdict
@@ -27,13 +29,49 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("metric", "score_a", "score_b", d.alias("delta"), direction(d).alias("direction"))
 
 
-def compare_overall(overall_a: float | DataFrame, overall_b: float | DataFrame) -> DataFrame:
-    """J1 overall line from two one-row run summaries."""
-    a = overall_a.select(F.col("overall_score").alias("overall_a"))
-    b = overall_b.select(F.col("overall_score").alias("overall_b"))
+def compare_overall(a: DataFrame, b: DataFrame) -> DataFrame:
+    """J1 overall line from two run summaries of one row each (a side without
+    rows counts 0.0): one aggregate over both, no join."""
+    both = a.select(F.lit("a").alias("side"), "overall_score").unionByName(b.select(F.lit("b").alias("side"), "overall_score"))
+    side = lambda k: F.coalesce(F.max(F.when(F.col("side") == k, F.col("overall_score"))), F.lit(0.0))
     d = F.col("overall_b") - F.col("overall_a")
-    return a.crossJoin(b).select("overall_a", "overall_b", d.alias("overall_delta"),
-                                 verdict(d).alias("verdict"))
+    return both.agg(side("a").alias("overall_a"), side("b").alias("overall_b")).select(
+        "overall_a", "overall_b", d.alias("overall_delta"), verdict(d).alias("verdict"))
+
+
+def compare_samples(a: DataFrame, b: DataFrame) -> DataFrame:
+    """J8 per sample: the row scores of two runs side by side. A sample that
+    only one run has shows null for the other, and no delta."""
+    x = a.select("sample_id", F.col("overall_score").alias("score_a"))
+    y = b.select("sample_id", F.col("overall_score").alias("score_b"))
+    d = F.col("score_b") - F.col("score_a")
+    return x.join(y, "sample_id", "full_outer").select(
+        "sample_id", "score_a", "score_b", d.alias("delta"),
+        F.when(F.col("score_a").isNull(), F.lit("added")).when(F.col("score_b").isNull(), F.lit("removed"))
+        .otherwise(direction(d)).alias("direction"))
+
+
+@dataclass(frozen=True)
+class RunDiff:
+    """What changed from one stored run to another."""
+
+    metrics: DataFrame
+    overall: DataFrame
+    samples: DataFrame
+
+
+def diff_runs(spark: SparkSession, history_dir: str, run_a: str, run_b: str) -> RunDiff:
+    """J8/I6 of two stored runs. The metric and overall lines come from the
+    small tables; only the lines per sample read the scores, each run's from
+    its own folder."""
+    from ragscope.operators.history import load_run
+    from ragscope.operators.summary import sample_scores
+
+    def each(name):
+        return load_run(spark, history_dir, run_a, name), load_run(spark, history_dir, run_b, name)
+
+    return RunDiff(compare(*each("metric_summary")), compare_overall(*each("runs")),
+                   compare_samples(*map(sample_scores, each("scores"))))
 
 
 def check_regression(current_scores: DataFrame, baseline: DataFrame,

@@ -1,14 +1,17 @@
 """Run history as tables.
 
 ``RUNS`` (one row per run), ``METRIC_SUMMARY`` and ``SCORES`` are Parquet
-tables partitioned by ``run_date``, keyed by a unique ``run_id`` (Q22).
-Listing a history reads only the small RUNS table, never the scores.
+tables with one folder per ``run_date`` and ``run_id`` (unique, Q22). A run
+counts once its row is in RUNS, which is written last; all tables of a run
+carry one date from one clock. Saving a run again replaces its folders, so a
+save that was cut off is simply repeated. Listing a history reads only the
+small RUNS table; a run's rows are read from its own folder alone.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ragscope.operators.filters import by_tag
 from ragscope.functions.text import short_ts
+from ragscope.storage import exists
 
 SPARK_LEVELS = 8  # sparkline has 9 glyphs, levels 0..8
 
@@ -24,44 +28,73 @@ def new_run_id() -> str:
     return uuid.uuid4().hex
 
 
+def _table(history_dir: str, name: str) -> str:
+    return f"{history_dir.rstrip('/')}/{name}"
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "run_id").parquet(path)
+
+
 def save_run(spark: SparkSession, history_dir: str, run_summary: DataFrame,
              metric_summary: DataFrame, scores: DataFrame | None = None, *,
-             tag: str | None = None, config_path: str | None = None) -> None:
-    """Append one run (its summary rows carry the ``run_id``)."""
-    ts = F.current_timestamp()
+             tag: str | None = None, config_path: str | None = None, ts: datetime | None = None) -> None:
+    """Save the runs of ``run_summary`` (usually one) as one step: scores
+    and metric summary first, the RUNS row last, which commits them. ``ts`` is
+    the run's time (UTC; now unless given)."""
+    ts = ts or datetime.now(timezone.utc)
+    day = F.lit(ts.strftime("%Y-%m-%d")).alias("run_date")
+    if scores is not None:
+        _replace(scores.select("*", day), _table(history_dir, "scores"))
+    _replace(metric_summary.select("*", day), _table(history_dir, "metric_summary"))
     runs = run_summary.select(
-        "run_id", ts.alias("ts"), F.lit(tag).cast("string").alias("tag"),
+        "run_id", F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp").alias("ts"), F.lit(tag).cast("string").alias("tag"),
         F.lit(config_path).cast("string").alias("config_path"),
         "total_samples", "overall_score", "pass_count", "fail_count", "threshold",
-        F.lit(spark.version).alias("engine_version"))
-    runs = runs.withColumn("run_date", F.to_date("ts"))
-    runs.write.mode("append").partitionBy("run_date").parquet(os.path.join(history_dir, "runs"))
-    day = runs.select("run_id", "run_date")
-    metric_summary.join(day, "run_id").write.mode("append").partitionBy("run_date") \
-        .parquet(os.path.join(history_dir, "metric_summary"))
-    if scores is not None:
-        scores.join(F.broadcast(day), "run_id").write.mode("append").partitionBy("run_date") \
-            .parquet(os.path.join(history_dir, "scores"))
+        F.lit(spark.version).alias("engine_version"), day)
+    _replace(runs, _table(history_dir, "runs"))
 
 
 def read_table(spark: SparkSession, history_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(history_dir, name))
+    """A table of the committed runs. RUNS commits itself; rows of another
+    table whose run has no row in RUNS (a save that was cut off) do not show."""
+    # run ids are text, also where all of them look like numbers
+    def read(table: str) -> DataFrame:
+        t = spark.read.option("basePath", _table(history_dir, table)).parquet(_table(history_dir, table))
+        return t.withColumn("run_id", F.col("run_id").cast("string"))
+
+    t = read(name)
+    return t if name == "runs" else t.join(read("runs").select("run_id"), "run_id", "left_semi")
+
+
+def run_date(spark: SparkSession, history_dir: str, run_id: str) -> str | None:
+    """The date of a committed run; null where there is none."""
+    row = read_table(spark, history_dir, "runs").where(F.col("run_id") == run_id).select(
+        F.col("run_date").cast("string")).first()
+    return row[0] if row else None
 
 
 def load_run(spark: SparkSession, history_dir: str, run_id: str, name: str = "scores") -> DataFrame:
-    """One run's rows (the filter reaches the Parquet scan)."""
-    return read_table(spark, history_dir, name).where(F.col("run_id") == run_id)
+    """One run's rows, read from its folder alone."""
+    day = run_date(spark, history_dir, run_id)
+    if day is None:
+        raise KeyError(f"no run {run_id} in {history_dir}")
+    folder = f"{_table(history_dir, name)}/run_date={day}/run_id={run_id}"
+    if not exists(spark, folder):
+        raise KeyError(f"run {run_id} was saved without {name}")
+    return spark.read.parquet(folder).select(F.lit(run_id).alias("run_id"), "*", F.lit(day).cast("date").alias("run_date"))
 
 
-def list_runs(runs: DataFrame, tag: str | None = None, limit: int = 20) -> DataFrame:
-    """Newest first (ties on run_id), optional tag, limited."""
-    return by_tag(runs, tag).orderBy(F.col("ts").desc(), F.col("run_id").desc()).limit(limit)
+def list_runs(runs: DataFrame, tag: str | None = None, limit: int | None = None) -> DataFrame:
+    """Newest first (ties on run_id), optional tag; all runs unless ``limit``."""
+    listed = by_tag(runs, tag).orderBy(F.col("ts").desc(), F.col("run_id").desc())
+    return listed if limit is None else listed.limit(limit)
 
 
 def trend(runs: DataFrame, tag: str | None = None, limit: int = 20) -> DataFrame:
     """The listed runs oldest first with their number and sparkline
-    level ``int((s-min)/range*8)`` (range 0 counts as 1, Q27). The listed set
-    is at most ``limit`` rows, so the un-partitioned windows here are small."""
+    level ``int((s-min)/range*8)`` (range 0 counts as 1, Q27). A report of at
+    most ``limit`` rows, so the un-partitioned windows here are small."""
     listed = list_runs(runs, tag, limit)
     w_all = Window.partitionBy(F.lit(1))
     mn, mx = F.min("overall_score").over(w_all), F.max("overall_score").over(w_all)

@@ -17,16 +17,23 @@ The responder is whatever answers prompts:
 
 from __future__ import annotations
 
+import os
 import time
+import uuid
 from dataclasses import dataclass, field
 from typing import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragscope.functions.text import clamp01, context_bullets, context_numbered
-from ragscope.session import checkpoint_dir
+from ragscope.session import last_key_wins
+from ragscope.storage import store
 
 # ---------------------------------------------------------------------------
 # Prompt templates. Our own wording; only the inputs and the reply contract
@@ -149,9 +156,9 @@ def parse_reply(text: Column) -> Column:
 
     Tried in order: the whole text, the first fenced block, the first object
     in the text with at most one level of nesting. Each counts only if it is a
-    JSON object as a whole; ``spark.sql.variant.allowDuplicateKeys`` decides
-    about repeated keys.
+    JSON object as a whole; of a repeated key, the last value counts.
     """
+    last_key_wins()
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
     fenced = F.nullif(F.regexp_extract(text, FENCED, 1), F.lit(""))
     braced = F.nullif(F.regexp_extract(text, BRACED, 0), F.lit(""))
@@ -219,52 +226,118 @@ class RecordedResponder(Responder):
                         .alias("error")))
 
 
+class Journal:
+    """Replies of a stage that has not ended, in one folder per partition.
+
+    A worker writes each batch of replies as one small file before it goes on,
+    under a hidden name until it is whole. A retried task reads its
+    partition's files first and does not ask for these keys again; a later run
+    takes over what an ended job has left (``JudgeCache.recover``).
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @staticmethod
+    def usable(path: str) -> bool:
+        """Whether Python workers can reach this storage themselves."""
+        try:
+            Journal(path)._at()
+        except Exception:  # noqa: BLE001 - a file system that only Spark knows
+            return False
+        return True
+
+    def _at(self, *parts: str) -> tuple[pafs.FileSystem, str]:
+        path = "/".join((self.path.rstrip("/"), *parts))
+        if "://" in path or path.startswith("file:"):
+            return pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+        return pafs.LocalFileSystem(), os.path.abspath(path)
+
+    def read(self, part: str) -> dict[str, str]:
+        fs, folder = self._at(part)
+        found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+        out: dict[str, str] = {}
+        for info in found:
+            if info.base_name.endswith(".parquet") and not info.base_name.startswith("."):
+                with fs.open_input_file(info.path) as f:
+                    t = pq.read_table(f)
+                out.update(zip(t.column("cache_key").to_pylist(), t.column("response").to_pylist()))
+        return out
+
+    def write(self, part: str, replies: dict[str, str]) -> None:
+        fs, folder = self._at(part)
+        fs.create_dir(folder, recursive=True)
+        name = f"{uuid.uuid4().hex}.parquet"
+        with fs.open_output_stream(f"{folder}/.{name}") as f:
+            pq.write_table(pa.table({"cache_key": list(replies), "response": list(replies.values())},
+                                    schema=pa.schema([("cache_key", pa.string()), ("response", pa.string())])), f)
+        fs.move(f"{folder}/.{name}", f"{folder}/{name}")
+
+
 class BatchResponder(Responder):
-    """A Python function ``pd.Series[str] -> pd.Series[str]`` run per Arrow batch.
+    """A Python function ``pd.Series[str] -> pd.Series[str]`` run on batches of
+    ``batch_rows`` prompts.
 
     U4: a failing batch is retried ``max_retries`` times with 1 s, 2 s, ...
     waits; after the last failure its rows are asked one by one, and those that
     fail carry the error instead of failing the job (Q17), so one bad prompt
     costs neither the run nor the other replies of its batch.
+
+    With a journal, every batch of replies is stored before the next is asked,
+    and a retried task does not ask for these again.
     """
 
     def __init__(self, fn: Callable[[pd.Series], pd.Series], max_retries: int = 3,
-                 backoff: float = 1.0, parallelism: int | None = None):
+                 backoff: float = 1.0, parallelism: int | None = None, batch_rows: int = 256):
         self.fn = fn
         self.max_retries = max(1, max_retries)
         self.backoff = backoff
         self.parallelism = parallelism
-
-    def respond(self, prompts: DataFrame) -> DataFrame:
-        fn, tries, backoff = self.fn, self.max_retries, self.backoff
+        self.batch_rows = max(1, batch_rows)
+
+    def _ask(self, prompts: pd.Series) -> tuple[list, list]:
+        """Replies and errors of one batch."""
+        for attempt in range(self.max_retries):
+            try:
+                return list(pd.Series(self.fn(prompts)).astype(object)), [None] * len(prompts)
+            except Exception:  # noqa: BLE001 - reported per row below
+                if attempt < self.max_retries - 1:
+                    time.sleep(self.backoff * (2 ** attempt))
+        replies, errors = [], []
+        for prompt in prompts:
+            try:
+                replies.append(pd.Series(self.fn(pd.Series([prompt]))).iloc[0])
+                errors.append(None)
+            except Exception as exc:  # noqa: BLE001 - reported per row
+                replies.append(None)
+                errors.append(f"{type(exc).__name__}: {exc}")
+        return replies, errors
+
+    def respond(self, prompts: DataFrame, journal: Journal | None = None) -> DataFrame:
+        ask, rows = self._ask, self.batch_rows
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                err = None
-                out = None
-                for attempt in range(tries):
-                    try:
-                        out = pd.Series(fn(pdf["prompt"]), index=pdf.index).astype(object)
-                        err = None
-                        break
-                    except Exception as exc:  # noqa: BLE001 - reported per row
-                        err = f"{type(exc).__name__}: {exc}"
-                        if attempt < tries - 1:
-                            time.sleep(backoff * (2 ** attempt))
-                if err is None:
-                    yield pd.DataFrame({"cache_key": pdf["cache_key"], "response": out, "error": None})
-                    continue
-                rows = []
-                for key, prompt in zip(pdf["cache_key"], pdf["prompt"]):
-                    try:
-                        rows.append((key, pd.Series(fn(pd.Series([prompt]))).iloc[0], None))
-                    except Exception as exc:  # noqa: BLE001 - reported per row
-                        rows.append((key, None, f"{type(exc).__name__}: {exc}"))
-                yield pd.DataFrame(rows, columns=["cache_key", "response", "error"], dtype=object)
+            part = f"part-{TaskContext.get().partitionId()}"
+            have = journal.read(part) if journal else {}
+            for whole in batches:
+                known = whole[whole["cache_key"].isin(have.keys())] if have else whole.iloc[:0]
+                if len(known):
+                    yield pd.DataFrame({"cache_key": known["cache_key"], "response": known["cache_key"].map(have), "error": None})
+                rest = whole[~whole["cache_key"].isin(have.keys())] if have else whole
+                for i in range(0, len(rest), rows):
+                    pdf = rest.iloc[i:i + rows].reset_index(drop=True)
+                    replies, errors = ask(pdf["prompt"])
+                    if journal:
+                        good = {k: r for k, r in zip(pdf["cache_key"], replies) if r is not None}
+                        if good:
+                            journal.write(part, good)
+                    yield pd.DataFrame({"cache_key": pdf["cache_key"], "response": replies, "error": errors}, dtype=object)
 
         src = prompts.select("cache_key", "prompt")
-        if self.parallelism:
-            src = src.repartition(self.parallelism)
+        if journal or self.parallelism:
+            # by key, into a fixed number of tasks: a retried task has the same keys
+            n = self.parallelism or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            src = src.repartition(n, "cache_key")
         return src.mapInPandas(run, "cache_key string, response string, error string")
 
 
@@ -288,27 +361,32 @@ def ask(judge: Judge, prompts: DataFrame) -> DataFrame:
 
     Returns ``(cache_key, response, error)`` with one row per distinct key.
     With a cache, keys already cached are not asked again (J3), new replies
-    are appended to the cache table before anything reads them (U5), so a
-    retried or resumed job never calls the judge twice for a key.
-    Without a cache, a non-deterministic responder's replies are written to
-    the shared checkpoint folder for the same reason.
+    are appended to the cache table before anything reads them (U5), and a
+    responder that can keep a journal stores each batch as it comes, so a
+    retried task or a resumed job does not pay twice for a stored reply. One
+    run at a time writes to a cache. Without a cache, a non-deterministic
+    responder's replies are written to the shared folder for the same reason.
     """
+    cache = judge.cache
+    if cache is not None:
+        cache.recover()
     # One row per key; partial aggregation collapses duplicate prompts
     # map-side, so a prompt repeated in a third of the rows costs one row.
     distinct = prompts.groupBy("cache_key").agg(F.any_value("prompt").alias("prompt"))
-    if judge.cache is not None:
-        distinct = distinct.join(judge.cache.latest().select("cache_key"), "cache_key",
-                                 "left_anti")
-    fresh = judge.responder.respond(distinct)
-    if not judge.responder.deterministic:
-        # Materialise once: every later stage reads the stored replies.
-        checkpoint_dir(prompts.sparkSession)
-        fresh = fresh.checkpoint(eager=True)
-    if judge.cache is None:
+    if cache is not None:
+        distinct = distinct.join(cache.latest().select("cache_key"), "cache_key", "left_anti")
+    if cache is not None and isinstance(judge.responder, BatchResponder) and Journal.usable(cache.journal):
+        fresh = judge.responder.respond(distinct, Journal(cache.journal))
+    else:
+        fresh = judge.responder.respond(distinct)
+    if cache is not None or not judge.responder.deterministic:
+        # Once: every later stage reads the stored replies.
+        fresh = store(fresh, "replies")
+    if cache is None:
         return fresh
-    judge.cache.append(fresh.where(F.col("error").isNull()).select("cache_key", "response"))
-    cached = judge.cache.latest().select("cache_key", "response",
-                                         F.lit(None).cast("string").alias("error"))
+    cache.append(fresh.where(F.col("error").isNull() & F.col("response").isNotNull()).select("cache_key", "response"))
+    cache.forget_journal()
+    cached = cache.latest().select("cache_key", "response", F.lit(None).cast("string").alias("error"))
     return cached.unionByName(fresh.where(F.col("error").isNotNull()))
 
 

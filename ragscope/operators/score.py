@@ -21,9 +21,10 @@ from ragscope.session import spread
 SAMPLE_COLUMNS = ["sample_id", "query", "context", "answer", "reference", "metadata"]
 
 
-def normalize_samples(samples: DataFrame) -> DataFrame:
+def normalize_samples(samples: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """The sample columns with null context -> [] and null metadata -> {}."""
     return samples.select(
+        *carry,
         F.col("sample_id").cast("long").alias("sample_id"),
         F.col("query"),
         F.coalesce(F.col("context"), F.array().cast("array<string>")).alias("context"),
@@ -104,7 +105,7 @@ def _features(specs: list[MetricSpec], base: DataFrame) -> DataFrame:
     return base.select("*", *[c.alias(n) for n, c in cols.items()]) if cols else base
 
 
-def _finish(judged: list[MetricSpec], df: DataFrame) -> DataFrame:
+def _finish(judged: list[MetricSpec], df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Parse each reply once into a column, then apply each metric's finish
     (one CASE on ``metric``). The parsed reply is its own column because
     Catalyst does not share subexpressions across CASE branches."""
@@ -121,13 +122,15 @@ def _finish(judged: list[MetricSpec], df: DataFrame) -> DataFrame:
         .when(error.isNotNull() | v.isNull(),
               result(None, "judge_error", reasoning=err, method="llm_judge")) \
         .otherwise(finished)
-    return parsed.select("run_id", "sample_id", "metric", res.alias("_res")) \
-        .select("run_id", "sample_id", "metric", "_res.*")
+    return parsed.select("run_id", "sample_id", "metric", res.alias("_res"), *carry) \
+        .select("run_id", "sample_id", "metric", "_res.*", *carry)
 
 
 def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str = "run",
-          registry: MetricRegistry | None = None, options: dict | None = None) -> DataFrame:
-    """Score every sample with every metric; returns SCORES rows.
+          registry: MetricRegistry | None = None, options: dict | None = None,
+          carry: tuple[str, ...] = ()) -> DataFrame:
+    """Score every sample with every metric; returns SCORES rows, with the
+    columns ``carry`` of the samples (an event time, say) behind them.
 
     Plan: samples -> features -> one explode into (sample, metric) requests.
     Rows resolved without the judge (deterministic metrics, guards, pattern
@@ -144,15 +147,15 @@ def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str =
     if judged and judge is None:
         raise ValueError(f"metrics {[sp.name for sp in judged]} need a judge")
 
-    base = _features(specs, spread(normalize_samples(samples)))
+    base = _features(specs, spread(normalize_samples(samples, carry)))
     s = {c: F.col(c) for c in base.columns}
     exploded = (base.select(F.lit(run_id).alias("run_id"), "sample_id",
-                            F.explode(_requests(specs, s)).alias("r"))
-                .select("run_id", "sample_id", "r.*"))
+                            F.explode(_requests(specs, s)).alias("r"), *carry)
+                .select("run_id", "sample_id", "r.*", *carry))
 
     def out(df: DataFrame, res: Column) -> DataFrame:
-        return df.select("run_id", "sample_id", "metric", res.alias("_res")) \
-                 .select("run_id", "sample_id", "metric", "_res.*")
+        return df.select("run_id", "sample_id", "metric", res.alias("_res"), *carry) \
+                 .select("run_id", "sample_id", "metric", "_res.*", *carry)
 
     if not judged:
         return out(exploded, F.col("pre"))
@@ -161,8 +164,8 @@ def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str =
     if isinstance(judge.responder, ExpressionResponder) and judge.cache is None:
         replied = exploded.select("run_id", "sample_id", "metric", "aux", "pre",
                                   judge.responder.fn(prompt).alias("response"),
-                                  F.lit(None).cast("string").alias("error"))
-        return _finish(judged, replied)
+                                  F.lit(None).cast("string").alias("error"), *carry)
+        return _finish(judged, replied, carry)
 
     key = cache_key(judge.model, judge.temperature, prompt)
     replies = ask(judge, exploded.where(prompt.isNotNull())
@@ -172,8 +175,8 @@ def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str =
     # text is dropped before the shuffle.
     own_key = F.concat(F.lit("-"), F.col("sample_id").cast("string"), F.lit("-"), F.col("metric"))
     keyed = exploded.select("run_id", "sample_id", "metric", "aux", "pre",
-                            F.when(prompt.isNull(), own_key).otherwise(key).alias("cache_key"))
-    return _finish(judged, keyed.join(replies, "cache_key", "left"))
+                            F.when(prompt.isNull(), own_key).otherwise(key).alias("cache_key"), *carry)
+    return _finish(judged, keyed.join(replies, "cache_key", "left"), carry)
 
 
 def prompt_table(samples: DataFrame, metrics, judge: Judge, run_id: str = "run",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragscope.operators.quantiles import distribution_of_counts
+from ragscope.operators.quantiles import distribution_of
 
 QUANTILES = [0.25, 0.5, 0.75]
 
@@ -40,18 +40,30 @@ def metric_summary(scores: DataFrame, approx: bool = False) -> DataFrame:
             F.count(v).alias("n"),
             F.count_if(~_ok()).alias("error_count"),
             *distribution(v))
-    counts = scores.select("run_id", "metric", v.alias("v"), _ok().alias("ok")) \
-        .groupBy("run_id", "metric", "v", "ok").agg(F.count(F.lit(1)).alias("c"))
-    errors = F.sum(F.when(F.col("ok"), 0).otherwise(F.col("c"))).alias("error_count")
-    return distribution_of_counts(counts, ["run_id", "metric"], [errors]).select(
+    narrow = scores.select("run_id", "metric", v.alias("v"), _ok().alias("ok"))
+    return distribution_of(narrow, ["run_id", "metric"], F.col("v"), [F.count_if(~F.col("ok")).alias("error_count")]).select(
         "run_id", "metric", "n", "error_count", "mean", "min", "max", "p25", "median", "p75", "std_dev")
 
 
-def sample_scores(scores: DataFrame) -> DataFrame:
-    """row score = plain mean of the sample's metric scores (0.0 if none)."""
-    return scores.groupBy("run_id", "sample_id").agg(
+def sample_scores(scores: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """row score = plain mean of the sample's metric scores.
+
+    With ``samples`` (run_id, sample_id), a sample that has no metric rows is
+    kept with 0.0 and ``n_metrics`` 0."""
+    own = scores.groupBy("run_id", "sample_id").agg(
         F.coalesce(F.avg(_valid_score()), F.lit(0.0)).alias("overall_score"),
         F.count(F.lit(1)).alias("n_metrics"))
+    if samples is None:
+        return own
+    every = samples.select("run_id", "sample_id").distinct()
+    return every.join(own, ["run_id", "sample_id"], "left").select(
+        "run_id", "sample_id", F.coalesce("overall_score", F.lit(0.0)).alias("overall_score"),
+        F.coalesce("n_metrics", F.lit(0)).cast("long").alias("n_metrics"))
+
+
+def metric_verdicts(metric_summ: DataFrame, threshold: float) -> DataFrame:
+    """F5 per metric: ``metric_passed`` where the mean reaches the threshold."""
+    return metric_summ.withColumn("metric_passed", F.coalesce(F.col("mean") >= float(threshold), F.lit(False)))
 
 
 def current_means(scores: DataFrame) -> DataFrame:
@@ -99,10 +111,8 @@ def run_summary(samp: DataFrame, threshold: float = 0.7, metric_summ: DataFrame
             F.count_if(o >= t).alias("pass_count"),
             *distribution(o))
     else:
-        counts = samp.groupBy("run_id", o.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        dist = distribution_of_counts(counts, ["run_id"], [
-            F.sum("c").alias("total_samples"),
-            F.sum(F.when(F.col("v") >= t, F.col("c")).otherwise(0)).alias("pass_count")])
+        dist = distribution_of(samp.select("run_id", o.alias("v")), ["run_id"], F.col("v"), [
+            F.count(F.lit(1)).alias("total_samples"), F.count_if(F.col("v") >= t).alias("pass_count")])
     dist = dist.withColumnRenamed("mean", "unweighted_score")
     if weights is not None and metric_summ is not None:
         dist = dist.join(weighted_overall(metric_summ, weights), "run_id", "left") \
@@ -168,12 +178,14 @@ def failures_by_metric(scores: DataFrame, threshold: float) -> DataFrame:
 
 
 def failure_cases(scores: DataFrame, threshold: float) -> DataFrame:
-    """A11 case rows with the X16 message."""
+    """A11 case rows with the X16 message. Over a scoring plan that is not
+    stored, the rows pass a generator, so that the test of the score does not
+    carry a second copy of the whole scoring expression below it."""
     from ragscope.functions.text import failure_message
-    s = F.coalesce(_valid_score(), F.lit(0.0))
-    return scores.where(s < float(threshold)).select(
-        "run_id", "sample_id", "metric", s.alias("score"),
-        failure_message(s, threshold).alias("message"))
+    cases = scores.select("run_id", "sample_id", "metric", F.coalesce(_valid_score(), F.lit(0.0)).alias("score"))
+    row = F.struct("run_id", "sample_id", "metric", "score")
+    failing = cases.select(F.inline(F.filter(F.array(row), lambda r: r["score"] < float(threshold))))
+    return failing.withColumn("message", failure_message(F.col("score"), threshold))
 
 
 def worst_samples(samp: DataFrame, k: int = 10) -> DataFrame:

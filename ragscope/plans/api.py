@@ -32,6 +32,7 @@ class EvalOutput:
     scores: DataFrame
     threshold: float
     weights: dict | None = None
+    rejects: DataFrame | None = None  # the input's lines that are no samples
 
     @property
     def sample_scores(self) -> DataFrame:
@@ -74,9 +75,12 @@ def evaluate(samples: DataFrame, metrics: list, *, judge: Judge | None = None,
 
 
 def evaluate_path(spark: SparkSession, path: str, metrics: list, **kw) -> EvalOutput:
-    """Read a samples file (format by extension) and evaluate it."""
-    samples, _ = read_samples(spark, path)
-    return evaluate(samples, metrics, **kw)
+    """Read a samples file (format by extension) and evaluate it; the
+    output's ``rejects`` are the lines that are no samples."""
+    samples, rejects = read_samples(spark, path)
+    out = evaluate(samples, metrics, **kw)
+    out.rejects = rejects
+    return out
 
 
 @dataclass

@@ -68,6 +68,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def last_key_wins() -> None:
+    """JSON objects that repeat a key count with its last value. Spark decides
+    that by a session setting, read when an expression is built."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def spread(df, min_partitions: int | None = None):
     """Round-robin an under-partitioned input over the cores.
 

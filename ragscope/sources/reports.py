@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragscope.schemas import REPORT_RESULT
+from ragscope.storage import exists
 
 REPORT = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType()), True),
@@ -25,16 +24,36 @@ REPORT = T.StructType([
 ])
 
 
+#: A report in a folder: its summary (one row) and its results (any number).
+HEAD, RESULTS = "summary", "results"
+HEAD_SCHEMA = T.StructType([f for f in REPORT.fields if f.name != "results"])
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Report documents (one per file); a document without ``summary``
-    is an error."""
-    df = spark.read.option("multiLine", True).schema(REPORT).json(path) \
-        .withColumn("path", F.col("_metadata.file_path"))
+    """Report documents (one per file), or a report that Spark wrote as a
+    folder (``write_json_report``): then ``results`` is null here, and
+    ``read_results`` has its rows. A document without ``summary`` is an error."""
+    folder = f"{path.rstrip('/')}/{HEAD}"
+    if exists(spark, folder):
+        df = spark.read.schema(HEAD_SCHEMA).json(folder) \
+            .select("*", F.lit(None).cast(REPORT["results"].dataType).alias("results"))
+        where = F.lit(path)
+    else:
+        df = spark.read.option("multiLine", True).schema(REPORT).json(path)
+        where = F.col("_metadata.file_path")
+    df = df.withColumn("path", where)
     if df.where(F.col("summary").isNull()).limit(1).count():
         raise ValueError(f"Report missing 'summary' field: {path}")
     return df
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results of a report folder, in the shape of documents with
+    one result each, so that ``report_to_scores`` reads both."""
+    rows = spark.read.schema(REPORT_RESULT).json(f"{path.rstrip('/')}/{RESULTS}")
+    return rows.select(F.lit(path).alias("path"), F.array(F.struct("*")).alias("results"))
+
+
 def report_metric_means(reports: DataFrame) -> DataFrame:
     """``(path, metric, mean)`` from ``summary.metric_scores``; an entry
     is an object (take ``mean``, default 0.0) or a bare number."""
@@ -75,40 +94,44 @@ def results_table(scores: DataFrame, metrics: list[str]) -> DataFrame:
                 F.transform("_m", lambda x: x.dropFields("pos")).alias("metrics"))
 
 
-def write_json_report(scores: DataFrame, metrics: list[str], path: str) -> None:
-    """S13 at scale: JSON Lines of per-sample results (a single JSON document
-    is only for small runs; see ``write_json_document``)."""
-    results_table(scores, metrics).write.mode("overwrite").json(path)
-
+def report_head(summary: DataFrame, metric_summary: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """S13 head: one row (metadata?, summary) from a run's one-row summary, its
+    per-metric statistics (a row per metric) and one row of metadata."""
+    stats = [c for c in ("mean", "min", "max", "median", "p25", "p75", "std_dev") if c in metric_summary.columns]
+    each = metric_summary.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        "metric", F.struct(*stats).alias("stats"))))).alias("metric_scores"))
+    head = summary.join(each, "run_id", "left").select(F.struct(
+        "total_samples", "overall_score", "pass_count", "fail_count", "pass_rate", "threshold", "metric_scores").alias("summary"))
+    if metadata is None:
+        return head
+    row = metadata.select(F.struct("*").alias("metadata"))
+    return head.withColumn("metadata", F.lit(None) if row.isEmpty() else row.scalar())
 
-def write_json_document(spark: SparkSession, summary: dict, results: DataFrame, path: str,
-                        metadata: dict | None = None) -> None:
-    """S13 as one document ``{metadata?, summary, results}`` in one local file.
 
-    The results stream through the driver a partition at a time and are never
-    held whole; ``write_json_report`` is the form for large runs."""
-    import json
-    head = ({"metadata": metadata} if metadata else {}) | {"summary": summary}
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(head, ensure_ascii=False)[:-1] + ', "results": [')
-        for i, row in enumerate(results.select(F.to_json(F.struct("*")).alias("r")).toLocalIterator()):
-            f.write((", " if i else "") + row.r)
-        f.write("]}")
+def write_json_report(scores: DataFrame, metrics: list[str], path: str, summary: DataFrame | None = None,
+                      metric_summary: DataFrame | None = None, metadata: DataFrame | None = None) -> None:
+    """A report as a folder that executors write: ``results`` (JSON Lines,
+    one per sample) and, last, ``summary`` (one JSON line), which ``read_report``
+    and ``read_results`` read back."""
+    path = path.rstrip("/")
+    results_table(scores, metrics).write.mode("overwrite").json(f"{path}/{RESULTS}")
+    if summary is not None and metric_summary is not None:
+        report_head(summary, metric_summary, metadata).coalesce(1).write.mode("overwrite").json(f"{path}/{HEAD}")
 
 
 def write_csv_report(wide: DataFrame, path: str, metadata: dict | None = None) -> None:
-    """Wide table at 4 decimals; report metadata goes to a side file."""
+    """Wide table at 4 decimals; report metadata goes to a text file in the
+    folder ``<path>_metadata``."""
     cols = [c for c in wide.columns if c not in ("run_id", "sample_id", "overall_score")]
     out = wide.select(F.col("sample_id").alias("sample_index"),
                       F.format_number("overall_score", 4).alias("overall_score"),
                       *[F.format_string("%.4f", F.col(c)).alias(c) for c in cols])
     out.write.mode("overwrite").option("header", True).csv(path)
     if metadata:
-        with open(os.path.join(path, "_report_metadata.txt"), "w", encoding="utf-8") as f:
-            for k in ("timestamp", "version", "config_path", "git_hash"):
-                if k in metadata:
-                    f.write(f"# {k}: {metadata[k]}\n")
+        lines = [f"# {k}: {metadata[k]}" for k in ("timestamp", "version", "config_path", "git_hash") if k in metadata]
+        spark = wide.sparkSession
+        spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite") \
+            .text(f"{path.rstrip('/')}_metadata")
 
 
 def write_samples(samples: DataFrame, path: str, fmt: str = "jsonl") -> None:

@@ -1,84 +1,132 @@
 """Structured Streaming.
 
 R1  a directory of JSON Lines files as a stream of samples (same parser as
-    the batch reader; rejects are a second stream).
+    the batch reader; rejects are a second stream). Lines without an id get
+    one from file, text and their number among equal lines of the file.
 R2  deterministic metrics on the stream: the batch column expressions,
     stateless.
 R3  judge metrics: ``foreachBatch`` runs the batch scoring plan, so the
-    cache, dedup and materialisation of replies are the batch ones.
+    cache, dedup and materialisation of replies are the batch ones. Each
+    micro-batch owns one folder, which a replay writes anew.
 R4  running per-metric count / mean / min / max / population std / pass
-    count, a streaming aggregate (exact percentiles stay batch-only).
+    count, a streaming aggregate (exact percentiles stay batch-only), and the
+    same per event-time window behind a watermark.
 """
 
 from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ragscope.operators.score import score
 from ragscope.session import checkpoint_dir
 from ragscope.sources.samples import parse_jsonl_lines
 
 
-def stream_samples(spark: SparkSession, directory: str,
-                   max_files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(samples, rejects)`` streams. Lines without a ``sample_id`` get
-    ``xxhash64(file, line)`` (a stream has no global row order)."""
+def number_equal_lines(lines: DataFrame) -> DataFrame:
+    """``(file, value, seq)``: the k-th of a file's equal lines has seq k - 1.
+
+    A file belongs to one micro-batch, so all equal lines of a file meet in one
+    call and nothing has to be kept for later batches. Which of the equal lines
+    comes first does not matter: the set of numbers is the same in every run,
+    after a restart too.
+    """
+    def number(key, frames, state):
+        n = 0
+        for frame in frames:
+            yield pd.DataFrame({"file": key[0], "value": key[1], "seq": range(n, n + len(frame))})
+            n += len(frame)
+
+    return lines.groupBy("file", "value").applyInPandasWithState(
+        number, "file string, value string, seq long", "unused long", "append", "NoTimeout")
+
+
+def stream_samples(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None,
+                   ids: str = "numbered", event_time: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(samples, rejects)`` streams.
+
+    ``ids="numbered"``: a line without a ``sample_id`` gets a hash of its file,
+    text and number among equal lines (a stream has no global row order).
+    ``ids="given"``: such lines are rejected; the stream stays stateless, so
+    any aggregate may follow. ``event_time`` names a metadata key that becomes
+    a timestamp column of that name (null where it is no timestamp).
+    """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = reader.load(directory).select(F.input_file_name().alias("file"), "value")
-    parsed = parse_jsonl_lines(lines)
+    if ids == "numbered":
+        lines = number_equal_lines(lines.where(F.trim("value") != ""))
+    elif ids != "given":
+        raise ValueError(f"ids is 'numbered' or 'given', not {ids!r}")
+    own = F.xxhash64("file", "line", "seq") if ids == "numbered" else F.lit(None).cast("long")
+    parsed = parse_jsonl_lines(lines, ["seq"] if ids == "numbered" else [])
+    parsed = parsed.withColumn("id", F.coalesce("s.sample_id", own))
+    reason = F.coalesce("reason", F.when(F.col("id").isNull(), F.lit("missing sample_id")))
+    parsed = parsed.withColumn("reason", reason)
+    metadata = F.coalesce("s.metadata", F.create_map().cast("map<string,string>"))
+    times = [F.try_element_at(metadata, F.lit(event_time)).try_cast("timestamp").alias(event_time)] if event_time else []
     good = parsed.where(F.col("reason").isNull()).select(
-        F.coalesce("s.sample_id", F.xxhash64("file", "line")).alias("sample_id"),
-        "s.query",
+        F.col("id").alias("sample_id"), "s.query",
         F.coalesce("s.context", F.array().cast("array<string>")).alias("context"),
-        "s.answer", "s.reference",
-        F.coalesce("s.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+        "s.answer", "s.reference", metadata.alias("metadata"), *times)
     rejects = parsed.where(F.col("reason").isNotNull()).select("file", "line", "reason", "missing")
     return good, rejects
 
 
-def stream_scores(samples: DataFrame, metrics: list[str], run_id: str = "stream") -> DataFrame:
+def stream_scores(samples: DataFrame, metrics: list[str], run_id: str = "stream", carry: tuple[str, ...] = ()) -> DataFrame:
     """R2: deterministic metrics on a stream (no judge)."""
-    return score(samples, metrics, judge=None, run_id=run_id)
+    return score(samples, metrics, judge=None, run_id=run_id, carry=carry)
 
 
-def running_summary(scores: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Running aggregate per run and metric (complete/update mode)."""
+def _running(threshold: float) -> list:
     ok = F.coalesce(F.col("status"), F.lit("ok")) != F.lit("judge_error")
     v = F.when(ok, F.col("score"))
-    return scores.groupBy("run_id", "metric").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"),
-        F.max(v).alias("max"), F.stddev_pop(v).alias("std_dev"),
-        F.count_if(v >= float(threshold)).alias("pass_count"))
+    return [F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"),
+            F.max(v).alias("max"), F.stddev_pop(v).alias("std_dev"),
+            F.count_if(v >= float(threshold)).alias("pass_count")]
+
+
+def running_summary(scores: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Running aggregate per run and metric (complete/update mode)."""
+    return scores.groupBy("run_id", "metric").agg(*_running(threshold))
 
 
 def windowed_summary(scores: DataFrame, event_time: str, window: str = "10 minutes",
-                     watermark: str = "30 minutes") -> DataFrame:
-    """R4, event-time variant (our addition): per tumbling window and metric,
-    with a watermark so late rows are bounded and state is dropped."""
+                     watermark: str = "30 minutes", threshold: float = 0.7) -> DataFrame:
+    """R4 per tumbling event-time window, run and metric (append mode).
+
+    ``event_time`` is a column that ``stream_scores(carry=...)`` has kept. A
+    window is output once the greatest time seen is ``watermark`` past its end,
+    and its state is dropped; rows that come for it later are left out. Rows
+    without a time belong to no window.
+    """
     return (scores.withWatermark(event_time, watermark)
-            .groupBy(F.window(event_time, window), "metric")
-            .agg(F.count("score").alias("n"), F.avg("score").alias("mean")))
+            .groupBy(F.window(event_time, window).alias("w"), "run_id", "metric").agg(*_running(threshold))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "run_id", "metric",
+                    "n", "mean", "min", "max", "std_dev", "pass_count"))
+
+
+def write_epoch(df: DataFrame, epoch_id: int, out_path: str) -> None:
+    """One micro-batch as one folder: a replay of the batch writes it anew, and
+    a reader sees ``epoch`` as a partition column."""
+    df.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch_id}")
 
 
 def judge_in_batches(samples: DataFrame, metrics: list[str], judge, out_path: str,
                      run_id: str = "stream", checkpoint: str | None = None,
-                     available_now: bool = True):
+                     available_now: bool = True, carry: tuple[str, ...] = ()):
     """Each micro-batch is scored with the batch plan (dedup, cache,
-    replies stored before use) and appended to ``out_path``. Returns the
-    started query."""
+    replies stored before use) and written to its own folder of ``out_path``.
+    Returns the started query."""
     spark = samples.sparkSession
     ck = checkpoint or os.path.join(checkpoint_dir(spark), f"judge-stream-{run_id}")
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        score(df, metrics, judge=judge, run_id=run_id) \
-            .withColumn("epoch", F.lit(epoch_id)) \
-            .write.mode("append").parquet(out_path)
+        write_epoch(score(df, metrics, judge=judge, run_id=run_id, carry=carry), epoch_id, out_path)
 
     w = samples.writeStream.foreachBatch(batch).option("checkpointLocation", ck)
     w = w.trigger(availableNow=True) if available_now else w
@@ -88,10 +136,21 @@ def judge_in_batches(samples: DataFrame, metrics: list[str], judge, out_path: st
 def run_to_table(df: DataFrame, name: str, mode: str = "complete",
                  checkpoint: str | None = None) -> DataFrame:
     """Run a streaming aggregate to completion over the files present now
-    (``availableNow``) into a memory table and return it as a batch table."""
+    (``availableNow``) into a memory table and return it as a batch table. For
+    results of bounded size; others go to ``run_to_path``."""
     spark = df.sparkSession
     ck = checkpoint or os.path.join(checkpoint_dir(spark), f"stream-{name}")
     q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(name)
+
+
+def run_to_path(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an appending stream to completion over the files present now; its
+    rows are written by the executors, each exactly once."""
+    spark = df.sparkSession
+    q = (df.writeStream.format("parquet").option("path", path).outputMode("append")
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)

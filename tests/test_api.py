@@ -1,3 +1,4 @@
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -44,8 +45,7 @@ def test_evaluate_weights_and_verdict(spark):
 def test_report_roundtrip_and_baseline(spark, scratch):
     from ragscope.operators import compare as CMP
     from ragscope.operators.score import score
-    from ragscope.sources.reports import (read_baseline, read_report, report_to_scores,
-                                          results_table, write_json_document)
+    from ragscope.sources.reports import read_baseline, read_report, report_to_scores, results_table
     sd = E.samples_docs(spark, E.SF0001)
     sc = score(sd, ["format_compliance"], run_id="r1")
     ms = {r["metric"]: r["mean"] for r in
@@ -54,8 +54,9 @@ def test_report_roundtrip_and_baseline(spark, scratch):
                "metric_scores": {"format_compliance": {"mean": ms["format_compliance"]},
                                  "legacy": 0.25}}
     path = os.path.join(scratch, "rep.json")
-    write_json_document(spark, summary, results_table(sc, ["format_compliance"]), path,
-                        metadata={"version": "x"})
+    rows = results_table(sc, ["format_compliance"]).select(F.to_json(F.struct("*")).alias("r")).collect()
+    with open(path, "w") as f:
+        json.dump({"metadata": {"version": "x"}, "summary": summary, "results": [json.loads(r.r) for r in rows]}, f)
     rep = read_report(spark, path)
     base = {r["metric"]: r["mean"] for r in read_baseline(spark, path).collect()}
     assert base == {"format_compliance": ms["format_compliance"], "legacy": 0.25}
