@@ -1,13 +1,12 @@
 """Exact distribution statistics per group by selection.
 
-The values are stored once as a narrow table. A sketch of bounded size cuts
-each group's values into ``cells`` of about equal size; a second pass counts
-the rows of every cell where they are (only one count per task, group and cell
-moves); the counts tell which cells hold the wanted ranks. A cell that is still
-large is cut again in the same way, until every opened cell is small; only the
-opened cells' values move and are sorted. No group, and no more than ``most``
-values of one, ever meet in one task. The cuts decide where the work goes and
-never the result.
+The values are stored once as a narrow table. A group is a cell at first. A
+cell of more than ``most`` values is cut by a sketch of bounded size into
+``cells`` of about equal size; a pass counts the rows of every new cell where
+they are (only one count per task and cell moves), and the counts tell which
+cells hold the wanted ranks. These are cut again in the same way until they are
+small; only the opened cells' values move and are sorted, no more than ``most``
+of them in one task. The cuts decide where the work goes and never the result.
 """
 
 from __future__ import annotations
@@ -84,35 +83,30 @@ def distribution_of(df: DataFrame, keys: list[str], value: Column, extra: list[C
     """
     used = [c for c in df.columns if c not in keys and c != "v"] if extra else []
     values = store(df.select(*keys, value.cast("double").alias("v"), *used), "values")
-    sketch = F.percentile_approx("v", [i / cells for i in range(1, cells)], 4 * cells)
     stats = store(values.groupBy(*keys).agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.stddev_pop("v").alias("std_dev"), sketch.alias("_cuts"), *(extra or [])), "stats")
+        F.stddev_pop("v").alias("std_dev"), *(extra or [])), "stats")
     last = F.col("n") - 1
     wanted = F.array_sort(F.array_distinct(F.array(
         *[f(last * F.lit(p)).cast("long") for p in QUANTILES.values() for f in (F.floor, F.ceil)])))
-    live = stats.where("n > 0")
-    # whole groups are the first parts
-    parts = live.select(*keys, F.lit(0).alias("part"), F.col("min").alias("lo"), F.col("max").alias("hi"),
-                        F.array_distinct("_cuts").alias("cuts"))
-    ranks = live.select(*keys, F.lit(0).alias("part"), F.lit(0).cast("long").alias("before"), wanted.alias("wanted"))
-    small = None
-    while True:
-        opened = store(_open(_counted(values, _facts(parts, "parts"), keys, cells), ranks, keys), "opened")
-        # one value: nothing to sort. Small: sorted below. Others are cut again.
-        done = opened.where((F.col("lo") == F.col("hi")) | (F.col("rows") <= most))
-        small = done if small is None else small.unionByName(done)
-        large = opened.where((F.col("lo") < F.col("hi")) & (F.col("rows") > most))
-        if large.isEmpty():
-            break
-        large = store(large.withColumn("part", F.xxhash64("lo", "hi")), "large")
-        ranks = large.select(*keys, "part", "before", "wanted")
+    # whole groups are the first cells
+    opened = stats.where("n > 0").select(*keys, F.col("n").alias("rows"), F.col("min").alias("lo"), F.col("max").alias("hi"),
+                                         F.lit(0).cast("long").alias("before"), wanted.alias("wanted"))
+    # one value: nothing to sort. Few: sorted below. Others are cut again.
+    is_large = (F.col("lo") < F.col("hi")) & (F.col("rows") > most)
+    small, few = opened.where(~is_large), stats.count() <= BROADCAST_ROWS
+    while not opened.where(is_large).isEmpty():
+        large = store(opened.where(is_large).withColumn("part", F.xxhash64("lo", "hi")), "large")
         inside = _same("q", "s", keys) & (F.col("q.v") >= F.col("s.lo")) & (F.col("q.v") <= F.col("s.hi"))
-        again = values.alias("q").join(_facts(large.select(*keys, "part", "lo", "hi"), "ranges").alias("s"), inside)
-        parts = again.groupBy(*[F.col(f"q.{k}") for k in keys], "s.part", "s.lo", "s.hi").agg(
-            F.array_distinct(F.percentile_approx("q.v", [i / cells for i in range(1, cells)], 4 * cells)).alias("cuts"))
+        mine = values.alias("q").join(_facts(large.select(*keys, "part", "lo", "hi"), "ranges").alias("s"), inside)
+        sketch = F.percentile_approx("q.v", [i / cells for i in range(1, cells)], 4 * cells)
+        parts = mine.groupBy(*[F.col(f"q.{k}").alias(k) for k in keys], "s.part", "s.lo", "s.hi").agg(
+            F.array_distinct(sketch).alias("cuts"))
+        ranks = large.select(*keys, "part", "before", "wanted")
+        opened = store(_open(_counted(values, _facts(parts, "parts"), keys, cells), ranks, keys), "opened")
+        small, few = small.unionByName(opened.where(~is_large)), few and opened.count() <= BROADCAST_ROWS
     one = small.where("lo = hi").select(*keys, F.explode("wanted").alias("rank"), F.col("lo").alias("v"))
-    ranges = _facts(small.where("lo < hi"), "cells")
+    ranges = F.broadcast(small.where("lo < hi")) if few else small.where("lo < hi")
     inside = _same("q", "s", keys) & (F.col("q.v") >= F.col("s.lo")) & (F.col("q.v") <= F.col("s.hi"))
     moved = values.alias("q").join(ranges.alias("s"), inside).groupBy(
         *[F.col(f"q.{k}").alias(k) for k in keys], F.col("s.before").alias("before"), F.col("s.wanted").alias("wanted"),

@@ -41,12 +41,13 @@ def test_quantiles_of_awkward_groups(spark):
               "one": np.array([0.8]), "hot": np.concatenate((np.zeros(900), g.random(50))), None: g.random(77)}
     rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("many", None), ("void", None), ("void", None)]
     table = spark.createDataFrame(rows, "k string, x double").repartition(5)
-    got = {r.k: r for r in distribution_of(table, ["k"], F.col("x")).collect()}
-    assert set(got) == {*groups, "void"}
-    for k, v in groups.items():
-        want = [len(v), v.mean(), v.min(), v.max(), *np.quantile(v, [0.25, 0.5, 0.75]), v.std()]
-        assert list(got[k])[1:] == pytest.approx(want, abs=1e-12), k
-    assert list(got["void"])[1:] == [0] + [None] * 7
+    for most, cells in ((1 << 18, 256), (50, 16)):  # groups as they are, and cut again and again
+        got = {r.k: r for r in distribution_of(table, ["k"], F.col("x"), cells=cells, most=most).collect()}
+        assert set(got) == {*groups, "void"}
+        for k, v in groups.items():
+            want = [len(v), v.mean(), v.min(), v.max(), *np.quantile(v, [0.25, 0.5, 0.75]), v.std()]
+            assert list(got[k])[1:] == pytest.approx(want, abs=1e-12), k
+        assert list(got["void"])[1:] == [0] + [None] * 7
     assert distribution_of(table.where("k = 'none'"), ["k"], F.col("x")).count() == 0
 
 
