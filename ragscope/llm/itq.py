@@ -108,7 +108,12 @@ def met(pairs: list[tuple[np.ndarray, np.ndarray]], model: dict) -> float:
 
 
 def fit(distinct: DataFrame, count: int, width: int, cosine: float, recall: float, sample: int) -> dict:
-    rows = distinct.where(F.size("v") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    h = F.xxhash64("vec_id")
+    # what could be among the first: twice the sample, or all of a small table,
+    # so that no task sends a sample of its own
+    share = min(1.0, (2 * sample + 100) / max(count, 1))
+    first = distinct.where((F.size("v") == width) & (h <= int(-(2**63) + share * (2**64 - 2048))))
+    rows = first.orderBy(h, "vec_id").limit(sample).select("v").collect()
     x = unit_rows(np.array([r.v for r in rows]))
     pairs = threshold_pairs(x, cosine)
     length = min(30, max(6, round(math.log2(max(count, 2) / BUCKET))))
