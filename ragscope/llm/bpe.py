@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragscope.llm.common import documents, slices, texts_of
+from ragscope.llm.common import discard, documents, materialize, slices, texts_of
 
 # White space (the Unicode property) and the contractions of the
 # byte-level pattern.
@@ -503,9 +503,19 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, size: int = 32_768, longest: int = 24) -> Lexicon:
-    """The lexicon of the ``size`` most frequent words of at most ``longest`` bytes."""
-    top = (word_counts(docs).where(F.length("word") <= longest)
-           .orderBy(F.desc("n"), "word").limit(size).collect())
+    """The lexicon of the most frequent words of at most ``longest`` bytes, at
+    most ``size``: all words above a frequency. The driver sees a few thousand
+    counts (64 steps for each doubling of the frequency), then these words."""
+    counts = materialize(word_counts(docs).where(F.length("word") <= longest), "word-counts")
+    step = F.floor(F.log2("n") * 64).cast("int")
+    cut, total = None, 0
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r.s):
+        total += r.c
+        if total > size:
+            break
+        cut = r.s
+    top = counts.where(step >= cut).collect() if cut is not None else []
+    discard(counts)
     return Lexicon.compile((bytes(r.word) for r in top), vocabulary(tokenizer))
 
 
