@@ -10,6 +10,12 @@ the other group's whole union is large enough are compared, as one product of
 small 0/1 matrices. A block returns a spanning forest of its links, never all
 pairs.
 
+Clusters of near copies are contracted before pairs of groups are listed: units
+of one group are compared, and all holders of a crowded token with one of them
+(a star). What is linked then is one component, whose units fill groups of
+their own; pairs of groups are listed only between different components, so a
+cluster of m texts costs about m comparisons and not m * m.
+
 Only a prefix of each unit enters the matrix: under one order of all tokens,
 two linked units share a token among their first |x| - ceil(t|x|) + 1. The
 order is by hash, but tokens that are frequent in the corpus come last, so
@@ -23,6 +29,8 @@ a null component. Repeated rows of one doc_id with equal texts are one unit.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +42,8 @@ from ragscope.llm.common import (as_long, connected_components, discard, documen
 
 HOT = 64  # units that hold a token beyond which it comes last in the order
 GROUP_UNITS, GROUP_TOKENS = 128, 1 << 17
+STAR = 16  # sets of units that hold a token beyond which they are held against one of them first
+CROWDED, STAR_ROUNDS = 128, 4  # while a token has so many after that, another star is tried
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -217,8 +227,9 @@ def _compare(left: list[dict], right: list[dict], percent: int) -> list[tuple[in
     return _forest(ids_a, ids_b, link) if link.any() else []
 
 
-def open_groups(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links found within the pairs (g1, g2) of groups."""
+def open_groups(pairs: DataFrame, groups: DataFrame, percent: int, own: bool = True) -> DataFrame:
+    """(a, b): links found within the pairs (g1, g2) of groups, and with
+    ``own`` also within each group."""
     def run(batches):
         for batch in batches:
             a, b = [], []
@@ -230,11 +241,86 @@ def open_groups(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
                     b.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    own = groups.where(F.size("members") > 1).select(F.col("members").alias("x"), F.lit(None).cast(
-        groups.schema["members"].dataType).alias("y"))
-    cross = (pairs.join(groups.select(F.col("g").alias("g1"), F.col("members").alias("x")), "g1")
-             .join(groups.select(F.col("g").alias("g2"), F.col("members").alias("y")), "g2").select("x", "y"))
-    return own.unionByName(cross).mapInArrow(run, "a long, b long")
+    opened = (pairs.join(groups.select(F.col("g").alias("g1"), F.col("members").alias("x")), "g1")
+              .join(groups.select(F.col("g").alias("g2"), F.col("members").alias("y")), "g2").select("x", "y"))
+    if own:
+        opened = groups.where(F.size("members") > 1).select(F.col("members").alias("x"), F.lit(None).cast(
+            groups.schema["members"].dataType).alias("y")).unionByName(opened)
+    return opened.mapInArrow(run, "a long, b long")
+
+
+def grouped(live: DataFrame) -> DataFrame:
+    """(unit, of, g, n, k): the units with the same ``of`` as one group, or as
+    several of bounded size where they are many."""
+    hot = (live.groupBy("of").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+           .withColumn("parts", F.greatest(F.ceil(F.col("c") / GROUP_UNITS), F.ceil(F.col("s") / GROUP_TOKENS)))
+           .where("c > 1").select("of", "parts"))
+    group = live.join(hot, "of", "left").withColumn(
+        "g", F.when(F.col("parts").isNull(), F.col("unit")).otherwise(
+            F.xxhash64("of", F.pmod(F.xxhash64("unit"), F.col("parts")))))
+    return materialize(group.select("unit", "of", "g", "n", "k"), "groups")
+
+
+def members(groups: DataFrame, texts: DataFrame, size: int, pairs: DataFrame, own: bool = False) -> DataFrame:
+    """(g, members): the groups of ``pairs``, and with ``own`` all groups of
+    several units, with their units' token sets."""
+    wanted = pairs.select(F.col("g1").alias("g")).union(pairs.select(F.col("g2").alias("g")))
+    if own:
+        wanted = wanted.union(groups.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"))
+    chosen = materialize(groups.join(wanted.distinct(), "g").select("unit", "g"), "opened")
+    # ids alone, in order: a table small enough to be sent to the texts up to
+    # some size, beyond which the planner shuffles both
+    ids = materialize(chosen.select("unit").sortWithinPartitions("unit"), "opened-ids")
+    tokens = token_rows(ids, texts, size).dropDuplicates(["unit"])
+    return materialize(tokens.join(chosen, "unit").groupBy("g").agg(
+        F.collect_list(F.struct("unit", "tokens")).alias("members")), "members")
+
+
+def token_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The matrix: (t, of, g), one row for each token that some unit of g holds."""
+    return rows.join(groups.select("unit", "of", "g"), "unit").select("t", "of", "g").distinct()
+
+
+def _sizes(groups: DataFrame, by: str, suffix: str) -> DataFrame:
+    return groups.groupBy(F.col(by).alias(f"{by}{suffix}")).agg(
+        F.min("n").alias(f"lo{suffix}"), F.max("n").alias(f"hi{suffix}"), F.max(F.col("n") - F.col("k")).alias(f"rest{suffix}"))
+
+
+def _fits(percent: int):
+    """Whether two sets of units have sizes that leave room for a link."""
+    return F.expr(f"100 * hi1 >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo1")
+
+
+def stars(rows: DataFrame, groups: DataFrame, percent: int, crowd: int = STAR) -> DataFrame:
+    """(g1, g2): for each token that more than ``crowd`` sets ``of`` units hold,
+    a group of each of them against one of the set that holds most such tokens,
+    the hub. Near copies of one text share most tokens, and so the hub, which
+    is the text itself or the largest set of its copies: a star joins them with
+    one comparison each, where all pairs would be quadratic in their number."""
+    sets = token_groups(rows, groups).groupBy("t", "of").agg(F.min("g").alias("g"))
+    crowded = sets.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd).select("t")
+    sets = materialize(sets.join(crowded, "t"), "crowded")
+    weight = sets.groupBy("of").agg(F.count(F.lit(1)).alias("w"))
+    hub = sets.join(weight, "of").groupBy("t").agg(F.max(F.struct("w", F.xxhash64("of"), "g")).alias("m")) \
+        .select("t", F.col("m.g").alias("hub"))
+    pairs = sets.join(hub, "t").where("g <> hub").select(F.least("g", "hub").alias("g1"), F.greatest("g", "hub").alias("g2")).distinct()
+    pairs = pairs.join(_sizes(groups, "g", "1"), "g1").join(_sizes(groups, "g", "2"), "g2")
+    return materialize(pairs.where(_fits(percent)).select("g1", "g2"), "stars")
+
+
+def candidate_pairs(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(g1, g2): all pairs of groups from different components that share
+    enough tokens for a link. Components meet by token first, however many
+    groups they have; only those that differ unfold into their groups."""
+    matrix = materialize(token_groups(rows, groups), "token-group")
+    sets = matrix.select("t", "of").distinct().join(_sizes(groups, "of", "").withColumnRenamed("rest", "r"), "of")
+    p, q = (sets.select("t", F.col("of").alias(f"of{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in "12")
+    meet = p.join(q, "t").where((F.col("of1") < F.col("of2")) & _fits(percent)).select("t", "of1", "of2")
+    g1, g2 = (matrix.select("t", F.col("of").alias(f"of{i}"), F.col("g").alias(f"g{i}")) for i in "12")
+    shared = meet.join(g1, ["t", "of1"]).join(g2, ["t", "of2"]).groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("c"))
+    shared = shared.join(_sizes(groups, "g", "1"), "g1").join(_sizes(groups, "g", "2"), "g2")
+    need = F.ceil(F.lit(percent) * (F.col("lo1") + F.col("lo2")) / F.lit(100 + percent) - F.lit(1e-9))
+    return shared.where(_fits(percent) & (F.col("c") + F.greatest("rest1", "rest2") >= need)).select("g1", "g2")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -254,37 +340,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # what the rest needs of the texts' description is narrow
     described, wide = materialize(described.select("doc_id", "n", "sig_a", "sig_b"), "documents"), described
     discard(wide)
-    # groups: units with the same key, split where they are many
     live = rows.select("unit").distinct().join(units.select("unit", "key", "n", "k"), "unit")
     live = materialize(live, "live")
-    hot = (live.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-           .withColumn("parts", F.greatest(F.ceil(F.col("c") / GROUP_UNITS), F.ceil(F.col("s") / GROUP_TOKENS)))
-           .where("c > 1").select("key", "parts"))
-    grouped = live.join(hot, "key", "left").withColumn(
-        "g", F.when(F.col("parts").isNull(), F.col("unit")).otherwise(
-            F.xxhash64("key", F.pmod(F.xxhash64("unit"), F.col("parts")))))
-    grouped = materialize(grouped.select("unit", "g", "n", "k"), "groups")
-    stats = grouped.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("k")).alias("rest"))
-    matrix = materialize(rows.join(grouped.select("unit", "g"), "unit").select("t", "g").distinct().join(stats, "g"),
-                         "token-group")
-    p, q = matrix.alias("p"), matrix.alias("q")
-    fits = (F.expr("p.t = q.t AND p.g < q.g") & F.expr(f"100 * p.hi >= {percent} * q.lo AND 100 * q.hi >= {percent} * p.lo"))
-    need = F.ceil(F.lit(percent) * (F.col("lo1") + F.col("lo2")) / F.lit(100 + percent) - F.lit(1e-9))
-    pairs = (p.join(q, fits).groupBy(F.col("p.g").alias("g1"), F.col("q.g").alias("g2"))
-             .agg(F.count(F.lit(1)).alias("c"), F.first("p.lo").alias("lo1"), F.first("q.lo").alias("lo2"),
-                  F.greatest(F.first("p.rest"), F.first("q.rest")).alias("rest"))
-             .where(F.col("c") + F.col("rest") >= need).select("g1", "g2"))
-    pairs = materialize(pairs, "pairs")
-    many = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
-    wanted = pairs.select(F.col("g1").alias("g")).union(pairs.select(F.col("g2").alias("g"))).union(many).distinct()
-    chosen = materialize(grouped.join(wanted, "g").select("unit", "g"), "opened")
-    # ids alone, in order: a table small enough to be sent to the texts up to
-    # some size, beyond which the planner shuffles both
-    ids = materialize(chosen.select("unit").sortWithinPartitions("unit"), "opened-ids")
-    tokens = token_rows(ids, docs.where("doc_id IS NOT NULL"), size).dropDuplicates(["unit"])
-    groups = materialize(tokens.join(chosen, "unit").groupBy("g").agg(
-        F.collect_list(F.struct("unit", "tokens")).alias("members")), "members")
-    links = materialize(open_groups(pairs, groups, percent).distinct(), "links")
+    texts = docs.where("doc_id IS NOT NULL")
+    # first, units of one key and the token stars; then what these left apart
+    groups = grouped(live.withColumn("of", F.xxhash64("key")))
+    found, star = [], stars(rows, groups, percent)
+    for step in range(STAR_ROUNDS):
+        own = step == 0
+        opened = members(groups, texts, size, star, own)
+        found.append(materialize(open_groups(star, opened, percent, own).distinct(), "links"))
+        discard(opened)
+        known = connected_components(functools.reduce(DataFrame.unionByName, found))
+        groups = grouped(live.join(known, live.unit == known.node, "left").withColumn("of", F.coalesce("component", "unit")))
+        star = stars(rows, groups, percent, CROWDED)
+        if star.isEmpty():
+            break
+    pairs = materialize(candidate_pairs(rows, groups, percent), "pairs")
+    found.append(materialize(open_groups(pairs, members(groups, texts, size, pairs), percent, own=False).distinct(), "links"))
+    links = functools.reduce(DataFrame.unionByName, found)
     # components of units, then of documents
     cc = connected_components(links)
     unit = units.join(cc, units.unit == cc.node, "left").select(
