@@ -59,44 +59,3 @@ def test_embedding_tables_reach_recall_with_a_common_component(spark):
     d -= (d * x).sum(1, keepdims=True) * x
     y = 0.955 * x + (1 - 0.955**2) ** 0.5 * d / np.linalg.norm(d, axis=1, keepdims=True)
     assert (itq.substrings(x, model) == itq.substrings(y, model)).any(1).mean() >= 0.985
-
-
-def _near_copies(copies):
-    """Texts of 150 words with one of them changed."""
-    rng = np.random.default_rng(8)
-    base = [f"w{i}" for i in range(150)]
-    out = [" ".join(base)]
-    for i in range(copies):
-        words = list(base)
-        for k in rng.choice(150, 1):
-            words[k] = f"x{i}-{k}"
-        out.append(" ".join(words))
-    return out
-
-
-def test_ngram_cluster_is_joined_by_stars(spark, monkeypatch):
-    texts = _near_copies(300)
-    sets = [set(ngram_join.shingles(t, 5).tolist()) for t in texts]
-    root = list(range(len(sets)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    listed = []
-    candidates = ngram_join.candidate_pairs
-
-    def counted(*args):
-        listed.append(candidates(*args))
-        return listed[-1]
-    monkeypatch.setattr(ngram_join, "candidate_pairs", counted)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    found = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
-    assert found == {i: find(i) for i in range(len(texts))}
-    apart = len({find(i) for i in range(len(texts))})
-    assert listed[0].count() <= apart * len(texts) / 8  # not all 300 * 300 / 2 pairs
