@@ -1064,6 +1064,24 @@ SELECT metric, round(sa, 6) AS score_a, round(sb, 6) AS score_b, round(sb - sa,
 FROM j"""
 
 
+def q_short_report(spark, sf_dir):
+    """A report's per-sample table by language: shown where a language
+    has at most a hundred samples, else its number of rows alone counts as
+    one more than that (the cut-off is the feature); sorted at the edge."""
+    samples = samples_docs(spark, sf_dir).select("sample_id", F.try_element_at("metadata", F.lit("lang")).alias("lang"))
+    out = None
+    for lang in ("de", "en", "es", "fr"):
+        table, n = S.small_table(samples.where(F.col("lang") == lang), 100)
+        row = spark.range(1).select(F.lit(lang).alias("metric"), F.lit(n).cast("long").alias("rows"), F.lit(table is not None).alias("shown"))
+        out = row if out is None else out.unionByName(row)
+    return CMP.in_order(out)
+
+
+SQL_SHORT_REPORT = """
+SELECT l.lang AS metric, least(count(doc_id), 101) AS rows, count(doc_id) <= 100 AS shown
+FROM (VALUES ('de'), ('en'), ('es'), ('fr')) l(lang) LEFT JOIN documents d ON d.lang = l.lang GROUP BY l.lang"""
+
+
 def q_stored_sample_diff(spark, sf_dir):
     """The same runs per sample."""
     d = CMP.diff_runs(spark, _stored_runs(spark, sf_dir), "A", "B")
@@ -1427,6 +1445,7 @@ _QUERIES: dict[str, tuple[Callable, str | None]] = {
     "samples_without_metrics": (q_samples_without_metrics, SQL_SAMPLES_WITHOUT_METRICS),
     "run_store": (q_run_store, SQL_RUN_STORE),
     "stored_run_diff": (q_stored_run_diff, SQL_STORED_RUN_DIFF),
+    "short_report": (q_short_report, SQL_SHORT_REPORT),
     "stored_sample_diff": (q_stored_sample_diff, SQL_STORED_SAMPLE_DIFF),
     "report_roundtrip": (q_report_roundtrip, SQL_REPORT_ROUNDTRIP),
     "report_baseline": (q_report_baseline, SQL_REPORT_BASELINE),

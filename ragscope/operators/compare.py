@@ -29,6 +29,11 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("metric", "score_a", "score_b", d.alias("delta"), direction(d).alias("direction"))
 
 
+def in_order(comparison: DataFrame) -> DataFrame:
+    """A comparison sorted by metric, for output (one row per metric)."""
+    return comparison.orderBy("metric")
+
+
 def compare_overall(a: DataFrame, b: DataFrame) -> DataFrame:
     """J1 overall line from two run summaries of one row each (a side without
     rows counts 0.0): one aggregate over both, no join."""

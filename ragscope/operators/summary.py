@@ -193,6 +193,15 @@ def worst_samples(samp: DataFrame, k: int = 10) -> DataFrame:
     return samp.orderBy(F.col("overall_score").asc(), F.col("sample_id").asc()).limit(k)
 
 
+def small_table(rows: DataFrame, most: int = 20) -> tuple[DataFrame | None, int]:
+    """T4: the per-sample table of a short report and its number of rows, or
+    None and ``most`` + 1 where there are more than ``most`` rows. No more than
+    ``most`` + 1 rows are looked at."""
+    first = rows.limit(most + 1)
+    n = first.count()
+    return (rows if n <= most else None), n
+
+
 def scores_wide(scores: DataFrame, metrics: list[str]) -> DataFrame:
     """S14 shape: one row per sample, one column per metric (missing -> 0.0),
     built with conditional aggregates in a single aggregation."""

@@ -148,3 +148,13 @@ def test_progress_counts_what_is_written(spark, scratch):
     sc.write.parquet(f"{scratch}/scores")
     back = spark.read.parquet(f"{scratch}/scores")
     assert progress.counts() == {"rows": back.count(), "guarded": back.where("status = 'guarded'").count(), "judge_errors": 0}
+
+
+def test_small_tables_and_sorted_comparisons(spark):
+    rows = spark.createDataFrame([("r", i, 0.1 * i) for i in range(20)], "run_id string, sample_id long, overall_score double")
+    table, n = S.small_table(rows)
+    assert table.count() == n == 20
+    assert S.small_table(rows.unionByName(rows)) == (None, 21)
+    assert S.small_table(rows.where("false"))[1] == 0
+    a = spark.createDataFrame([("y", 0.5), ("x", 0.1), ("z", 0.3)], "metric string, mean double")
+    assert [r.metric for r in CMP.in_order(CMP.compare(a, a)).collect()] == ["x", "y", "z"]
