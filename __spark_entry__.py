@@ -670,7 +670,8 @@ def q_chat_turn_pairs(spark, sf_dir):
     """FIXTURES 2.2: user turn followed by an assistant turn."""
     c = samples_chat(spark, sf_dir)
     return c.select("sample_id", F.length("query").alias("qlen"), F.length("answer").alias("alen"),
-                    F.size("context").alias("n_context"))
+                    F.size("context").alias("n_context"),
+                    F.try_element_at("metadata", F.lit("turn")).cast("long").alias("turn"))
 
 
 SQL_CHAT_TURN_PAIRS = """
@@ -679,8 +680,8 @@ WITH c AS (SELECT conv_id, turn, role, text,
                   lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ntext
            FROM conversations),
 sys AS (SELECT conv_id, arg_min(text, turn) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id)
-SELECT conv_id * 1000 + turn AS sample_id, length(text) AS qlen, length(ntext) AS alen,
-       CAST(CASE WHEN sys.system IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_context
+SELECT conv_id * 16777216 + turn AS sample_id, length(text) AS qlen, length(ntext) AS alen,
+       CAST(CASE WHEN sys.system IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_context, turn::BIGINT AS turn
 FROM c LEFT JOIN sys USING (conv_id) WHERE role = 'user' AND nrole = 'assistant'"""
 
 

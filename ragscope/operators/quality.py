@@ -68,11 +68,15 @@ def missing_fields(samples: DataFrame, metrics: list[str]) -> DataFrame:
     return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("missing > 0")
 
 
+TURNS = 1 << 24  # turns of one conversation that sample ids tell apart
+
+
 def chat_pairs(conversations: DataFrame) -> DataFrame:
     """Samples from chat logs: a user turn directly followed by an assistant
     turn. Pairing is an equi-join on ``(conv_id, turn + 1)``: keys are unique,
     so a very long conversation does not land in one task. The system text of
-    a conversation (first by turn) becomes the context."""
+    a conversation (first by turn) becomes the context. ``sample_id`` is unique
+    for conversations of up to TURNS turns; metadata holds both of its parts."""
     c = conversations
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
     a = c.where(F.col("role") == "assistant").select(
@@ -81,10 +85,11 @@ def chat_pairs(conversations: DataFrame) -> DataFrame:
         F.min_by("text", "turn").alias("system"))
     pairs = u.join(a, ["conv_id", "turn"], "inner").join(sysmsg, "conv_id", "left")
     return pairs.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("sample_id"),
         "query",
         F.when(F.col("system").isNotNull(), F.array("system"))
          .otherwise(F.array().cast("array<string>")).alias("context"),
         "answer",
         F.lit(None).cast("string").alias("reference"),
-        F.create_map(F.lit("conv_id"), F.col("conv_id").cast("string")).alias("metadata"))
+        F.create_map(F.lit("conv_id"), F.col("conv_id").cast("string"),
+                     F.lit("turn"), F.col("turn").cast("string")).alias("metadata"))
