@@ -40,6 +40,42 @@ RANK = {k: i for i, k in enumerate(ROLE)}
 REACH = 240
 
 
+SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+#: How many elements of an array an inner fold appends to its own short list.
+BLOCK = 256
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def blocks(items: Column) -> Column:
+    """An array as an array of arrays of at most ``BLOCK`` elements."""
+    return let(items, lambda a: F.transform(F.sequence(F.lit(0), ((F.size(a) - 1) / BLOCK).cast("int")),
+                                            lambda i: F.slice(a, i * BLOCK + 1, BLOCK)))
+
+
+def scan(items: Column, state: Column, emits: str, step) -> Column:
+    """What ``step`` emits over ``items`` from left to right, as one array.
+
+    ``step(state, x)`` gives the next state and an array of ``emits``. An append
+    copies a block at most, and blocks are put together once, so the work grows
+    with the number of items and not with its square.
+    """
+    def one(acc: Column, x: Column) -> Column:
+        after, emitted = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], emitted).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{emits}>").alias("out"))
+        return let(F.aggregate(part, start, one),
+                   lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{emits}>>").alias("out"))
+    return F.flatten(F.aggregate(blocks(items), start, block, lambda acc: acc["out"]))
+
+
 def matches(text: Column, pattern: str, kind: str, keep=None, group: int = 0) -> Column:
     """The spans of a pattern: array of (start, rank, end, kind), leftmost first.
 
@@ -49,18 +85,44 @@ def matches(text: Column, pattern: str, kind: str, keep=None, group: int = 0) ->
     p = F.lit(pattern)
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"),
                          F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    empty = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["gap"])
+    def step(pos: Column, x: Column):
+        begin = pos + F.length(x["gap"])
         end = begin + F.length(x["hit"])
         span = F.struct(begin.alias("start"), F.lit(RANK[kind]).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
         good = x["hit"].isNotNull() if keep is None else x["hit"].isNotNull() & keep(x["value"])
-        return F.struct(F.coalesce(end, begin).alias("pos"),
-                        F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.coalesce(end, begin), F.when(good, F.array(span)).otherwise(empty)
+
+    return F.when(F.regexp_like(text, p), scan(parts, F.lit(0), SPAN, step)).otherwise(empty)
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, p), found).otherwise(empty)
+
+def separate_parts(spans: Column) -> Column:
+    """The spans that count as parts: one string is never two parts.
+
+    In order of start (the longer first, then as the kinds are listed), a span
+    that overlaps a counted one of another role goes. Base spans go only for
+    base spans.
+    """
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(
+        a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["rank"] - b["rank"]))
+    roles = ("identifier", "secret", "endpoint")
+    fields = [(r, w) for r in roles for w in ("base", "any")]
+    state = F.struct(*[F.lit(0).alias(f"{r}_{w}") for r, w in fields])
+    of = lambda x, r: x["kind"].isin(*[k for k, v in ROLE.items() if v == r])
+    is_base = lambda x: x["rank"] < RANK[WEAK[0][0]]
+
+    def step(ends: Column, x: Column):
+        hidden = F.lit(False)
+        for r in roles:
+            reach = F.when(is_base(x), ends[f"{r}_base"]).otherwise(ends[f"{r}_any"])
+            hidden = hidden | (~of(x, r) & (reach > x["start"]))
+        after = F.struct(*[F.when(~hidden & of(x, r) & (is_base(x) if w == "base" else F.lit(True)),
+                                  F.greatest(ends[f"{r}_{w}"], x["end"])).otherwise(ends[f"{r}_{w}"]).alias(f"{r}_{w}")
+                           for r, w in fields])
+        return after, F.when(hidden, F.array().cast(f"array<{SPAN}>")).otherwise(F.array(x))
+
+    return scan(ordered, state, SPAN, step)
 
 
 def joined(spans: Column) -> Column:
@@ -83,7 +145,7 @@ def link_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
     """(row, linked): the weak spans with complementary parts within ``reach``."""
     role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv]), F.col("s.kind"))
     parts = (found.where(F.size("weak") > 0)
-             .select("row", F.explode(F.concat("assign", "access", "hex", "weak")).alias("s"))
+             .select("row", F.explode(separate_parts(F.concat("assign", "access", "hex", "weak"))).alias("s"))
              .select("row", "s", role.alias("role"), (F.col("s.rank") >= RANK[WEAK[0][0]]).alias("is_weak")))
     cell = lambda at: F.floor(at / reach)
     covered = parts.select("row", "role", "s", F.explode(F.sequence(cell(F.col("s.start")), cell(F.col("s.end") - 1))).alias("cell"))
@@ -121,28 +183,39 @@ def op3_secrets(spark, sf_dir: str) -> DataFrame:
 
 def mask(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span (overlapping ones as one) replaced by ``mark``."""
-    start = F.struct(F.lit(1).alias("pos"), F.lit("").alias("out"))
+    nothing = F.array().cast("array<string>")
+
+    def block(acc: Column, part: Column) -> Column:
+        # only this stretch of the text is cut again for each of its spans
+        stop = F.array_max(F.transform(part, lambda s: s["end"]))
+        stretch = F.substring(text, acc["pos"], F.greatest(stop + 1 - acc["pos"], F.lit(0)))
+
+        def folded(near: Column) -> Column:
+            def step(own: Column, s: Column) -> Column:
+                new = F.when(s["start"] + 1 >= own["pos"], F.array(
+                    F.substring(near, own["pos"] - acc["pos"] + 1, s["start"] + 1 - own["pos"]), F.lit(mark))).otherwise(nothing)
+                return F.struct(F.greatest(own["pos"], s["end"] + 1).alias("pos"), F.concat(own["out"], new).alias("out"))
+
+            return F.aggregate(part, F.struct(acc["pos"].alias("pos"), nothing.alias("out")), step)
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.when(s["start"] + 1 >= acc["pos"], F.concat(
-            F.substring(text, acc["pos"], s["start"] + 1 - acc["pos"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["pos"], s["end"] + 1).alias("pos"), F.concat(acc["out"], before).alias("out"))
+        return let(let(stretch, folded), lambda r: F.struct(
+            r["pos"].alias("pos"), F.concat(acc["out"], F.array(F.array_join(r["out"], ""))).alias("out")))
 
-    return F.aggregate(F.array_sort(spans), start, step,
-                       lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"], F.length(text))))
+    return F.aggregate(blocks(F.array_sort(spans)), F.struct(F.lit(1).alias("pos"), nothing.alias("out")), block,
+                       lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"], F.length(text))))
 
 
 def mask_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with all spans masked, and n_chars as the masked text has it."""
-    columns = docs.columns
-    found = find_spans(docs, F.xxhash64("text").alias("h"))
+    found = find_spans(docs, F.xxhash64("text").alias("text_hash"))
     spans = found.join(link_parts(found), "row", "left").select(
-        "doc_id", "h", F.concat("assign", "access", "hex", F.coalesce("linked", F.array().cast(
+        "doc_id", "text_hash", F.concat("assign", "access", "hex", F.coalesce("linked", F.array().cast(
             found.schema["weak"].dataType))).alias("spans")).where(F.size("spans") > 0)
     # equal rows have equal spans
-    spans = spans.groupBy("doc_id", "h").agg(F.any_value("spans").alias("spans"))
-    keyed = docs.withColumn("h", F.xxhash64("text")).alias("d")
-    out = keyed.join(spans.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d.h = s.h"), "left")
-    text = F.when(F.col("spans").isNull(), F.col("d.text")).otherwise(mask(F.col("d.text"), F.col("spans"), mark))
-    return out.select(*[text.alias(c) if c == "text" else F.when(F.col("spans").isNull(), F.col("d.n_chars")).otherwise(
-        F.length(text)).cast("long").alias(c) if c == "n_chars" else F.col(f"d.{c}") for c in columns])
+    spans = spans.groupBy("doc_id", "text_hash").agg(F.any_value("spans").alias("spans")).alias("s")
+    out = docs.alias("d").join(spans, F.expr("d.doc_id <=> s.doc_id AND xxhash64(d.text) = s.text_hash"), "left")
+    none = F.col("s.spans").isNull()
+    text = F.when(none, F.col("d.text")).otherwise(mask(F.col("d.text"), F.col("s.spans"), mark))
+    count = F.when(none, F.col("d.n_chars")).otherwise(F.length(text)).cast("long") if "n_chars" in docs.columns else None
+    return out.select(*[text.alias(c) if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"d.`{c}`").alias(c)
+                        for c in docs.columns])
