@@ -2,17 +2,20 @@
 
 A passage is a window of consecutive words. Level 0 looks at windows of half
 the wanted length; those whose word sequence occurs in one document only are
-dropped, and windows of twice that length are formed only around what is left,
-and so on to ``window`` words (and beyond it, where ``longest`` is asked for,
-until no candidate survives). At level 0 it is enough to look at the smallest
-hash among the half windows that a window holds: equal windows choose the same
-one. Every deeper level looks at all windows whose chosen half survived.
+dropped, and windows of twice that length are formed only around what is left.
+At level 0 it is enough to look at the smallest hash among the half windows
+that a window holds: equal windows choose the same one. What to remove is known
+at ``window`` words, so ``remove_repeats`` stops there; ``longest_repeats`` goes
+on doubling from there until no candidate survives.
 
 A word goes when a window that covers it also starts in a document with a
 smaller doc_id; windows are judged on the input as it came. Words are compared
-by 64-bit hashes of their bytes. A null text has no words; a text shorter than
-the window keeps all of them; a null doc_id sorts after every other and takes
-no part in the comparison. Rows that repeat a doc_id count as one document.
+by 64-bit hashes of their bytes, and what survives a level is named by its hash
+and not by its place: rows that repeat a doc_id, with equal or different texts,
+are one document, and each row finds its own places. A null text has no words;
+a text shorter than the window keeps all of them; a null doc_id sorts after
+every other and takes no part in the comparison. Input columns called n_words,
+n_removed or kept are replaced, all others pass.
 """
 
 from __future__ import annotations
@@ -38,98 +41,142 @@ def chosen_halves(half_hash: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
+#: A hash is heavy when it holds more than this share of the rows of repeated
+#: hashes, so there are at most that many heavy ones.
+HEAVY_SHARE = 1024
+
+
+def arrays(ids: list[int], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """(doc_id, h) with the distinct hashes of each text as one array."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array([as_long(np.unique(h)) for h in hashes], pa.list_(pa.int64()))],
+        names=["doc_id", "h"])
+
+
 def level_zero(docs: DataFrame, window: int) -> DataFrame:
-    """(h, doc_id, pos): the half windows that some window chooses."""
+    """(h, doc_id): the half windows that some window chooses."""
     half = (window + 1) // 2
 
     def run(batches):
         for batch in slices(batches):
-            ids, hashes, places = [], [], []
+            ids, hashes = [], []
             for key, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 words, _, _, _ = word_hashes(text, lower=False)
                 if key is None or len(words) < window:
                     continue
                 h = window_hashes(words, half)
-                at = np.unique(chosen_halves(h, window - half + 1))
-                hashes.append(h[at])
-                places.append(at)
-                ids.append(np.full(len(at), key, np.int64))
+                hashes.append(np.unique(h[chosen_halves(h, window - half + 1)]))
+                ids.append(np.full(len(hashes[-1]), key, np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(np.concatenate(hashes))), pa.array(np.concatenate(ids)),
-                     pa.array(np.concatenate(places), pa.int32())], names=["h", "doc_id", "pos"])
+                    [pa.array(as_long(np.concatenate(hashes))), pa.array(np.concatenate(ids))], names=["h", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose hash occurs in more than one document, with the smallest of these."""
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return rows.join(first.where("first_doc < last_doc").select("h", "first_doc"), "h")
+    """(h, doc_id, first_doc): the rows whose hash occurs in more than one
+    document, with the smallest of these.
 
+    The smallest documents are found by a map-side combined aggregation. Rows of
+    heavy hashes then meet them by a broadcast of at most ``HEAVY_SHARE`` rows
+    and are dealt over all tasks; the others meet them in a shuffle by hash.
+    """
+    first = materialize(rows.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+                                              F.count("*").alias("n")).where("first_doc < last_doc"), "firsts")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY_SHARE > F.lit(total)
+    hot = F.broadcast(first.where(heavy).select("h", F.col("first_doc").alias("hot_doc")))
+    # a heavy hash's rows carry a number that no row of the other side has
+    spread = F.when(F.col("hot_doc").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    rest = first.where(~heavy).select("h", F.lit(0).cast("long").alias("deal"), "first_doc")
+    return (rows.join(hot, "h", "left").withColumn("deal", spread.cast("long")).join(rest, ["h", "deal"], "left")
+            .select("h", "doc_id", F.coalesce("hot_doc", "first_doc").alias("first_doc")).where("first_doc IS NOT NULL"))
+
+
+def gathered(rows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, seen): each document's distinct hashes among ``rows``, as a table."""
+    return materialize(rows.groupBy("doc_id").agg(F.collect_set("h").alias("seen")), name)
+
+
+def is_in(hashes: np.ndarray, seen: list[int]) -> np.ndarray:
+    return np.isin(as_long(hashes), np.array(seen, np.int64))
 
-def candidates(docs: DataFrame, halves: DataFrame, window: int) -> DataFrame:
-    """(doc_id, pos, h): the windows whose chosen half survived, in arrays."""
-    half = (window + 1) // 2
-    places = halves.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
 
+def extended(docs: DataFrame, survivors: DataFrame, short: int, long: int, chosen: bool) -> DataFrame:
+    """(h, doc_id): the windows of ``long`` words around windows of ``short`` words
+    that survived: its chosen one (``chosen``), or those at both its ends."""
     def run(batches):
         for batch in slices(batches):
-            ids, places, hashes = [], [], []
-            for key, text, pos in zip(batch.column("doc_id").to_pylist(), texts_of(batch),
-                                      batch.column("pos").to_pylist(), strict=True):
+            ids, hashes = [], []
+            for key, text, seen in zip(batch.column("doc_id").to_pylist(), texts_of(batch),
+                                       batch.column("seen").to_pylist(), strict=True):
                 words, _, _, _ = word_hashes(text, lower=False)
-                chosen = chosen_halves(window_hashes(words, half), window - half + 1)
-                survived = np.zeros(len(words) + window, bool)
-                survived[pos] = True
-                at = np.flatnonzero(survived[chosen])
-                if len(at):
+                if len(words) < long:
+                    continue
+                h = window_hashes(words, short)
+                alive = is_in(h, seen)
+                n = len(words) - long + 1
+                at = alive[chosen_halves(h, long - short + 1)] if chosen else alive[:n] & alive[long - short:]
+                if at.any():
                     ids.append(key)
-                    places.append(at.astype(np.int32))
-                    hashes.append(as_long(window_hashes(words, window)[at]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["doc_id", "pos", "h"])
+                    hashes.append(window_hashes(words, long)[at])
+            yield arrays(ids, hashes)
+
+    return docs.select("doc_id", "text").join(survivors, "doc_id").mapInArrow(run, "doc_id long, h array<long>")
+
 
-    return docs.select("doc_id", "text").join(places, "doc_id").mapInArrow(
-        run, "doc_id long, pos array<int>, h array<long>")
+def one_a_row(work: DataFrame) -> DataFrame:
+    return work.select(F.explode("h").alias("h"), "doc_id")
 
 
-def covered(n: int, places: list[int], window: int) -> np.ndarray:
+def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
     """Which of ``n`` words lie in a window that begins at one of ``places``."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, places, 1)
-    np.add.at(edge, np.minimum(np.array(places) + window, n), -1)
+    np.add.at(edge, np.minimum(places + window, n), -1)
     return np.cumsum(edge[:n]) > 0
 
 
-def find_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, drop): for each document with words to remove, the places of the
-    windows that cover them."""
-    docs = docs.select("doc_id", "text")
-    halves = materialize(repeated(level_zero(docs, window)).select("doc_id", "pos").distinct(), "halves")
-    work = materialize(candidates(docs, halves, window), "windows")
+def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
+    """(h, doc_id, first_doc): the windows of ``window`` words that repeat."""
+    halves = gathered(repeated(level_zero(docs, window)), "halves")
+    work = materialize(extended(docs, halves, (window + 1) // 2, window, True), "windows")
     discard(halves)
-    rows = work.select("doc_id", F.explode(F.arrays_zip("pos", "h")).alias("w")).select(
-        F.col("w.h").alias("h"), "doc_id", F.col("w.pos").alias("pos"))
-    repeats = materialize(repeated(rows).where("first_doc < doc_id").groupBy("doc_id").agg(
-        F.collect_list("pos").alias("drop")), "repeats")
-    discard(work)
-    return repeats
+    return repeated(one_a_row(work))
+
+
+def longest_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, longest long): the greatest of ``window``, 2 * window, 4 * window,
+    ... words of which the document shares a passage with another document, for
+    the documents that share any. A level ends the loop when nothing survives."""
+    docs = docs.select("doc_id", "text")
+    survivors = gathered(repeated_windows(docs, window), "level")
+    reached, size = survivors.select("doc_id", F.lit(window).cast("long").alias("longest")), window
+    while not survivors.isEmpty():
+        work = materialize(extended(docs, survivors, size, 2 * size, False), "windows")
+        survivors = gathered(repeated(one_a_row(work)), "level")
+        size *= 2
+        reached = reached.unionByName(survivors.select("doc_id", F.lit(size).cast("long").alias("longest")))
+    return reached.groupBy("doc_id").agg(F.max("longest").alias("longest"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with the columns n_words, n_removed and kept (the words that
     stay, joined by one blank); a text that loses nothing is its own kept."""
-    repeats = find_repeats(docs, window)
-    names = [f.name for f in docs.schema]
+    gone = repeated_windows(docs.select("doc_id", "text"), window).where("first_doc < doc_id")
+    repeats = gathered(gone, "repeats").withColumnRenamed("seen", "windows_that_repeat")
+    fields = [f for f in docs.schema if f.name.lower() not in ("n_words", "n_removed", "kept")]
+    names = [f.name for f in fields]
 
     def run(batches):
         for batch in slices(batches):
             count, removed, kept = [], [], []
-            for text, drop in zip(texts_of(batch), batch.column("drop").to_pylist(), strict=True):
+            for text, seen in zip(texts_of(batch), batch.column("windows_that_repeat").to_pylist(), strict=True):
                 words, data, start, end = word_hashes(text, lower=False)
-                gone = covered(len(words), drop, window) if drop else np.zeros(len(words), bool)
+                gone = np.zeros(len(words), bool)
+                if seen:
+                    gone = covered(len(words), np.flatnonzero(is_in(window_hashes(words, window), seen)), window)
                 left = b" ".join([data[i:j] for i, j in zip(start[~gone].tolist(), end[~gone].tolist())])
                 count.append(len(words))
                 removed.append(int(gone.sum()))
@@ -139,9 +186,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                                                     pa.array(kept, pa.string())],
                 names=[*names, "n_words", "n_removed", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.join(repeats, "doc_id", "left").select(*names, "drop").mapInArrow(
-        run, f"{fields}, n_words long, n_removed long, kept string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return docs.join(repeats, "doc_id", "left").select(*[f"`{n}`" for n in names], "windows_that_repeat").mapInArrow(
+        run, f"{schema}, n_words long, n_removed long, kept string")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
