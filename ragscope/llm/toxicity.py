@@ -1,19 +1,20 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 A bounded sample of labelled texts (``per_class`` of each label, chosen by a
-hash of doc_id, never from the held-out fold) gives the terms (those most
-associated with the label, by chi-square) and the examples. Document
-frequencies of the terms come from all documents. The examples' inverted index
-stores, beside each posting list, the largest weight in every block of
-``BLOCK`` examples; a text's neighbours are exact: blocks are opened in the
-order of their bounds until no bound reaches the k-th similarity. Votes are
-weighted by closeness and by how thinly each class was sampled, and a logistic
-fit over the examples' own leave-one-out votes calibrates them. The neighbours
-are the evidence.
+hash of doc_id, never from the held-out fold) gives the examples, and all their
+words are the terms: words that no example holds are in no dot product. Document
+frequencies of the terms come from all documents; each term is weighted by how
+strongly it goes with the label too (plain TF-IDF lets the topic of a text
+decide). The examples' inverted index stores, beside each posting list, the
+largest weight in every block of ``BLOCK`` examples; a text's neighbours are
+exact: blocks are opened in the order of their bounds until no bound reaches
+the k-th similarity. Votes are weighted by the inverse square of the distance and by how thinly each class was
+sampled, and a logistic fit over the examples' own leave-one-out votes
+calibrates them. The neighbours are the evidence.
 
 Null and empty texts and texts without any term have no neighbours: they get
-the calibrated score of such texts. Ties in similarity go to the example with
-the smaller doc_id. Several label rows of one document count each.
+the share of toxic rows among the labelled ones. Ties in similarity go to the
+example with the smaller doc_id. Several label rows of one document count each.
 """
 
 from __future__ import annotations
@@ -37,37 +38,18 @@ def words_of(text: str) -> Counter:
     return Counter(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """A word's terms: itself, and its first bytes if it is long."""
-    out = [word[:32]]
-    if len(word) > 4:
-        out.append(word[:4] + b"*")
-    if len(word) > 5:
-        out.append(word[:5] + b"*")
-    return out
-
-
 class TermReader:
-    """Counts the chosen terms of texts; remembers up to ``memory`` words."""
+    """Counts the terms of texts."""
 
-    def __init__(self, terms: list[bytes], memory: int = 300_000):
-        self.index, self.memory = {t: i for i, t in enumerate(terms)}, memory
-        self.known: dict[bytes, tuple[int, ...]] = {}
+    def __init__(self, terms: list[bytes]):
+        self.index = {t: i for i, t in enumerate(terms)}
 
     def counts(self, text: str) -> dict[int, int]:
-        known, out = self.known, {}
-        if len(known) > self.memory:
-            known.clear()
-        for word, n in words_of(text).items():
-            found = known.get(word)
-            if found is None:
-                found = known[word] = tuple(self.index[t] for t in terms_of(word) if t in self.index)
-            for i in found:
-                out[i] = out.get(i, 0) + n
-        return out
+        index = self.index
+        return {index[w]: n for w, n in words_of(text).items() if w in index}
 
     def vector(self, text: str, idf: np.ndarray) -> dict[int, float]:
-        """The text's unit TF-IDF vector over the chosen terms."""
+        """The text's unit TF-IDF vector over the terms."""
         v = {i: (1 + math.log(n)) * idf[i] for i, n in self.counts(text).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {i: float(x / norm) for i, x in v.items()} if norm else {}
@@ -85,28 +67,26 @@ def sample_examples(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def choose_terms(examples: DataFrame, totals: dict[int, int], vocabulary: int, least: int) -> list[bytes]:
-    """The terms with the largest chi-square between their presence and the label."""
-    def count(batches):
+def example_terms(examples: DataFrame, taken: dict[int, int]) -> tuple[list[bytes], np.ndarray]:
+    """Every term of the examples, and how strongly its presence goes with the
+    label: the phi coefficient without its sign, 0 to 1 at any number of examples."""
+    def run(batches):
         seen = ({}, {})
         for batch in slices(batches):
             for y, text in zip(batch.column("toxic").to_pylist(), texts_of(batch), strict=True):
-                for t in {t for w in words_of(text) for t in terms_of(w)}:
+                for t in words_of(text):
                     seen[y][t] = seen[y].get(t, 0) + 1
         both = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays(
             [pa.array(both, pa.binary()), pa.array([seen[0].get(t, 0) for t in both], pa.int64()),
              pa.array([seen[1].get(t, 0) for t in both], pa.int64())], names=["term", "clean", "toxic"])
 
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    chi = (F.lit(float(n0 + n1)) * F.pow(a * (n0 - b) - b * (n1 - a), 2)
-           / ((a + b) * (n0 + n1 - a - b) * F.lit(float(n0)) * F.lit(float(n1))))
-    top = (examples.select("toxic", "text").mapInArrow(count, "term binary, clean long, toxic long")
-           .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-           .where((F.col("clean") + F.col("toxic") >= least) & (F.col("clean") + F.col("toxic") < n0 + n1))
-           .withColumn("chi", chi).where("chi > 30").orderBy(F.desc("chi"), "term").limit(vocabulary).collect())
-    return [bytes(r.term) for r in top]
+    rows = (examples.select("toxic", "text").mapInArrow(run, "term binary, clean long, toxic long")
+            .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).orderBy("term").collect())
+    b, a = (np.array([r[c] for r in rows], float) for c in ("clean", "toxic"))
+    n0, n1 = taken[0], taken[1]
+    absent = np.maximum(n0 + n1 - a - b, 0.5)  # a term of every example says nothing
+    return [bytes(r.term) for r in rows], np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt((a + b) * absent * n0 * n1)
 
 
 def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
@@ -118,7 +98,8 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.n
             found[-1] += batch.num_rows
             for text in texts_of(batch):
                 found[list(reader.counts(text))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["i", "n"])
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["i", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)
     rows = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
@@ -127,6 +108,13 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.n
     return int(out[-1]), out[:-1]
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and their lengths."""
+    lengths = end - start
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - lengths), lengths), lengths
+
+
 class BlockMaxIndex:
     """Labelled examples as posting lists with a maximum for every block."""
 
@@ -139,25 +127,41 @@ class BlockMaxIndex:
         self.ids = np.array([v[0] for v in vectors], np.int64)
         self.labels = np.array([v[1] for v in vectors], np.int64)
         self.n_blocks = max(1, -(-len(vectors) // BLOCK))
-        posts: list[tuple[list[int], list[float]]] = [([], []) for _ in terms]
-        for i, (_, _, v) in enumerate(vectors):
-            for t, w in v.items():
-                posts[t][0].append(i)
-                posts[t][1].append(w)
-        self.examples = [np.array(p[0], np.int64) for p in posts]
-        self.weights = [np.array(p[1]) for p in posts]
-        self.blocks = [e // BLOCK for e in self.examples]
-        self.maxima = np.zeros((len(terms), self.n_blocks))
-        for t, e in enumerate(self.examples):
-            np.maximum.at(self.maxima[t], self.blocks[t], self.weights[t])
+        # postings of a term stand together, by example; within them, blocks
+        term = np.fromiter((t for v in vectors for t in v[2]), np.int64)
+        example = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors]).astype(np.int64)
+        weight = np.fromiter((w for v in vectors for w in v[2].values()), np.float64)
+        order = np.lexsort((example, term))
+        self.offsets = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        self.posts, self.values = example[order].astype(np.int32), weight[order]
+        key = term[order] * self.n_blocks + self.posts // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block_offsets = np.searchsorted(key[first] // self.n_blocks, np.arange(len(terms) + 1))
+        self.block = (key[first] % self.n_blocks).astype(np.int32)
+        self.block_start = np.append(first, len(key))
+        self.maxima = np.maximum.reduceat(self.values, first) if len(first) else np.empty(0)
         self.coef = np.zeros(3)
+        self.base = 0.0
+
+    @property
+    def examples(self) -> list[np.ndarray]:
+        """Each term's examples."""
+        return np.split(self.posts, self.offsets[1:-1])
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        """Each term's weight in its examples."""
+        return np.split(self.values, self.offsets[1:-1])
 
     def nearest(self, v: dict[int, float], skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples and their cosines, exactly."""
-        terms, w = list(v), list(v.values())
-        if not terms or not len(self.ids):
+        if not v or not len(self.ids):
             return np.empty(0, np.int64), np.empty(0)
-        bound = np.array(w) @ self.maxima[terms]
+        terms = np.fromiter(v, np.int64, len(v))
+        at, lengths = ranges(self.block_offsets[terms], self.block_offsets[terms + 1])
+        q = np.repeat(np.fromiter(v.values(), np.float64, len(v)), lengths)
+        blocks = self.block[at]
+        bound = np.bincount(blocks, q * self.maxima[at], self.n_blocks)
         total = np.zeros(self.n_blocks * BLOCK)
         done = np.zeros(self.n_blocks, bool)
         # the most promising blocks first; then all whose bound reaches the
@@ -167,9 +171,9 @@ class BlockMaxIndex:
         opened &= bound > 0
         floor = 0.0
         while opened.any():
-            for t, q in zip(terms, w, strict=True):
-                at = opened[self.blocks[t]]
-                total[self.examples[t][at]] += q * self.weights[t][at]
+            use = opened[blocks]
+            places, lengths = ranges(self.block_start[at[use]], self.block_start[at[use] + 1])
+            total += np.bincount(self.posts[places], np.repeat(q[use], lengths) * self.values[places], len(total))
             done |= opened
             if skip is not None:
                 total[np.flatnonzero(self.ids == skip)] = 0
@@ -182,9 +186,7 @@ class BlockMaxIndex:
 
     def features(self, rows: np.ndarray, cos: np.ndarray) -> np.ndarray:
         """Log-odds of the distance-weighted vote, and the closeness it rests on."""
-        if not len(rows):
-            return np.array([1.0, 0.0, 0.0])
-        weight = 1.0 / (1.05 - np.minimum(cos, 1.0))
+        weight = 1.0 / (1.02 - np.minimum(cos, 1.0)) ** 2
         y = self.labels[rows]
         yes = (weight * (y == 1)).sum() * self.priors[1] + 1e-3
         no = (weight * (y == 0)).sum() * self.priors[0] + 1e-3
@@ -205,12 +207,13 @@ class BlockMaxIndex:
 
     def score(self, vector: dict[int, float]) -> tuple[float, list[int], list[float]]:
         rows, cos = self.nearest(vector)
+        if not len(rows):
+            return self.base, [], []
         z = float(self.features(rows, cos) @ self.coef)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.ids[rows].tolist(), cos.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, vocabulary: int = 2048, neighbours: int = 15,
-        least: int = 5) -> BlockMaxIndex | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, neighbours: int = 15) -> BlockMaxIndex | None:
     """Terms, index and calibration; None without labels of both kinds."""
     totals = {r.toxic: r["count"] for r in labels.where(F.col("toxic").isin(0, 1) & ~held_out())
               .groupBy(F.col("toxic").cast("int").alias("toxic")).count().collect()}
@@ -219,9 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, vocabulary: i
     examples = sample_examples(docs, labels, per_class)
     rows = examples.select("doc_id", "toxic", "text")
     taken = {y: min(n, per_class) for y, n in totals.items()}
-    terms = choose_terms(rows, taken, vocabulary, least)
+    terms, phi = example_terms(rows, taken)
     n, df = document_frequencies(docs, terms)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    idf = np.log((2 + n) / (1 + df)) * phi
 
     def run(batches):
         reader = TermReader(terms)
@@ -237,15 +240,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, vocabulary: i
     vectors.sort(key=lambda v: (v[0], v[1]))
     priors = tuple(totals[y] / taken[y] for y in (0, 1))
     index = BlockMaxIndex(terms, idf, vectors, priors, neighbours)
-    x = np.array([index.features(*index.nearest(v[2], skip=v[0])) for v in vectors])
-    y = np.array([v[1] for v in vectors], float)
-    index.calibrate(x, y, np.array([priors[v[1]] for v in vectors]))
+    index.base = totals[1] / (totals[0] + totals[1])
+    seen = [(v[1], index.nearest(v[2], skip=v[0])) for v in vectors]
+    seen = [(y, found) for y, found in seen if len(found[0])]
+    if seen:
+        index.calibrate(np.array([index.features(*found) for _, found in seen]), np.array([y for y, _ in seen], float),
+                        np.array([priors[y] for y, _ in seen]))
     return index
 
 
 def score_documents(docs: DataFrame, index: BlockMaxIndex | None) -> DataFrame:
     """doc_id, score, evidence (neighbours' doc_ids) and cosines of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_class and vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_class
 
     def run(batches):
         model = shared.value
