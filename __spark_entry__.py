@@ -1190,11 +1190,15 @@ SELECT sample_id, query, answer, reference, CAST(len(context) AS INTEGER) AS n_c
 FROM samples_docs"""
 
 
+#: Cells with line breaks keep a CSV file in one task: files of so many records at most.
+CSV_FILE_RECORDS = 10_000
+
+
 def q_csv_context_parse(spark, sf_dir):
     """CSV with JSON-array context (even ids) and pipe context
     (odd ids), metadata as JSON text, and records that break off behind the
     context (ids ending in 3), read back: samples and rejects."""
-    from ragscope.sources.samples import read_csv
+    from ragscope.sources.samples import positions, read_csv
     path = _scratch(spark, "csv")
     sd = samples_docs(spark, sf_dir)
     ctx = F.when(F.col("sample_id") % 2 == 0, F.to_json("context")).otherwise(F.array_join("context", " | "))
@@ -1202,10 +1206,12 @@ def q_csv_context_parse(spark, sf_dir):
     some = [F.col("sample_id").cast("string"), cell(F.col("query")), cell(ctx)]
     whole = [*some, cell(F.col("answer")), cell(F.col("reference")), cell(F.to_json("metadata"))]
     line = F.when(F.col("sample_id") % 10 == 3, F.concat_ws(",", *some)).otherwise(F.concat_ws(",", *whole))
-    # one header a file: one file
-    head = spark.createDataFrame([("sample_id,query,context,answer,reference,metadata", 0)], "value string, n int")
-    head.unionByName(sd.select(line.alias("value"), F.lit(1).alias("n"))).coalesce(1).sortWithinPartitions("n") \
-        .select("value").write.mode("overwrite").text(path)
+    # one header a file: the first record of each brings it; where there are no records, a file has it alone
+    head = "sample_id,query,context,answer,reference,metadata"
+    first = positions()[1] % CSV_FILE_RECORDS == 0
+    spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    sd.select(F.when(first, F.concat(F.lit(f"{head}\n"), line)).otherwise(line).alias("value")) \
+        .write.option("maxRecordsPerFile", CSV_FILE_RECORDS).mode("append").text(path)
     good, rejects = read_csv(spark, path, strict=False)
     samples = good.select("sample_id", F.size("context").alias("n_context"),
                           F.sum(F.lit(1)).over(Window.partitionBy("sample_id")).alias("n_records"),
