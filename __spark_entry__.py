@@ -8,6 +8,7 @@ oracle SQL for each query.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ from ragscope.operators.judge import (TEMPLATES, ExpressionResponder, Judge, bui
 from ragscope.operators.metrics import ALL_JUDGE, METRIC_REQUIREMENTS
 from ragscope.operators.score import score, score_runs
 from ragscope.session import spread
-from ragscope.storage import scratch_path
+from ragscope.storage import scratch_path, touch
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -1280,6 +1281,22 @@ SELECT count(*) AS rows, count(*) FILTER (WHERE doc_id % 3 <> 0) AS given,
        -count(*) FILTER (WHERE doc_id % 3 = 0) AS least FROM documents"""
 
 
+def _files_for(spark, sf_dir, share: float = 1.0) -> int:
+    """How many files hold ``share`` times the samples: as many as the scan of
+    the documents has splits, so a file grows no more than a split."""
+    return max(1, math.ceil(share * table(spark, sf_dir, "documents").rdd.getNumPartitions()))
+
+
+def _write_lines(samples: DataFrame, path: str, files: int) -> None:
+    """Samples as JSON Lines in exactly ``files`` files, of which the last are
+    empty where rows are few: a micro-batch is a number of files."""
+    from ragscope.sources.reports import write_samples
+    spark = samples.sparkSession
+    write_samples(samples.repartition(files), path, "jsonl")
+    for k in range(len(spark.read.text(path).inputFiles()), files):
+        touch(spark, f"{path}/none-{k}.txt")
+
+
 def q_stream_line_ids(spark, sf_dir):
     """A stream of lines without ids, each of them three times in a file;
     how many samples and how many ids come out, by language."""
@@ -1328,8 +1345,8 @@ STREAM_DELAY = 30  # minutes
 
 def q_stream_windows(spark, sf_dir):
     """Scores per ten minutes of event time behind a watermark. Three
-    files come one after the other; the third one's rows are partly late."""
-    from ragscope.sources.reports import write_samples
+    lots of files come one after the other, each a micro-batch; the third
+    one's rows are partly late."""
     from ragscope.streaming.stream import run_to_path, stream_samples, stream_scores, windowed_summary
     path = _scratch(spark, "stream-windows")
     sd = samples_docs(spark, sf_dir)
@@ -1338,9 +1355,10 @@ def q_stream_windows(spark, sf_dir):
         .otherwise(F.col("sample_id") % 1200)
     ts = F.date_format(F.timestamp_add("MINUTE", minute.cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
     timed = sd.withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("at"), ts)))
+    files = _files_for(spark, sf_dir)
     for k in (1, 2, 3):  # files are read in the order of their times
-        write_samples(timed.where(file == k).coalesce(1), f"{path}/{k}", "jsonl")
-    good, _ = stream_samples(spark, f"{path}/*", max_files_per_trigger=1, ids="given", event_time="at")
+        _write_lines(timed.where(file == k), f"{path}/{k}", files)
+    good, _ = stream_samples(spark, f"{path}/*", max_files_per_trigger=files, ids="given", event_time="at")
     windows = windowed_summary(stream_scores(good, ["format_compliance"], "S", carry=("at",)), "at",
                                "10 minutes", f"{STREAM_DELAY} minutes", THRESHOLD)
     out = run_to_path(windows, _scratch(spark, "windows"), _scratch(spark, "windows-ck"))

@@ -50,3 +50,23 @@ def test_csv_without_records_has_its_header(spark, tables, written):
     spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 0").write.parquet(f"{tables}/none/documents.parquet")
     spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tables}/none/benchmark.parquet")
     assert E.q_csv_context_parse(spark, f"{tables}/none").count() == 0
+
+
+def test_windows_are_fed_by_as_many_files_as_the_scan_has_splits(spark, tables, written):
+    splits = spark.read.parquet(f"{tables}/documents.parquet").rdd.getNumPartitions()
+    rows = E.q_stream_windows(spark, tables).collect()
+    for k in (1, 2, 3):
+        sizes = files(os.path.join(written["stream-windows"], str(k)))
+        assert len(sizes) == splits > 1 and max(sizes) < sum(sizes) * 0.8
+    # three micro-batches: the third is held against the first one's watermark, and
+    # windows are out up to the last one (898 - 30 minutes)
+    late = [i for i in range(300) if i % 10 == 9 and i // 10 * 10 + 10 <= 295 - 30]
+    out = [i for i in range(300) if 6 <= i % 10 < 9 and (600 + i) // 10 * 10 + 10 > 898 - 30]
+    assert sum(r.n for r in rows) == 300 - len(late) - len(out)
+
+
+def test_a_batch_of_few_rows_has_its_number_of_files(spark, tables, scratch):
+    few = E.samples_docs(spark, tables).where("sample_id < 2")
+    E._write_lines(few, f"{scratch}/few", 6)
+    assert len(files(f"{scratch}/few")) == 6
+    assert spark.read.text(f"{scratch}/few").count() == 2
