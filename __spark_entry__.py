@@ -1304,8 +1304,9 @@ def q_stream_line_ids(spark, sf_dir):
     path = _scratch(spark, "stream-lines")
     sd = samples_docs(spark, sf_dir)
     line = F.to_json(F.struct("query", "context", "answer", F.struct(F.try_element_at("metadata", F.lit("lang")).alias("lang")).alias("metadata")))
-    sd.select(F.explode(F.array_repeat(line, 3)).alias("value")).repartition(4, "value").write.mode("overwrite").text(path)
-    good, _ = stream_samples(spark, path, max_files_per_trigger=2)
+    files = _files_for(spark, sf_dir, 3 / 4)  # in a fourth of the lines
+    sd.select(F.explode(F.array_repeat(line, 3)).alias("value")).repartition(4 * files, "value").write.mode("overwrite").text(path)
+    good, _ = stream_samples(spark, path, max_files_per_trigger=2 * files)
     out = run_to_path(good, _scratch(spark, "stream-samples"), _scratch(spark, "stream-lines-ck"))
     return out.groupBy(F.try_element_at("metadata", F.lit("lang")).alias("lang")).agg(
         F.count(F.lit(1)).alias("samples"), F.count_distinct("sample_id").alias("ids"))

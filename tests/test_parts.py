@@ -70,3 +70,11 @@ def test_a_batch_of_few_rows_has_its_number_of_files(spark, tables, scratch):
     E._write_lines(few, f"{scratch}/few", 6)
     assert len(files(f"{scratch}/few")) == 6
     assert spark.read.text(f"{scratch}/few").count() == 2
+
+
+@pytest.mark.parametrize("query, folder, few", [
+    ("stream_line_ids", "stream-lines", 4),
+])
+def test_streams_are_fed_by_files_that_grow_in_number(spark, tables, written, query, folder, few):
+    assert E.queries()[query](spark, tables).count() > 0
+    assert len(files(written[folder])) > few
