@@ -1319,11 +1319,11 @@ SELECT lang, 3 * count(*) AS samples, 3 * count(*) AS ids FROM documents GROUP B
 def q_stream_judge(spark, sf_dir):
     """Judge metrics in micro-batches, one folder each, with a cache that
     they share; the last batch is written twice, as a replay would."""
-    from ragscope.sources.reports import write_samples
     from ragscope.streaming.stream import judge_in_batches, stream_samples, write_epoch
     path, out = _scratch(spark, "stream-judge"), _scratch(spark, "stream-judge-out")
-    write_samples(samples_docs(spark, sf_dir).repartition(3), path, "jsonl")
-    good, _ = stream_samples(spark, path, max_files_per_trigger=1, ids="given")
+    files = _files_for(spark, sf_dir, 1 / 3)  # of one batch
+    _write_lines(samples_docs(spark, sf_dir), path, 3 * files)
+    good, _ = stream_samples(spark, path, max_files_per_trigger=files, ids="given")
     judge = standin_judge(MODEL_A, C.JudgeCache(spark, _scratch(spark, "stream-cache")))
     judge_in_batches(good, ["coherence", "answer_similarity"], judge, out, "A",
                      _scratch(spark, "stream-judge-ck")).awaitTermination()
