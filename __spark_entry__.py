@@ -1399,13 +1399,13 @@ SELECT count(*) AS rows, count(*) FILTER (WHERE status = 'guarded') AS guarded,
 def q_stream_scores(spark, sf_dir):
     """JSON Lines files as a stream, format compliance per row,
     running per-metric summary (availableNow trigger)."""
-    from ragscope.sources.reports import write_samples
     from ragscope.streaming.stream import (running_summary, run_to_table, stream_samples,
                                            stream_scores)
     import uuid
     path = _scratch(spark, "stream-in")
-    write_samples(samples_docs(spark, sf_dir).repartition(4), path, "jsonl")
-    good, _ = stream_samples(spark, path, max_files_per_trigger=1, ids="given")
+    files = _files_for(spark, sf_dir, 1 / 4)  # of one batch
+    _write_lines(samples_docs(spark, sf_dir), path, 4 * files)
+    good, _ = stream_samples(spark, path, max_files_per_trigger=files, ids="given")
     summ = running_summary(stream_scores(good, ["format_compliance"], run_id="S"), THRESHOLD)
     out = run_to_table(summ, f"stream_scores_{uuid.uuid4().hex[:8]}")
     return out.select("metric", "n", _r6(F.col("mean")).alias("mean"), "min", "max", "pass_count")

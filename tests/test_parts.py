@@ -75,6 +75,7 @@ def test_a_batch_of_few_rows_has_its_number_of_files(spark, tables, scratch):
 @pytest.mark.parametrize("query, folder, few", [
     ("stream_line_ids", "stream-lines", 4),
     ("stream_judge", "stream-judge", 3),
+    ("stream_scores", "stream-in", 4),
 ])
 def test_streams_are_fed_by_files_that_grow_in_number(spark, tables, written, query, folder, few):
     assert E.queries()[query](spark, tables).count() > 0
