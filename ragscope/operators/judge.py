@@ -192,6 +192,7 @@ class Responder:
     """Answers a table ``(cache_key, prompt)`` with ``(cache_key, response, error)``."""
 
     deterministic = False
+    reads_prompts = True  # False: the key is enough
 
     def respond(self, prompts: DataFrame) -> DataFrame:  # pragma: no cover - interface
         raise NotImplementedError
@@ -214,6 +215,7 @@ class RecordedResponder(Responder):
     """Replies looked up in a recorded table ``(cache_key, response)``."""
 
     deterministic = True
+    reads_prompts = False
 
     def __init__(self, replies: DataFrame):
         self.replies = replies.select("cache_key", "response")
@@ -313,7 +315,8 @@ class BatchResponder(Responder):
                 errors.append(f"{type(exc).__name__}: {exc}")
         return replies, errors
 
-    def respond(self, prompts: DataFrame, journal: Journal | None = None) -> DataFrame:
+    def respond(self, prompts: DataFrame, journal: Journal | None = None, dealt: bool = False) -> DataFrame:
+        """``dealt``: the prompts lie in a fixed number of tasks already."""
         ask, rows = self._ask, self.batch_rows
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,7 +337,7 @@ class BatchResponder(Responder):
                     yield pd.DataFrame({"cache_key": pdf["cache_key"], "response": replies, "error": errors}, dtype=object)
 
         src = prompts.select("cache_key", "prompt")
-        if journal or self.parallelism:
+        if (journal or self.parallelism) and not dealt:
             # by key, into a fixed number of tasks: a retried task has the same keys
             n = self.parallelism or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             src = src.repartition(n, "cache_key")
@@ -356,9 +359,16 @@ class Judge:
     extra: dict = field(default_factory=dict)
 
 
-def ask(judge: Judge, prompts: DataFrame) -> DataFrame:
+def ask(judge: Judge, prompts: DataFrame,
+        texts: Callable[[DataFrame, int | None], DataFrame] | None = None) -> DataFrame:
     """Replies for the distinct keys of ``prompts(cache_key, prompt)``.
 
+    With ``texts``, ``prompts`` is ``(cache_key, place)``: a number that says
+    where a prompt comes from. Only keys and places are grouped and held
+    against the cache then, and ``texts(places, tasks)`` makes ``(cache_key,
+    prompt)`` of those left, dealt into a fixed number of tasks (``tasks``, if
+    given). The prompts, several times the samples, are never moved.
+
     Returns ``(cache_key, response, error)`` with one row per distinct key.
     With a cache, keys already cached are not asked again (J3), new replies
     are appended to the cache table before anything reads them (U5), and a
@@ -372,11 +382,16 @@ def ask(judge: Judge, prompts: DataFrame) -> DataFrame:
         cache.recover()
     # One row per key; partial aggregation collapses duplicate prompts
     # map-side, so a prompt repeated in a third of the rows costs one row.
-    distinct = prompts.groupBy("cache_key").agg(F.any_value("prompt").alias("prompt"))
+    # Of equal places the least is taken, so a retried task asks the same keys.
+    one = F.any_value("prompt").alias("prompt") if texts is None else F.min("place").alias("place")
+    distinct = prompts.groupBy("cache_key").agg(one)
     if cache is not None:
         distinct = distinct.join(cache.latest().select("cache_key"), "cache_key", "left_anti")
-    if cache is not None and isinstance(judge.responder, BatchResponder) and Journal.usable(cache.journal):
-        fresh = judge.responder.respond(distinct, Journal(cache.journal))
+    if texts is not None:
+        distinct = texts(distinct, getattr(judge.responder, "parallelism", None))
+    if isinstance(judge.responder, BatchResponder):
+        journal = Journal(cache.journal) if cache is not None and Journal.usable(cache.journal) else None
+        fresh = judge.responder.respond(distinct, journal, dealt=texts is not None)
     else:
         fresh = judge.responder.respond(distinct)
     if cache is not None or not judge.responder.deterministic:

@@ -17,6 +17,7 @@ from ragscope.operators.judge import (ExpressionResponder, Judge, ask, build_pro
 from ragscope.operators.metrics import RESULT, MetricRegistry, MetricSpec, default_registry, result
 from ragscope.schemas import SCORES
 from ragscope.session import spread
+from ragscope.storage import store
 
 SAMPLE_COLUMNS = ["sample_id", "query", "context", "answer", "reference", "metadata"]
 
@@ -126,6 +127,27 @@ def _finish(judged: list[MetricSpec], df: DataFrame, carry: tuple[str, ...] = ()
         .select("run_id", "sample_id", "metric", "_res.*", *carry)
 
 
+def _stored_form(rows: DataFrame) -> DataFrame:
+    """Columns that are null throughout have no type that can be stored."""
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("query", "answer", "reference")})
+
+
+def _prompts_at(specs: list[MetricSpec], rows: DataFrame, places: DataFrame, tasks: int | None) -> DataFrame:
+    """``(cache_key, prompt)`` of ``places(cache_key, place)``, a place being
+    ``_row * len(specs) + metric_pos`` of the stored samples ``rows``. Each
+    sample goes once to one of a fixed number of tasks, by its row."""
+    judged = [sp for sp in specs if sp.uses_judge]
+    n = tasks or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    name = F.element_at(F.array(*[F.lit(sp.name) for sp in specs]), (F.col("place") % len(specs) + 1).cast("int"))
+    wanted = (places.select(F.expr(f"place div {len(specs)}").alias("_row"), F.struct(name, "cache_key").alias("k"))
+              .repartition(n, "_row").groupBy("_row").agg(F.map_from_entries(F.collect_list("k")).alias("_keys")))
+    base = _features(judged, rows.repartition(n, "_row").join(wanted, "_row"))
+    s = {c: F.col(c) for c in base.columns}
+    return (base.select("_keys", F.explode(_requests(judged, s)).alias("r"))
+            .select(F.try_element_at("_keys", F.col("r.metric")).alias("cache_key"), "r.prompt")
+            .where("cache_key IS NOT NULL"))
+
+
 def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str = "run",
           registry: MetricRegistry | None = None, options: dict | None = None,
           carry: tuple[str, ...] = ()) -> DataFrame:
@@ -137,7 +159,9 @@ def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str =
     hits) keep their result. Judge requests: with a pure-expression judge and
     no cache the reply is computed in the same projection (nothing to
     deduplicate); otherwise the distinct prompts are answered once (see
-    ``judge.ask``) and joined back on the cache key.
+    ``judge.ask``) and joined back on the cache key. The samples are stored
+    for that under row numbers: keys are made and grouped without the prompts,
+    which are built anew beside the samples for the keys that are asked.
     """
     specs = resolve_metrics(metrics, registry, options)
     spark = samples.sparkSession
@@ -147,11 +171,15 @@ def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str =
     if judged and judge is None:
         raise ValueError(f"metrics {[sp.name for sp in judged]} need a judge")
 
-    base = _features(specs, spread(normalize_samples(samples, carry)))
+    rows, numbered = spread(normalize_samples(samples, carry)), []
+    if judged and judge.responder.reads_prompts and not (
+            isinstance(judge.responder, ExpressionResponder) and judge.cache is None):
+        rows, numbered = store(_stored_form(rows).withColumn("_row", F.monotonically_increasing_id()), "samples"), ["_row"]
+    base = _features(specs, spread(rows))
     s = {c: F.col(c) for c in base.columns}
     exploded = (base.select(F.lit(run_id).alias("run_id"), "sample_id",
-                            F.explode(_requests(specs, s)).alias("r"), *carry)
-                .select("run_id", "sample_id", "r.*", *carry))
+                            F.explode(_requests(specs, s)).alias("r"), *carry, *numbered)
+                .select("run_id", "sample_id", "r.*", *carry, *numbered))
 
     def out(df: DataFrame, res: Column) -> DataFrame:
         return df.select("run_id", "sample_id", "metric", res.alias("_res"), *carry) \
@@ -168,14 +196,21 @@ def score(samples: DataFrame, metrics, judge: Judge | None = None, run_id: str =
         return _finish(judged, replied, carry)
 
     key = cache_key(judge.model, judge.temperature, prompt)
-    replies = ask(judge, exploded.where(prompt.isNotNull())
-                  .select(key.alias("cache_key"), "prompt"))
     # Rows that need no reply get a key that can never match a SHA-256 hex
     # (and spreads evenly), so one left join serves every row; the prompt
     # text is dropped before the shuffle.
     own_key = F.concat(F.lit("-"), F.col("sample_id").cast("string"), F.lit("-"), F.col("metric"))
-    keyed = exploded.select("run_id", "sample_id", "metric", "aux", "pre",
-                            F.when(prompt.isNull(), own_key).otherwise(key).alias("cache_key"), *carry)
+    columns = ["run_id", "sample_id", "metric", "aux", "pre",
+               F.when(prompt.isNull(), own_key).otherwise(key).alias("cache_key"), *carry]
+    if not numbered:
+        keyed = exploded.select(*columns)
+        replies = ask(judge, exploded.where(prompt.isNotNull()).select(key.alias("cache_key"), "prompt"))
+    else:
+        place = F.when(prompt.isNotNull(), F.col("_row") * len(specs) + F.col("metric_pos"))
+        stored = store(exploded.select(*columns, place.alias("_place")), "requests")
+        keyed = stored.drop("_place")
+        replies = ask(judge, stored.where("_place IS NOT NULL").select("cache_key", F.col("_place").alias("place")),
+                      lambda places, tasks: _prompts_at(specs, rows, places, tasks))
     return _finish(judged, keyed.join(replies, "cache_key", "left"), carry)
 
 

@@ -80,3 +80,26 @@ def test_a_batch_of_few_rows_has_its_number_of_files(spark, tables, scratch):
 def test_streams_are_fed_by_files_that_grow_in_number(spark, tables, written, query, folder, few):
     assert E.queries()[query](spark, tables).count() > 0
     assert len(files(written[folder])) > few
+
+
+def test_the_judge_stage_moves_samples_not_prompts(spark, tables, scratch, monkeypatch):
+    from ragscope.operators import cache as C
+    from ragscope.operators import score as SC
+    from ragscope.operators.judge import BatchResponder, Judge
+    grouped, real = [], SC.ask
+    monkeypatch.setattr(SC, "ask", lambda judge, prompts, *texts: grouped.append(prompts.columns) or real(judge, prompts, *texts))
+    twice = E.samples_docs(spark, tables).where("sample_id < 40")
+    # rows and ids that come twice, one row without any text
+    twice = twice.unionByName(twice.where("sample_id < 20")).unionByName(
+        twice.where("sample_id = 1").withColumns({c: F.lit(None).cast("string") for c in ("query", "answer", "reference")}))
+    cache = C.JudgeCache(spark, f"{scratch}/cache")
+    judge = Judge(BatchResponder(E._python_reply("m"), max_retries=1, backoff=0.0), model="m", cache=cache)
+    got = SC.score(twice, E.ALL_METRICS, judge=judge, run_id="A")
+    assert grouped == [["cache_key", "place"]]
+    asked = SC.prompt_table(twice, E.JUDGE_METRICS, judge)
+    kept = asked.where(E.standin_score("m", F.col("prompt")) * 65535 >= E.BAD_BELOW).select("cache_key").distinct()
+    assert sorted(r[0] for r in cache.table().select("cache_key").collect()) == sorted(r[0] for r in kept.collect())
+    plain = SC.score(twice, E.ALL_METRICS, run_id="A", judge=Judge(SC.ExpressionResponder(lambda p: F.when(
+        E.standin_score("m", p) * 65535 >= E.BAD_BELOW, E._reply_4("m", p))), model="m"))
+    rows = lambda df: sorted(map(str, df.select("sample_id", "metric", "score", "status").collect()))
+    assert rows(got) == rows(plain)
