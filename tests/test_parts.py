@@ -10,14 +10,20 @@ import __spark_entry__ as E
 
 @pytest.fixture()
 def tables(spark, scratch):
-    """Documents in five files, and three benchmark items."""
+    """Documents in five files, each a split of its own, and three benchmark items."""
     text = F.concat(F.lit('# a "title", '), F.col("id").cast("string"), F.lit("\n- one | two\n\nthree "), F.col("id").cast("string"))
     docs = spark.range(0, 300, 1, 5).select(
         F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"),
         F.lit("web").alias("source"), F.length(text).alias("n_chars"))
     docs.write.parquet(f"{scratch}/documents.parquet")
     spark.range(3).select(F.col("id").alias("item_id"), F.lit("an item").alias("text")).write.parquet(f"{scratch}/benchmark.parquet")
-    return scratch
+    sizes = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "8k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    yield scratch
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 @pytest.fixture()
