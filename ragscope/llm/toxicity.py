@@ -24,6 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +83,11 @@ def example_terms(examples: DataFrame, taken: dict[int, int]) -> tuple[list[byte
              pa.array([seen[1].get(t, 0) for t in both], pa.int64())], names=["term", "clean", "toxic"])
 
     rows = (examples.select("toxic", "text").mapInArrow(run, "term binary, clean long, toxic long")
-            .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).orderBy("term").collect())
-    b, a = (np.array([r[c] for r in rows], float) for c in ("clean", "toxic"))
+            .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).orderBy("term").toArrow())
+    b, a = (rows[c].to_numpy().astype(float) for c in ("clean", "toxic"))
     n0, n1 = taken[0], taken[1]
     absent = np.maximum(n0 + n1 - a - b, 0.5)  # a term of every example says nothing
-    return [bytes(r.term) for r in rows], np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt((a + b) * absent * n0 * n1)
+    return rows["term"].to_pylist(), np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt((a + b) * absent * n0 * n1)
 
 
 def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
@@ -102,9 +103,8 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.n
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["i", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)
-    rows = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    for r in rows:
-        out[r.i] = r.n
+    rows = docs.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out[rows["i"].to_numpy()] = rows["n"].to_numpy()
     return int(out[-1]), out[:-1]
 
 
@@ -115,22 +115,34 @@ def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - lengths), lengths), lengths
 
 
+def vector_arrays(vectors: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, labels and sizes of the vectors that have terms; their terms and
+    weights, one vector after the other."""
+    sizes = pc.list_value_length(vectors["t"]).to_numpy().astype(np.int64)
+    some = sizes > 0
+    return (vectors["doc_id"].to_numpy()[some], vectors["toxic"].to_numpy().astype(np.int64)[some], sizes[some],
+            pc.list_flatten(vectors["t"]).to_numpy().astype(np.int64), pc.list_flatten(vectors["w"]).to_numpy())
+
+
 class BlockMaxIndex:
     """Labelled examples as posting lists with a maximum for every block."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, vectors: list[tuple[int, int, dict[int, float]]],
-                 priors: tuple[float, float], neighbours: int):
+    def __init__(self, terms: list[bytes], idf: np.ndarray, vectors: pa.Table, priors: tuple[float, float],
+                 neighbours: int):
+        """``vectors``: doc_id, toxic, t and w, an example's terms and their weights."""
         self.terms, self.idf, self.k, self.priors = terms, idf, neighbours, priors
-        vectors = [v for v in vectors if v[2]]
+        ids, labels, sizes, term, weight = vector_arrays(vectors)
+        owner = np.repeat(np.arange(len(ids)), sizes)
         # examples with the same heaviest term stand together, so bounds are tight
-        vectors.sort(key=lambda v: (max(v[2], key=lambda t: (v[2][t], t)), v[0]))
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.labels = np.array([v[1] for v in vectors], np.int64)
-        self.n_blocks = max(1, -(-len(vectors) // BLOCK))
+        order = np.lexsort((term, weight, owner))
+        heaviest = term[order[np.cumsum(sizes) - 1]]
+        places = np.lexsort((labels, ids, heaviest))
+        self.ids, self.labels = ids[places], labels[places]
+        self.n_blocks = max(1, -(-len(ids) // BLOCK))
         # postings of a term stand together, by example; within them, blocks
-        term = np.fromiter((t for v in vectors for t in v[2]), np.int64)
-        example = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors]).astype(np.int64)
-        weight = np.fromiter((w for v in vectors for w in v[2].values()), np.float64)
+        rank = np.empty(len(ids), np.int64)
+        rank[places] = np.arange(len(ids))
+        example = rank[owner]
         order = np.lexsort((example, term))
         self.offsets = np.searchsorted(term[order], np.arange(len(terms) + 1))
         self.posts, self.values = example[order].astype(np.int32), weight[order]
@@ -231,24 +243,48 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, neighbours: i
         for batch in slices(batches):
             vectors = [reader.vector(t, idf) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([list(v) for v in vectors], pa.list_(pa.int64())),
+                [batch.column("doc_id"), batch.column("toxic"), pa.array([list(v) for v in vectors], pa.list_(pa.int32())),
                  pa.array([list(v.values()) for v in vectors], pa.list_(pa.float64()))],
                 names=["doc_id", "toxic", "t", "w"])
 
-    found = rows.mapInArrow(run, "doc_id long, toxic int, t array<long>, w array<double>").collect()
-    vectors = [(r.doc_id, r.toxic, dict(zip(r.t, r.w, strict=True))) for r in found]
-    vectors.sort(key=lambda v: (v[0], v[1]))
+    vectors = rows.mapInArrow(run, "doc_id long, toxic int, t array<int>, w array<double>").toArrow()
     priors = tuple(totals[y] / taken[y] for y in (0, 1))
     index = BlockMaxIndex(terms, idf, vectors, priors, neighbours)
+    del vectors
     index.base = totals[1] / (totals[0] + totals[1])
-    seen = [(v[1], index.nearest(v[2], skip=v[0])) for v in vectors]
-    seen = [(y, found) for y, found in seen if len(found[0])]
-    if seen:
-        index.calibrate(np.array([index.features(*found) for _, found in seen]), np.array([y for y, _ in seen], float),
-                        np.array([priors[y] for y, _ in seen]))
+    seen = own_votes(rows, index)
+    if len(seen):
+        y = seen["toxic"].to_numpy()
+        index.calibrate(np.stack([seen[f"x{i}"].to_numpy() for i in range(3)], axis=1), y.astype(float),
+                        np.array(priors)[y])
     return index
 
 
+def own_votes(examples: DataFrame, index: BlockMaxIndex) -> pa.Table:
+    """toxic, x0 to x2: the features of each example among all others."""
+    shared = examples.sparkSession.sparkContext.broadcast(index)  # bounded by per_class
+
+    def run(batches):
+        model = shared.value
+        reader = TermReader(model.terms)
+        for batch in slices(batches):
+            kept, x = [], []
+            for k, (i, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True)):
+                found = model.nearest(reader.vector(text, model.idf), skip=i)
+                if len(found[0]):
+                    kept.append(k)
+                    x.append(model.features(*found))
+            x = np.array(x).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(pa.array(kept, pa.int64())) for c in ("doc_id", "toxic")] + [pa.array(x[:, j]) for j in range(3)],
+                names=["doc_id", "toxic", "x0", "x1", "x2"])
+
+    seen = examples.select("doc_id", "toxic", "text").mapInArrow(
+        run, "doc_id long, toxic int, x0 double, x1 double, x2 double").toArrow()
+    shared.destroy()
+    return seen.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+
+
 def score_documents(docs: DataFrame, index: BlockMaxIndex | None) -> DataFrame:
     """doc_id, score, evidence (neighbours' doc_ids) and cosines of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_class

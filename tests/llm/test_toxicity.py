@@ -66,3 +66,15 @@ def test_cosines_equal_a_plain_computation(spark):
         best = sorted((c for c in cos.values() if c > 1e-12), reverse=True)[:index.k]
         assert np.allclose(got[i].cosines, best)
         assert all(abs(cos[j] - c) < 1e-9 for j, c in zip(got[i].evidence, got[i].cosines))
+
+
+def test_the_driver_sees_no_vector_as_python_objects(spark, monkeypatch):
+    ids = learnt(spark, 20)
+    docs, labels = table(spark, [(i, f"{'awful nasty' if k % 2 else 'kind gentle'} common", k % 2) for k, i in enumerate(ids)])
+    asked, frames = [], []
+    real = type(docs).collect
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "nearest", lambda *a, **k: asked.append(a))
+    monkeypatch.setattr(type(docs), "collect", lambda df: frames.append(df.columns) or real(df))
+    index = toxicity.fit(docs, labels)
+    assert asked == [] and frames == [["toxic", "count"]]
+    assert index.coef.any() and sorted(index.ids.tolist()) == ids
