@@ -10,6 +10,14 @@ the other group's whole union is large enough are compared, as one product of
 small 0/1 matrices. A block returns a spanning forest of its links, never all
 pairs.
 
+Near copies of one text differ in their smallest hashes, and all hold its
+tokens. Units with a token of more than ``HOT`` units are therefore first held
+against one other each, the hub: of the units that have such a token, the one
+that has most of them. Those that link with a hub are a family, one component,
+whose groups need no comparison with each other; the matrix has one row per
+(token, family). Those at least half like it are grouped by it. Which hub a
+unit meets changes the work and never the result.
+
 Only a prefix of each unit enters the matrix: under one order of all tokens,
 two linked units share a token among their first |x| - ceil(t|x|) + 1. The
 order is by hash, but tokens that are frequent in the corpus come last, so
@@ -217,8 +225,59 @@ def _compare(left: list[dict], right: list[dict], percent: int) -> list[tuple[in
     return _forest(ids_a, ids_b, link) if link.any() else []
 
 
+def near_hubs(rows: DataFrame, live: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """unit, hub, linked: the units of frequent tokens that are at least half
+    like their hub, and whether they link with it."""
+    hot = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("t")
+    busy = materialize(rows.join(hot, "t").select("t", "unit"), "busy")
+    weight = busy.groupBy("unit").agg(F.count(F.lit(1)).alias("w"))
+    hub = (busy.join(weight, "unit").groupBy("t").agg(F.min(F.struct((-F.col("w")).alias("w"), "unit")).alias("m"))
+           .select("t", F.col("m.unit").alias("hub")))
+    met = busy.join(hub, "t").where("unit <> hub").groupBy("unit", "hub").agg(F.count(F.lit(1)).alias("c"))
+    met = met.groupBy("unit").agg(F.min(F.struct((-F.col("c")).alias("c"), "hub")).alias("m")).select("unit", F.col("m.hub").alias("hub"))
+    met = materialize(met.join(live.select("unit", "n").dropDuplicates(["unit"]), "unit"), "met")
+    parts = met.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_UNITS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
+    met = materialize(met.join(parts, "hub").select("unit", "hub", F.pmod(F.xxhash64("unit"), "parts").alias("part")), "met-parts")
+    ids = materialize(met.select("unit").union(met.select("hub")).distinct().sortWithinPartitions("unit"), "met-ids")
+    tokens = materialize(token_rows(ids, docs, size).dropDuplicates(["unit"]), "met-tokens")
+    members = met.join(tokens, "unit").groupBy("hub", "part").agg(F.collect_list(F.struct("unit", "tokens")).alias("members"))
+    heads = met.select("hub", "part").distinct().join(tokens.select(F.col("unit").alias("hub"), F.col("tokens").alias("head")), "hub")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hub, head = batch.column("hub")[i].as_py(), np.frombuffer(batch.column("head")[i].as_py(), "<i8")
+                units, linked = [], []
+                for x in batch.column("members")[i].as_py():
+                    mine = np.frombuffer(x["tokens"], "<i8")
+                    inter = len(np.intersect1d(mine, head, assume_unique=True))
+                    union = len(mine) + len(head) - inter
+                    if 2 * inter >= union or 100 * inter >= percent * union:
+                        units.append(x["unit"])
+                        linked.append(100 * inter >= percent * union)
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array([hub] * len(units), pa.int64()),
+                                                  pa.array(linked, pa.bool_())], names=["unit", "hub", "linked"])
+
+    found = members.join(heads, ["hub", "part"]).select("hub", "head", "members").mapInArrow(run, "unit long, hub long, linked boolean")
+    found = materialize(found, "near-hubs")
+    discard(busy, met, ids, tokens)
+    return found
+
+
+def with_families(live: DataFrame, near: DataFrame) -> DataFrame:
+    """``live`` with the family ``f`` of each unit (null without one), and the
+    key of its hub in place of its own where it has one."""
+    heads = near.where("linked").select(F.col("hub").alias("unit")).distinct()
+    placed = near.join(heads, "unit", "left_anti").select("unit", "hub", F.when(F.col("linked"), F.col("hub")).alias("f"))
+    placed = placed.unionByName(heads.select("unit", F.col("unit").alias("hub"), F.col("unit").alias("f")))
+    level = F.when(F.col("f").isNull(), F.floor(F.log("n") / F.log(F.lit(1.25))))
+    return live.join(placed, "unit", "left").select(
+        "unit", F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.xxhash64("hub", level)).alias("key"), "n", "k", "f")
+
+
 def open_groups(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links found within the pairs (g1, g2) of groups."""
+    """(a, b): links found within the pairs (g1, g2) of groups, and within each
+    group that is not of a family."""
     def run(batches):
         for batch in batches:
             a, b = [], []
@@ -230,7 +289,7 @@ def open_groups(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
                     b.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    own = groups.where(F.size("members") > 1).select(F.col("members").alias("x"), F.lit(None).cast(
+    own = groups.where("NOT family").where(F.size("members") > 1).select(F.col("members").alias("x"), F.lit(None).cast(
         groups.schema["members"].dataType).alias("y"))
     cross = (pairs.join(groups.select(F.col("g").alias("g1"), F.col("members").alias("x")), "g1")
              .join(groups.select(F.col("g").alias("g2"), F.col("members").alias("y")), "g2").select("x", "y"))
@@ -257,34 +316,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # groups: units with the same key, split where they are many
     live = rows.select("unit").distinct().join(units.select("unit", "key", "n", "k"), "unit")
     live = materialize(live, "live")
+    near = near_hubs(rows, live, docs.where("doc_id IS NOT NULL"), size, percent)
+    live = materialize(with_families(live, near), "live-families")
     hot = (live.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
            .withColumn("parts", F.greatest(F.ceil(F.col("c") / GROUP_UNITS), F.ceil(F.col("s") / GROUP_TOKENS)))
            .where("c > 1").select("key", "parts"))
     grouped = live.join(hot, "key", "left").withColumn(
         "g", F.when(F.col("parts").isNull(), F.col("unit")).otherwise(
             F.xxhash64("key", F.pmod(F.xxhash64("unit"), F.col("parts")))))
-    grouped = materialize(grouped.select("unit", "g", "n", "k"), "groups")
+    grouped = grouped.select("unit", "g", "n", "k", F.coalesce("f", "g").alias("f"), F.col("f").isNotNull().alias("family"))
+    grouped = materialize(grouped, "groups")
     stats = grouped.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("k")).alias("rest"))
-    matrix = materialize(rows.join(grouped.select("unit", "g"), "unit").select("t", "g").distinct().join(stats, "g"),
-                         "token-group")
+    held = rows.join(grouped.select("unit", "g", "f"), "unit").select("t", "g", "f").distinct().join(stats, "g")
+    matrix = held.groupBy("t", "f").agg(F.collect_list(F.struct("g", "lo", "hi", "rest")).alias("gs"), F.min("lo").alias("lo"),
+                                        F.max("hi").alias("hi"))
+    matrix = materialize(matrix, "token-group")
     p, q = matrix.alias("p"), matrix.alias("q")
-    fits = (F.expr("p.t = q.t AND p.g < q.g") & F.expr(f"100 * p.hi >= {percent} * q.lo AND 100 * q.hi >= {percent} * p.lo"))
+    room = f"100 * p.hi >= {percent} * q.lo AND 100 * q.hi >= {percent} * p.lo"
     need = F.ceil(F.lit(percent) * (F.col("lo1") + F.col("lo2")) / F.lit(100 + percent) - F.lit(1e-9))
-    pairs = (p.join(q, fits).groupBy(F.col("p.g").alias("g1"), F.col("q.g").alias("g2"))
+    # families meet by token first; only those that differ unfold into groups
+    met = p.join(q, F.expr("p.t = q.t AND p.f < q.f") & F.expr(room)).select(F.explode("p.gs").alias("p"), F.col("q.gs").alias("gs"))
+    pairs = (met.select("p", F.explode("gs").alias("q")).where(room).groupBy(F.col("p.g").alias("g1"), F.col("q.g").alias("g2"))
              .agg(F.count(F.lit(1)).alias("c"), F.first("p.lo").alias("lo1"), F.first("q.lo").alias("lo2"),
                   F.greatest(F.first("p.rest"), F.first("q.rest")).alias("rest"))
              .where(F.col("c") + F.col("rest") >= need).select("g1", "g2"))
     pairs = materialize(pairs, "pairs")
-    many = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
+    many = grouped.where("NOT family").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
     wanted = pairs.select(F.col("g1").alias("g")).union(pairs.select(F.col("g2").alias("g"))).union(many).distinct()
-    chosen = materialize(grouped.join(wanted, "g").select("unit", "g"), "opened")
+    chosen = materialize(grouped.join(wanted, "g").select("unit", "g", "family"), "opened")
     # ids alone, in order: a table small enough to be sent to the texts up to
     # some size, beyond which the planner shuffles both
     ids = materialize(chosen.select("unit").sortWithinPartitions("unit"), "opened-ids")
     tokens = token_rows(ids, docs.where("doc_id IS NOT NULL"), size).dropDuplicates(["unit"])
     groups = materialize(tokens.join(chosen, "unit").groupBy("g").agg(
-        F.collect_list(F.struct("unit", "tokens")).alias("members")), "members")
-    links = materialize(open_groups(pairs, groups, percent).distinct(), "links")
+        F.collect_list(F.struct("unit", "tokens")).alias("members"), F.first("family").alias("family")), "members")
+    links = open_groups(pairs, groups, percent).unionByName(near.where("linked").select(F.col("unit").alias("a"), F.col("hub").alias("b")))
+    links = materialize(links.distinct(), "links")
     # components of units, then of documents
     cc = connected_components(links)
     unit = units.join(cc, units.unit == cc.node, "left").select(

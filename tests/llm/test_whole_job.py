@@ -59,3 +59,22 @@ def test_embedding_tables_reach_recall_with_a_common_component(spark):
     d -= (d * x).sum(1, keepdims=True) * x
     y = 0.955 * x + (1 - 0.955**2) ** 0.5 * d / np.linalg.norm(d, axis=1, keepdims=True)
     assert (itq.substrings(x, model) == itq.substrings(y, model)).any(1).mean() >= 0.985
+
+
+def test_near_copies_of_one_text_do_not_meet_in_pairs(spark, monkeypatch):
+    # near copies that differ in their smallest hashes: each is compared with a
+    # hub, not with all others
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        words = [f"w{j}" for j in range(150)]
+        for at in rng.integers(5, 145, rng.integers(1, 4)):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((7 + i, " ".join(words)))
+    rows += [(1000 + j, " ".join([f"w{i}" for i in range(75)] + [f"y{j}x{i}" for i in range(75)])) for j in range(20)]
+    tables, real = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: tables.setdefault(name, real(df, name)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == {i: 7 if i < 1000 else i for i, _ in rows}
+    assert tables["pairs"].count() < 100
