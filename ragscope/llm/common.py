@@ -8,9 +8,11 @@ broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``).
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +55,39 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m"):
+    """Tables that are written within it go to Python in small record batches:
+    a batch stands in the executor and in its worker, for each core."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def give_back() -> None:
+    """A worker goes on to other tasks: what this one is done with goes back."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in short runs, so that a worker holds few texts as Python
     strings at a time."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
-    # a worker goes on to other tasks: what this one is done with goes back
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

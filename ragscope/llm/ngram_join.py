@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ragscope.llm.common import (as_long, connected_components, discard, documents, materialize, mix64, slices,
-                                 texts_of, window_hashes, word_hashes)
+from ragscope.llm.common import (as_long, connected_components, discard, documents, give_back, materialize, mix64, slices,
+                                 small_batches, texts_of, window_hashes, word_hashes)
 
 HOT = 64  # units that hold a token beyond which it comes last in the order
 GROUP_UNITS, GROUP_TOKENS = 128, 1 << 17
@@ -257,6 +257,7 @@ def near_hubs(rows: DataFrame, live: DataFrame, docs: DataFrame, size: int, perc
                         linked.append(100 * inter >= percent * union)
                 yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array([hub] * len(units), pa.int64()),
                                                   pa.array(linked, pa.bool_())], names=["unit", "hub", "linked"])
+        give_back()
 
     found = members.join(heads, ["hub", "part"]).select("hub", "head", "members").mapInArrow(run, "unit long, hub long, linked boolean")
     found = materialize(found, "near-hubs")
@@ -288,6 +289,7 @@ def open_groups(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
                     a.append(u)
                     b.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
 
     own = groups.where("NOT family").where(F.size("members") > 1).select(F.col("members").alias("x"), F.lit(None).cast(
         groups.schema["members"].dataType).alias("y"))
@@ -299,7 +301,12 @@ def open_groups(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links
     of Jaccard similarity of at least ``percent`` / 100."""
-    docs = docs.select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs.select("doc_id", "text"), size, percent)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """All tables that Python makes are written here."""
     described = materialize(describe(docs, size, percent), "described")
     sets = described.where("n > 0 AND doc_id IS NOT NULL")
     units = sets.groupBy("sig_a", "sig_b", "n").agg(

@@ -74,3 +74,19 @@ def test_stages_on_awkward_rows(spark):
             ids = {r.doc_id for r in out.collect()}
             assert ids <= {r[0] for r in data} and (not data or {1, 5, None} <= ids)
         assert {r.doc_id for r in cp.pack(spark, docs, SF001).collect()} == {r[0] for r in data}
+
+
+def test_near_duplicates_sends_small_batches_to_python(spark, monkeypatch):
+    from ragscope.llm import ngram_join
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, real = spark.conf.get(key), [], ngram_join.materialize
+
+    def written(df, name):
+        sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id long")
+        seen.append(sizes.count())
+        return real(df, name)
+
+    monkeypatch.setattr(ngram_join, "materialize", written)
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(30)], "doc_id long, text string")
+    assert ngram_join.near_duplicates(docs).select("component_id").distinct().count() == 3
+    assert set(seen) == {5} and spark.conf.get(key) == before

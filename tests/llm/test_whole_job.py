@@ -65,12 +65,12 @@ def test_near_copies_of_one_text_do_not_meet_in_pairs(spark, monkeypatch):
     # near copies that differ in their smallest hashes: each is compared with a
     # hub, not with all others
     rng = np.random.default_rng(4)
-    rows = []
+    rows = [(7, " ".join(f"w{j}" for j in range(150)))]
     for i in range(300):
         words = [f"w{j}" for j in range(150)]
         for at in rng.integers(5, 145, rng.integers(1, 4)):
             words[at] = f"x{rng.integers(0, 10**6)}"
-        rows.append((7 + i, " ".join(words)))
+        rows.append((8 + i, " ".join(words)))
     rows += [(1000 + j, " ".join([f"w{i}" for i in range(75)] + [f"y{j}x{i}" for i in range(75)])) for j in range(20)]
     tables, real = {}, ngram_join.materialize
     monkeypatch.setattr(ngram_join, "materialize", lambda df, name: tables.setdefault(name, real(df, name)))
