@@ -12,7 +12,9 @@ piece's place is the sum of the offsets on its way to the root. Only
 
 Words between ASCII white space are tokenised on their own, since this kind of
 tokenizer drops white space and never joins across it, so a worker remembers
-the ids of words that it has met.
+the ids of words that it has met. New words are tokenised many to a text, with
+a mark of one id between them, since each text costs the tokenizer as much as a
+few words; where words hold the mark themselves, each is a text of its own.
 
 Null and empty texts consist of the end id alone. Rows that repeat, and rows
 with a null doc_id, are packed each on their own. Extra columns are not read.
@@ -39,6 +41,8 @@ from ragscope.llm.memo import Memo
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 PIECES = ("doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, bin long, offset long, fill long")
 END = b""  # stands for the end of a document; no word is empty
+MARK = "\x01"  # stands between the words of a text that are tokenised together
+JOINED = 128  # words of such a text
 
 
 def default_tokenizer() -> str:
@@ -53,13 +57,40 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(2)
+def mark_id(path: str) -> int:
+    """The id of a mark between two words; -1 if it has not one id of its own."""
+    one, marked = (tokenizer(path).encode(t, add_special_tokens=False).ids for t in ("a", f"a {MARK} a"))
+    return marked[len(one)] if len(marked) == 2 * len(one) + 1 and marked == [*one, marked[len(one)], *one] else -1
+
+
+def tokenise(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words one after another, and how many each has."""
+    runs = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+    mark, flat, sizes = mark_id(path), [], []
+    found = tokenizer(path).encode_batch_fast([f" {MARK} ".join([*r, ""]) for r in runs], add_special_tokens=False)
+    for run, e in zip(runs, found, strict=True):
+        ids = np.array(e.ids, np.int64)
+        at = np.flatnonzero(ids == mark)
+        if len(at) == len(run):
+            flat.append(np.delete(ids, at))
+            sizes.append(np.diff(at, prepend=-1) - 1)
+        else:  # a word holds the mark, or its id
+            apart = [x.ids for x in tokenizer(path).encode_batch_fast(run, add_special_tokens=False)]
+            flat.append(np.fromiter(chain.from_iterable(apart), np.int64))
+            sizes.append(np.fromiter(map(len, apart), np.int64, len(apart)))
+    return np.concatenate([np.empty(0, np.int64), *flat]), np.concatenate([np.empty(0, np.int64), *sizes])
+
+
 @functools.lru_cache(2)
 def word_ids(path: str, end_id: int) -> Memo:
     """The ids of words, kept from task to task of a worker."""
     def make(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = tokenizer(path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids if w else [end_id] for w, e in zip(words, found, strict=True)]
-        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, sizes = tokenise(path, [w.decode() for w in words])
+        if END in words:
+            k = words.index(END)
+            flat, sizes[k] = np.insert(flat, sizes[:k].sum(), end_id), 1
+        return flat, sizes
 
     return Memo(make)
 

@@ -91,3 +91,31 @@ def test_query(spark):
     used, least = check(rows, {}, 2048)
     assert used <= 1.02 * least
     assert {r.doc_id for r in rows} == {r.doc_id for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+
+
+def test_new_words_share_texts(monkeypatch):
+    path = rp.default_tokenizer()
+    whole, texts = rp.tokenizer(path), []
+
+    class Counted:
+        def encode_batch_fast(self, batch, **kw):
+            texts.extend(batch)
+            return whole.encode_batch_fast(batch, **kw)
+
+    monkeypatch.setattr(rp, "tokenizer", lambda p: Counted())
+    rp.mark_id.cache_clear()
+    monkeypatch.setattr(Counted, "encode", lambda self, *a, **kw: whole.encode(*a, **kw), raising=False)
+    memo = rp.word_ids.__wrapped__(path, 7)
+    plain = [f"Wort{i},".encode() for i in range(1000)] + [b""]
+    memo.index(plain)
+    assert len(texts) <= 1 + len(plain) // 100
+    odd = [w.encode() for w in (
+        "don't", "'s", "a's'T", "I\u0307x", "J\u030c", "\u0301x", "caf\u00e9\u0301", "<|endoftext|>", "x<|ENDOFTEXT|>y", "\u00a0", "a\u3000b",
+        "\u0001", "x\u0001y", "\u0001\u0001", "\u0000", "\u001f", "\u0085", "12.5%", "***", "\u4e2d\u6587", "\U0001f600", "\ufb01n")]
+    for words in (plain, odd, [w for w in odd if b"\x01" not in w] * 2, odd[::-1] + plain):
+        flat, sizes = memo.gather(memo.index(words))
+        want = [whole.encode(w.decode(), add_special_tokens=False).ids if w else [7] for w in words]
+        assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+    monkeypatch.setattr(rp, "mark_id", lambda p: -1)  # a tokenizer without a mark
+    flat, sizes = rp.tokenise(path, [w.decode() for w in odd])
+    assert flat.tolist() == [i for w in odd for i in whole.encode(w.decode(), add_special_tokens=False).ids] and len(sizes) == len(odd)
