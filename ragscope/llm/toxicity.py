@@ -5,10 +5,11 @@ hash of doc_id, never from the held-out fold) gives the examples, and all their
 words are the terms: words that no example holds are in no dot product. Document
 frequencies of the terms come from all documents; each term is weighted by how
 strongly it goes with the label too (plain TF-IDF lets the topic of a text
-decide). The examples' inverted index stores, beside each posting list, the
-largest weight in every block of ``BLOCK`` examples; a text's neighbours are
-exact: blocks are opened in the order of their bounds until no bound reaches
-the k-th similarity. Votes are weighted by the inverse square of the distance and by how thinly each class was
+decide). A text's neighbours are exact: its similarity to every example is
+summed, for ``BATCH`` texts at once. Terms of very many examples are a matrix
+that the texts are multiplied with, all others posting lists. The largest
+similarity in every block of examples gives a floor under the k-th, and only
+what reaches the floor is sorted. Votes are weighted by the inverse square of the distance and by how thinly each class was
 sampled, and a logistic fit over the examples' own leave-one-out votes
 calibrates them. The neighbours are the evidence.
 
@@ -19,8 +20,9 @@ example with the smaller doc_id. Several label rows of one document count each.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,10 @@ from pyspark.sql import functions as F
 
 from ragscope.llm.common import documents, held_out, slices, texts_of
 
-BLOCK = 64
+BLOCK = 8
+BATCH = 64  # texts that are looked up at once
+FEW = 4  # of them, texts whose postings are added up at once, so that sums stay in a core's cache
+FREQUENT = 512  # terms of the matrix, at most
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -45,15 +50,30 @@ class TermReader:
     def __init__(self, terms: list[bytes]):
         self.index = {t: i for i, t in enumerate(terms)}
 
-    def counts(self, text: str) -> dict[int, int]:
-        index = self.index
-        return {index[w]: n for w, n in words_of(text).items() if w in index}
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The terms of each text, in rising order: number of the text, term, how often."""
+        get, n = self.index.get, len(self.index)
+        found = []
+        for k, text in enumerate(texts):
+            words = text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+            terms = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            found.append(terms[terms >= 0] + k * n)
+        key = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[first] // max(n, 1), key[first] % max(n, 1), np.diff(first, append=len(key))
+
+    def vectors(self, texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' unit TF-IDF vectors over the terms: number of the text, term, weight."""
+        doc, term, n = self.counts(texts)
+        weight = (1 + np.log(n)) * idf[term]
+        norm = np.sqrt(np.bincount(doc, weight * weight, len(texts)))[doc]
+        some = norm > 0
+        return doc[some], term[some], weight[some] / norm[some]
 
     def vector(self, text: str, idf: np.ndarray) -> dict[int, float]:
-        """The text's unit TF-IDF vector over the terms."""
-        v = {i: (1 + math.log(n)) * idf[i] for i, n in self.counts(text).items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {i: float(x / norm) for i, x in v.items()} if norm else {}
+        """One text's vector."""
+        _, term, weight = self.vectors([text], idf)
+        return dict(zip(term.tolist(), weight.tolist()))
 
 
 def sample_examples(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -69,8 +89,9 @@ def sample_examples(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
 
 
 def example_terms(examples: DataFrame, taken: dict[int, int]) -> tuple[list[bytes], np.ndarray]:
-    """Every term of the examples, and how strongly its presence goes with the
-    label: the phi coefficient without its sign, 0 to 1 at any number of examples."""
+    """Every term of the examples, frequent ones first (they are looked up most),
+    and how strongly its presence goes with the label: the phi coefficient
+    without its sign, 0 to 1 at any number of examples."""
     def run(batches):
         seen = ({}, {})
         for batch in slices(batches):
@@ -84,6 +105,7 @@ def example_terms(examples: DataFrame, taken: dict[int, int]) -> tuple[list[byte
 
     rows = (examples.select("toxic", "text").mapInArrow(run, "term binary, clean long, toxic long")
             .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).orderBy("term").toArrow())
+    rows = rows.take(np.argsort(-(rows["clean"].to_numpy() + rows["toxic"].to_numpy()), kind="stable"))
     b, a = (rows[c].to_numpy().astype(float) for c in ("clean", "toxic"))
     n0, n1 = taken[0], taken[1]
     absent = np.maximum(n0 + n1 - a - b, 0.5)  # a term of every example says nothing
@@ -97,8 +119,7 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.n
         found = np.zeros(len(terms) + 1, np.int64)
         for batch in slices(batches):
             found[-1] += batch.num_rows
-            for text in texts_of(batch):
-                found[list(reader.counts(text))] += 1
+            np.add.at(found, reader.counts(texts_of(batch))[1], 1)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["i", "n"])
 
@@ -115,6 +136,11 @@ def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - lengths), lengths), lengths
 
 
+def lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """The values of each of ``n`` owners, which are in rising order, as a list."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values))
+
+
 def vector_arrays(vectors: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, labels and sizes of the vectors that have terms; their terms and
     weights, one vector after the other."""
@@ -125,7 +151,8 @@ def vector_arrays(vectors: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 class BlockMaxIndex:
-    """Labelled examples as posting lists with a maximum for every block."""
+    """Labelled examples as a matrix of frequent terms and posting lists; of the
+    similarities to a text, the maximum of every block leads to the nearest."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray, vectors: pa.Table, priors: tuple[float, float],
                  neighbours: int):
@@ -133,28 +160,41 @@ class BlockMaxIndex:
         self.terms, self.idf, self.k, self.priors = terms, idf, neighbours, priors
         ids, labels, sizes, term, weight = vector_arrays(vectors)
         owner = np.repeat(np.arange(len(ids)), sizes)
-        # examples with the same heaviest term stand together, so bounds are tight
-        order = np.lexsort((term, weight, owner))
-        heaviest = term[order[np.cumsum(sizes) - 1]]
-        places = np.lexsort((labels, ids, heaviest))
+        places = np.lexsort((labels, ids))
         self.ids, self.labels = ids[places], labels[places]
-        self.n_blocks = max(1, -(-len(ids) // BLOCK))
-        # postings of a term stand together, by example; within them, blocks
+        self.width = max(1, -(-len(ids) // 64)) * 64  # whole tiles of a product
+        # postings of a term stand together, by example
         rank = np.empty(len(ids), np.int64)
         rank[places] = np.arange(len(ids))
         example = rank[owner]
         order = np.lexsort((example, term))
         self.offsets = np.searchsorted(term[order], np.arange(len(terms) + 1))
         self.posts, self.values = example[order].astype(np.int32), weight[order]
-        key = term[order] * self.n_blocks + self.posts // BLOCK
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block_offsets = np.searchsorted(key[first] // self.n_blocks, np.arange(len(terms) + 1))
-        self.block = (key[first] % self.n_blocks).astype(np.int32)
-        self.block_start = np.append(first, len(key))
-        self.maxima = np.maximum.reduceat(self.values, first) if len(first) else np.empty(0)
         self.coef = np.zeros(3)
         self.base = 0.0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("reader", "frequent")}
+
+    @cached_property
+    def reader(self) -> TermReader:
+        """Made once by each worker."""
+        return TermReader(self.terms)
+
+    @cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each term in the matrix (or -1), and the matrix: weights
+        of terms that very many examples hold, by term and example."""
+        found = np.diff(self.offsets)
+        chosen = np.flatnonzero(found > len(self.ids) / 16)
+        chosen = np.sort(chosen[np.argsort(-found[chosen], kind="stable")[:FREQUENT]])
+        place = np.full(len(self.terms), -1)
+        place[chosen] = np.arange(len(chosen))
+        at, lengths = ranges(self.offsets[chosen], self.offsets[chosen + 1])
+        matrix = np.zeros((len(chosen), self.width))
+        matrix[np.repeat(np.arange(len(chosen)), lengths), self.posts[at]] = self.values[at]
+        return place, matrix
+
     @property
     def examples(self) -> list[np.ndarray]:
         """Each term's examples."""
@@ -166,43 +206,54 @@ class BlockMaxIndex:
         return np.split(self.values, self.offsets[1:-1])
 
     def nearest(self, v: dict[int, float], skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples and their cosines, exactly."""
-        if not v or not len(self.ids):
-            return np.empty(0, np.int64), np.empty(0)
+        """The k most similar examples of one vector and their cosines, exactly."""
         terms = np.fromiter(v, np.int64, len(v))
-        at, lengths = ranges(self.block_offsets[terms], self.block_offsets[terms + 1])
-        q = np.repeat(np.fromiter(v.values(), np.float64, len(v)), lengths)
-        blocks = self.block[at]
-        bound = np.bincount(blocks, q * self.maxima[at], self.n_blocks)
-        total = np.zeros(self.n_blocks * BLOCK)
-        done = np.zeros(self.n_blocks, bool)
-        # the most promising blocks first; then all whose bound reaches the
-        # k-th similarity so far, until there is none
-        opened = np.zeros(self.n_blocks, bool)
-        opened[np.argsort(-bound, kind="stable")[:2]] = True
-        opened &= bound > 0
-        floor = 0.0
-        while opened.any():
-            use = opened[blocks]
-            places, lengths = ranges(self.block_start[at[use]], self.block_start[at[use] + 1])
-            total += np.bincount(self.posts[places], np.repeat(q[use], lengths) * self.values[places], len(total))
-            done |= opened
-            if skip is not None:
-                total[np.flatnonzero(self.ids == skip)] = 0
-            floor = np.partition(total, len(total) - self.k)[len(total) - self.k] if len(total) > self.k else 0.0
-            opened = ~done & (bound > 0) & (bound >= floor - 1e-9)
-        rows = np.flatnonzero(total[:len(self.ids)] > max(floor - 1e-9, 0))
-        cos = np.round(total[rows], 12)
-        order = np.lexsort((self.ids[rows], -cos))[:self.k]
-        return rows[order], cos[order]
-
-    def features(self, rows: np.ndarray, cos: np.ndarray) -> np.ndarray:
-        """Log-odds of the distance-weighted vote, and the closeness it rests on."""
+        order = np.argsort(terms)
+        weights = np.fromiter(v.values(), np.float64, len(v))[order]
+        return self.nearest_of(np.zeros(len(v), np.int64), terms[order], weights, None if skip is None else [skip])[1:]
+
+    def nearest_of(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray,
+                   skip: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k most similar examples of at most ``BATCH`` vectors (see
+        ``TermReader.vectors``) and their cosines, exactly: number of the
+        vector, example, cosine. ``skip``: an id for each that does not count."""
+        if not len(doc) or not len(self.ids):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        place, matrix = self.frequent
+        # of one shape whatever the texts, so that equal vectors have equal sums
+        q = np.zeros((BATCH, len(matrix)))
+        at = place[term]
+        dense = at >= 0
+        q[doc[dense], at[dense]] = weight[dense]
+        total = q @ matrix
+        doc, term, weight = doc[~dense], term[~dense], weight[~dense]
+        ends = np.searchsorted(doc, np.arange(0, BATCH + 1, FEW))
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            at, lengths = ranges(self.offsets[term[a:b]], self.offsets[term[a:b] + 1])
+            cells = np.repeat((doc[a:b] - i * FEW) * self.width, lengths) + self.posts[at]
+            total[i * FEW:(i + 1) * FEW] += np.bincount(
+                cells, np.repeat(weight[a:b], lengths) * self.values[at], FEW * self.width).reshape(FEW, -1)
+        if skip is not None:
+            total[np.nonzero(self.ids == np.array(skip)[:, None])] = 0
+        # the k-th block's maximum is no larger than the k-th similarity
+        maxima = total.reshape(BATCH, BLOCK, -1).max(1)
+        k = maxima.shape[1] - self.k
+        floor = np.partition(maxima, k, axis=1)[:, k:k + 1] - 1e-9 if k >= 0 else 0
+        doc, rows = np.nonzero(total > np.maximum(floor, 0))
+        cos = np.round(total[doc, rows], 12)
+        order = np.lexsort((self.ids[rows], -cos, doc))
+        order = order[np.arange(len(doc)) - np.searchsorted(doc, doc) < self.k]
+        return doc[order], rows[order], cos[order]
+
+    def features(self, doc: np.ndarray, rows: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors that have neighbours; for each, log-odds of the
+        distance-weighted vote, and the closeness it rests on."""
+        some, first = np.unique(doc, return_index=True)
         weight = 1.0 / (1.02 - np.minimum(cos, 1.0)) ** 2
         y = self.labels[rows]
-        yes = (weight * (y == 1)).sum() * self.priors[1] + 1e-3
-        no = (weight * (y == 0)).sum() * self.priors[0] + 1e-3
-        return np.array([1.0, np.log(yes / no), cos[0]])
+        yes = np.bincount(doc, weight * (y == 1), BATCH)[some] * self.priors[1] + 1e-3
+        no = np.bincount(doc, weight * (y == 0), BATCH)[some] * self.priors[0] + 1e-3
+        return some, np.stack([np.ones(len(some)), np.log(yes / no), cos[first]], axis=1)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         """Logistic regression by Newton steps, with a small ridge."""
@@ -217,12 +268,14 @@ class BlockMaxIndex:
                 break
         self.coef = coef
 
-    def score(self, vector: dict[int, float]) -> tuple[float, list[int], list[float]]:
-        rows, cos = self.nearest(vector)
-        if not len(rows):
-            return self.base, [], []
-        z = float(self.features(rows, cos) @ self.coef)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.ids[rows].tolist(), cos.tolist()
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The scores of at most ``BATCH`` texts, and their neighbours: number
+        of the text, doc_id, cosine."""
+        doc, rows, cos = self.nearest_of(*self.reader.vectors(texts, self.idf))
+        some, x = self.features(doc, rows, cos)
+        out = np.full(len(texts), self.base)
+        out[some] = 1 / (1 + np.exp(-np.clip((x * self.coef).sum(1), -30, 30)))
+        return out, doc, self.ids[rows], cos
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, neighbours: int = 15) -> BlockMaxIndex | None:
@@ -241,10 +294,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, neighbours: i
     def run(batches):
         reader = TermReader(terms)
         for batch in slices(batches):
-            vectors = [reader.vector(t, idf) for t in texts_of(batch)]
+            doc, term, weight = reader.vectors(texts_of(batch), idf)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([list(v) for v in vectors], pa.list_(pa.int32())),
-                 pa.array([list(v.values()) for v in vectors], pa.list_(pa.float64()))],
+                [batch.column("doc_id"), batch.column("toxic"), lists(doc, term.astype(np.int32), batch.num_rows),
+                 lists(doc, weight, batch.num_rows)],
                 names=["doc_id", "toxic", "t", "w"])
 
     vectors = rows.mapInArrow(run, "doc_id long, toxic int, t array<int>, w array<double>").toArrow()
@@ -266,15 +319,9 @@ def own_votes(examples: DataFrame, index: BlockMaxIndex) -> pa.Table:
 
     def run(batches):
         model = shared.value
-        reader = TermReader(model.terms)
-        for batch in slices(batches):
-            kept, x = [], []
-            for k, (i, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True)):
-                found = model.nearest(reader.vector(text, model.idf), skip=i)
-                if len(found[0]):
-                    kept.append(k)
-                    x.append(model.features(*found))
-            x = np.array(x).reshape(-1, 3)
+        for batch in slices(batches, BATCH):
+            vectors = model.reader.vectors(texts_of(batch), model.idf)
+            kept, x = model.features(*model.nearest_of(*vectors, skip=batch.column("doc_id").to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).take(pa.array(kept, pa.int64())) for c in ("doc_id", "toxic")] + [pa.array(x[:, j]) for j in range(3)],
                 names=["doc_id", "toxic", "x0", "x1", "x2"])
@@ -291,13 +338,12 @@ def score_documents(docs: DataFrame, index: BlockMaxIndex | None) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        reader = TermReader(model.terms if model else [])
-        for batch in slices(batches):
-            found = [model.score(reader.vector(t, model.idf)) if model else (0.0, [], []) for t in texts_of(batch)]
+        nothing = np.empty(0, np.int64)
+        for batch in slices(batches, BATCH):
+            n = batch.num_rows
+            score, doc, ids, cos = model.score(texts_of(batch)) if model else (np.zeros(n), nothing, nothing, np.empty(0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()),
-                 pa.array([f[1] for f in found], pa.list_(pa.int64())),
-                 pa.array([f[2] for f in found], pa.list_(pa.float64()))],
+                [batch.column("doc_id"), pa.array(score), lists(doc, ids, n), lists(doc, cos, n)],
                 names=["doc_id", "score", "evidence", "cosines"])
 
     return docs.select("doc_id", "text").mapInArrow(

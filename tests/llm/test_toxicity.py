@@ -78,3 +78,40 @@ def test_the_driver_sees_no_vector_as_python_objects(spark, monkeypatch):
     index = toxicity.fit(docs, labels)
     assert asked == [] and frames == [["toxic", "count"]]
     assert index.coef.any() and sorted(index.ids.tolist()) == ids
+
+
+def test_texts_are_looked_up_together(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    # a few words of very many texts, and many of few: 1200 examples, some of them equal
+    often, seldom = [f"often{chr(97 + i)}" for i in range(20)], [f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    ids = learnt(spark, 1200)
+    text = lambda y: " ".join([*rng.choice(often[y * 5:y * 5 + 15], 6), *rng.choice(seldom[y * 100:y * 100 + 500], rng.integers(0, 12))])
+    rows = [(i, text(k % 2), k % 2) for k, i in enumerate(ids)]
+    rows[900:930] = [(i, rows[k % 2][1], k % 2) for k, (i, _, _) in enumerate(rows[900:930])]
+    index = toxicity.fit(*table(spark, rows))
+    asked = [text(k % 2) for k in range(60)] + ["", "unseen", rows[0][1], rows[1][1]]
+    full = np.zeros((len(index.ids), len(index.terms)))
+    for t, (e, w) in enumerate(zip(index.examples, index.weights)):
+        full[e, t] = w
+    real, calls = toxicity.ranges, []
+    for few, frequent in ((toxicity.FEW, toxicity.FREQUENT), (64, 3), (1, 0)):
+        monkeypatch.setattr(toxicity, "FEW", few)
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        index.__dict__.pop("frequent", None)
+        assert len(index.frequent[1]) == min(frequent, 20)
+        calls.clear()
+        monkeypatch.setattr(toxicity, "ranges", lambda *a: calls.append(a) or real(*a))
+        score, doc, near, cos = index.score(asked)
+        assert len(calls) == 64 // few  # runs of postings: no step of its own for a text
+        for k, t in enumerate(asked):
+            q = np.zeros(len(index.terms))
+            v = index.reader.vector(t, index.idf)
+            q[list(v)] = list(v.values())
+            want = np.round(full @ q, 12)
+            order = [i for i in np.lexsort((index.ids, -want)) if want[i] > 0][:index.k]
+            assert np.allclose(cos[doc == k], want[order]) and len(order) == (0 if k in (60, 61) else index.k)
+            assert all(abs(want[index.ids.searchsorted(i)] - c) < 1e-11 for i, c in zip(near[doc == k], cos[doc == k]))
+        assert score[60] == score[61] == index.base
+        # equal examples stand by their ids
+        same = near[doc == 62][np.isclose(cos[doc == 62], 1)].tolist()
+        assert same == sorted(same) and len(same) == 15
