@@ -16,6 +16,14 @@ the ids of words that it has met. New words are tokenised many to a text, with
 a mark of one id between them, since each text costs the tokenizer as much as a
 few words; where words hold the mark themselves, each is a text of its own.
 
+New words of printable ASCII and the letters of Latin-1 are first cut into the
+pieces that the tokenizer's own pattern finds in them, in lower case, and the
+ids of pieces are remembered too: a piece stands in many words, with capitals,
+commas and brackets. New pieces go through the tokenizer without its normaliser
+and pattern, which would leave them as they are. All other words, those that
+hold a special token, and all words of a tokenizer with other rules go through
+it whole.
+
 Null and empty texts consist of the end id alone. Rows that repeat, and rows
 with a null doc_id, are packed each on their own. Extra columns are not read.
 """
@@ -23,6 +31,7 @@ with a null doc_id, are packed each on their own. Extra columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -31,6 +40,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +54,18 @@ END = b""  # stands for the end of a document; no word is empty
 MARK = "\x01"  # stands between the words of a text that are tokenised together
 JOINED = 128  # words of such a text
 
+# The rules that words may be cut by, as the tokenizer's file has them. In words of
+# PLAIN characters, which NFC leaves alone, PIECE finds what RULES' pattern finds.
+RULES = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_LINES = re.compile("[\n!-~À-ÖØ-öø-ÿ]*")
+PIECE = re.compile("\n|'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+")
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -82,11 +104,71 @@ def tokenise(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int64), *flat]), np.concatenate([np.empty(0, np.int64), *sizes])
 
 
+@functools.lru_cache(2)
+def piece_rules(path: str):
+    """The tokenizer of pieces, which ids are the last of a piece, and the special
+    tokens that no piece may be cut from; None if words may not be cut by ``RULES``."""
+    from tokenizers import Tokenizer, pre_tokenizers
+    pieces = Tokenizer.from_file(path)
+    rules = json.loads(pieces.to_str())
+    model, special = rules["model"], [re.escape(t["content"]) for t in rules["added_tokens"]]
+    if ({k: (rules[k] or {}).get(k.replace("_", "") + "s") for k in RULES} != RULES or not model.get("end_of_word_suffix")
+            or model.get("continuing_subword_prefix") or model.get("dropout")):
+        return None
+    pieces.normalizer = None
+    pieces.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    last = np.zeros(pieces.get_vocab_size(), bool)
+    last[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
+    return pieces, last, re.compile("|".join(special) or "(?!)")
+
+
+def tokenise_pieces(path: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces one after another, and how many each has."""
+    encoder, last, _ = piece_rules(path)
+    runs, flat, sizes = [pieces[i:i + JOINED] for i in range(0, len(pieces), JOINED)], [], []
+    for run, e in zip(runs, encoder.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, np.int64)
+        ends = np.flatnonzero(last[ids])
+        if len(ends) == len(run) and ends[-1] == len(ids) - 1:
+            flat.append(ids)
+            sizes.append(np.diff(ends, prepend=-1))
+        else:  # a character that the vocabulary has not
+            ids, size = tokenise(path, run)
+            flat.append(ids)
+            sizes.append(size)
+    return np.concatenate([np.empty(0, np.int64), *flat]), np.concatenate([np.empty(0, np.int64), *sizes])
+
+
+def tokenise_words(path: str, words: list[str], known: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """As ``tokenise``, by way of the pieces of plain words, which ``known`` keeps."""
+    rules = piece_rules(path)
+    if rules is None:
+        return tokenise(path, words)
+    special = rules[2].search
+    lines = "\n".join([*words, ""])  # no word holds a line feed
+    if special(lines) or not PLAIN_LINES.fullmatch(lines):
+        lines = "\n".join([*(w if PLAIN.fullmatch(w) and not special(w) else "" for w in words), ""])
+    found = PIECE.findall(lines.lower())  # the line feeds among them end the words
+    ends = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+    ids, sizes = known.gather(known.index([p for p in found if p != "\n"]))
+    count = np.diff(ends, prepend=-1) - 1
+    size = np.diff(np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(count)], prepend=0)
+    whole = np.flatnonzero(count == 0)
+    if len(whole):
+        more, each = tokenise(path, [words[i] for i in whole.tolist()])
+        ids = np.insert(ids, np.repeat(np.cumsum(size)[whole], each), more)
+        size[whole] = each
+    return ids, size
+
+
 @functools.lru_cache(2)
 def word_ids(path: str, end_id: int) -> Memo:
     """The ids of words, kept from task to task of a worker."""
+    known = Memo(functools.partial(tokenise_pieces, path), keys=1 << 19)
+
     def make(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        flat, sizes = tokenise(path, [w.decode() for w in words])
+        flat, sizes = tokenise_words(path, [w.decode() for w in words], known)
         if END in words:
             k = words.index(END)
             flat, sizes[k] = np.insert(flat, sizes[:k].sum(), end_id), 1
@@ -107,37 +189,38 @@ def parts(data: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
-def encode(memo: Memo, texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
-    words: list[bytes] = []
-    ends: list[int] = []
-    size = 0
-
-    def flush():
-        flat, sizes = memo.gather(memo.index(words))
-        upto = np.cumsum(sizes)[np.array(ends, np.int64) - 1]
-        out = np.split(flat.astype("<u4"), upto[:-1])
-        words.clear()
-        ends.clear()
-        return out
-
-    for text in texts:
-        if len(text) > 1 << 20:  # a long text goes on its own, by parts
-            if ends:
-                yield from flush()
-            whole = [memo.gather(memo.index(p.split()))[0].astype("<u4") for p in parts(text)]
+def encode(memo: Memo, texts: pa.Array, limit: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Each text's ids and the end id, as little-endian unsigned 32-bit integers,
+    worked out for about ``limit`` bytes of texts at a time. Arrow splits them and
+    numbers the different words, each of which is looked up once."""
+    texts = texts.cast(pa.string()).fill_null("")
+
+    def some(first: int, after: int) -> list[np.ndarray]:
+        words = pc.ascii_split_whitespace(texts.slice(first, after - first))
+        coded = words.flatten().dictionary_encode()
+        # an empty word, before or after the outer white space, is no end
+        different = [w or b" " for w in coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)]
+        rows = memo.index([*different, END])
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        flat, sizes = memo.gather(np.insert(rows[coded.indices.to_numpy()], ends, rows[-1]))
+        upto = np.cumsum(sizes)[ends + np.arange(len(ends))]
+        return np.split(flat.astype("<u4"), upto[:-1])
+
+    first = size = 0
+    for i, length in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + length > limit:
+            yield from some(first, i)
+            first, size = i, 0
+        if length > limit:  # a long text goes on its own, by parts
+            if first < i:
+                yield from some(first, i)
+            whole = [memo.gather(memo.index(p.split()))[0].astype("<u4") for p in parts(texts[i].as_py().encode(), limit)]
             yield np.concatenate([*whole, memo.gather(memo.index([END]))[0].astype("<u4")])
-            size = 0
-            continue
-        words += text.split()
-        words.append(END)
-        ends.append(len(words))
-        size += len(text)
-        if size > 1 << 20:
-            yield from flush()
-            size = 0
-    if ends:
-        yield from flush()
+            first, size = i + 1, 0
+        else:
+            size += length
+    if first < len(texts):
+        yield from some(first, len(texts))
 
 
 def best_fit(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,9 +276,8 @@ def local_pieces(docs: DataFrame, path: str, width: int, end_id: int, block: int
             return out
 
         waiting = 0
-        for batch in slices(batches):
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(memo, texts), strict=True):
+        for batch in slices(batches, 1 << 12):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(memo, batch.column("text")), strict=True):
                 raw = ids.tobytes()
                 for piece, a in enumerate(range(0, len(ids), width)):
                     mine = raw[4 * a:4 * (a + width)]

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ragscope.llm import residual_packing as rp
@@ -119,3 +120,58 @@ def test_new_words_share_texts(monkeypatch):
     monkeypatch.setattr(rp, "mark_id", lambda p: -1)  # a tokenizer without a mark
     flat, sizes = rp.tokenise(path, [w.decode() for w in odd])
     assert flat.tolist() == [i for w in odd for i in whole.encode(w.decode(), add_special_tokens=False).ids] and len(sizes) == len(odd)
+
+
+def test_a_piece_is_tokenised_once(monkeypatch):
+    path = rp.default_tokenizer()
+    whole, pieces, words = rp.tokenizer(path), [], []
+    by_piece, by_word = rp.tokenise_pieces, rp.tokenise
+    monkeypatch.setattr(rp, "tokenise_pieces", lambda p, new: pieces.extend(new) or by_piece(p, new))
+    monkeypatch.setattr(rp, "tokenise", lambda p, new: words.extend(new) or by_word(p, new))
+    memo = rp.word_ids.__wrapped__(path, 7)
+    stems = ["".join(chr(97 + i // 26 ** k % 26) for k in range(3)) + "\u00e9tud" for i in range(300)]
+    for shape in ("{}", "{},", "({})", "{}%%%", "{}'s"):
+        plain = [shape.format(v).encode() for s in stems for v in (s, s.title(), s.upper())]
+        flat, sizes = memo.gather(memo.index(plain))
+        want = [whole.encode(w.decode(), add_special_tokens=False).ids for w in plain]
+        assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+    assert not words and len(pieces) == len(set(pieces)) <= len(stems) + 10
+
+
+def test_cut_words_have_the_whole_tokenizers_ids(monkeypatch):
+    path = rp.default_tokenizer()
+    assert rp.piece_rules(path)
+    whole, rng = rp.tokenizer(path), np.random.default_rng(9)
+    chars = [*map(chr, range(1, 0x180)), "'", "'", *"stremvld" * 9, "\u0301", "\u030c", "\u0338", "\u02bc", "\u03a3", "\u0130", "\u212b", "\u4e2d"]
+    chars = [c for c in chars if c not in " \t\n\v\f\r"]
+    words = ["".join(rng.choice(chars, n)) for n in rng.integers(1, 9, 20000)]
+    letters = [*"stremvldSTREMVLD'',.!<|>9\u00e9\u00c9\u00df"]
+    words += ["".join(rng.choice(letters, n)) for n in rng.integers(1, 9, 20000)]
+    words += [chr(i) for i in range(33, 0x250)] + ["<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>,", "x" * 3000]
+    words = [w.encode() for w in dict.fromkeys(words)]
+    want = [whole.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    for rules in (True, False):
+        if not rules:  # a tokenizer with other rules
+            monkeypatch.setattr(rp, "piece_rules", lambda p: None)
+        memo = rp.word_ids.__wrapped__(path, 7)
+        flat, sizes = memo.gather(memo.index(words))
+        got = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+        assert [(w, g) for w, g, x in zip(words, got, want, strict=True) if g != x] == []
+
+
+@pytest.mark.parametrize("limit", [1, 20, 5000, 1 << 20])
+def test_encode_looks_a_word_up_once(limit):
+    path = rp.default_tokenizer()
+    memo, keys = rp.word_ids.__wrapped__(path, 7), []
+    index = memo.index
+    memo.index = lambda words: keys.append(words) or index(words)
+    some = [t[:60_000] if t else t for t in texts()] + [" lead", "trail\n", "a\x0bb\x0cc\r\x1cd", None, "", " "]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.array(["cut off", *some], kind)[1:]
+        got = list(rp.encode(memo, batch, limit))
+        assert all(x.dtype == np.dtype("<u4") for x in got)
+        want = [[*rp.tokenizer(path).encode(t or "", add_special_tokens=False).ids, 7] for t in some]
+        assert [x.tolist() for x in got] == want
+    if limit == 1 << 20:
+        assert all(len(words) == len(set(words)) for words in keys) and len(keys) == 2
+    assert list(rp.encode(memo, pa.array([], pa.string()), limit)) == []
