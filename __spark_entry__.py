@@ -1302,12 +1302,15 @@ def q_stream_line_ids(spark, sf_dir):
     how many samples and how many ids come out, by language."""
     from ragscope.streaming.stream import run_to_path, stream_samples
     path = _scratch(spark, "stream-lines")
-    sd = samples_docs(spark, sf_dir)
+    sd = spread(samples_docs(spark, sf_dir))
     line = F.to_json(F.struct("query", "context", "answer", F.struct(F.try_element_at("metadata", F.lit("lang")).alias("lang")).alias("metadata")))
-    files = _files_for(spark, sf_dir, 3 / 4)  # in a fourth of the lines
-    sd.select(F.explode(F.array_repeat(line, 3)).alias("value")).repartition(4 * files, "value").write.mode("overwrite").text(path)
-    good, _ = stream_samples(spark, path, max_files_per_trigger=2 * files)
-    out = run_to_path(good, _scratch(spark, "stream-samples"), _scratch(spark, "stream-lines-ck"))
+    # some eight files for each split of the scan, written where the samples are read; a line's copies are not parted
+    share = math.ceil(table(spark, sf_dir, "documents").count() / _files_for(spark, sf_dir, 8))
+    sd.select(F.explode(F.array_repeat(line, 3)).alias("value")).write.option("maxRecordsPerFile", 3 * max(1, share)) \
+        .option("compression", "lz4").mode("overwrite").text(path)
+    files = len(spark.read.text(path).inputFiles())
+    good, _ = stream_samples(spark, path, max_files_per_trigger=math.ceil(files / 2))
+    out = run_to_path(good, _scratch(spark, "stream-samples"), _scratch(spark, "stream-lines-ck"), "zstd")
     return out.groupBy(F.try_element_at("metadata", F.lit("lang")).alias("lang")).agg(
         F.count(F.lit(1)).alias("samples"), F.count_distinct("sample_id").alias("ids"))
 

@@ -88,6 +88,30 @@ def test_streams_are_fed_by_files_that_grow_in_number(spark, tables, written, qu
     assert len(files(written[folder])) > few
 
 
+def test_lines_that_come_three_times_take_the_room_of_one(spark, tables, written):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 40").coalesce(2)
+    more = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.sha2(F.concat("text", k.cast("string")), 256))
+    docs = docs.withColumn("text", F.concat("text", F.array_join(more, " ")))
+    docs.write.parquet(f"{tables}/long/documents.parquet")
+    spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tables}/long/benchmark.parquet")
+    rows = E.q_stream_line_ids(spark, f"{tables}/long").collect()
+    assert sorted(map(tuple, rows)) == [("de", 60, 60), ("en", 60, 60)]
+    texts = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    # a line holds its text twice, and so does a sample
+    assert sum(files(written["stream-lines"])) < 2 * texts
+    assert sum(files(written["stream-samples"])) < 2 * texts
+    # a line's copies are not parted
+    counts = spark.read.text(written["stream-lines"]).groupBy(F.input_file_name(), "value").count()
+    assert [r["count"] for r in counts.collect()] == [3] * 40
+
+
+def test_a_stream_of_no_lines(spark, tables, written):
+    spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 0").write.parquet(f"{tables}/none/documents.parquet")
+    spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tables}/none/benchmark.parquet")
+    assert E.q_stream_line_ids(spark, f"{tables}/none").count() == 0
+
+
 def test_the_judge_stage_moves_samples_not_prompts(spark, tables, scratch, monkeypatch):
     from ragscope.operators import cache as C
     from ragscope.operators import score as SC

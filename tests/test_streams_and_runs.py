@@ -1,5 +1,6 @@
 """Streams, stored runs, reports, rejects and progress."""
 
+import gzip
 import json
 import os
 from datetime import datetime
@@ -41,6 +42,52 @@ def test_equal_lines_of_a_file_have_own_ids(spark, scratch):
     assert len(again) == 6 and len(set(again)) == 6 and first < set(again)
 
 
+@pytest.mark.parametrize("read", ["whole", "split", "dealt out", "compressed"])
+def test_ids_do_not_depend_on_how_a_file_is_read(spark, scratch, monkeypatch, read):
+    folder, before = os.path.join(scratch, "in"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    os.mkdir(folder)
+    line = lambda i: json.dumps({"query": f"q{i}", "context": ["c" * 200], "answer": f"a{i}"})
+    times = {i: 1 + i % 4 for i in range(200)}  # equal lines stand far apart
+    lines = [line(i) for k in range(4) for i in times if k < times[i]] + ["no JSON"] * 3
+    for name in ("a", "b"):
+        if read == "compressed":
+            with gzip.open(f"{folder}/{name}.txt.gz", "wt") as f:
+                f.write("\n".join(lines))
+        else:
+            with open(f"{folder}/{name}.txt", "w") as f:
+                f.write("\n".join(lines))
+    if read == "dealt out":
+        monkeypatch.setattr(ST, "WHOLE_BYTES", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k" if read in ("split", "compressed") else before)
+    try:
+        good, bad = ST.stream_samples(spark, folder)
+        got = ST.run_to_path(good, f"{scratch}/rows", f"{scratch}/ck").select("sample_id", "answer")
+        rejects = ST.run_to_path(bad, f"{scratch}/bad", f"{scratch}/bad-ck")
+        files = [r[0] for r in rejects.select("file").distinct().collect()]
+        wanted = spark.createDataFrame([(f, line(i), f"a{i}", k) for f in files for i in times for k in range(times[i])],
+                                       "file string, line string, answer string, seq long")
+        wanted = wanted.select(F.xxhash64("file", "line", "seq").alias("sample_id"), "answer")
+        assert len(files) == 2 and rejects.count() == 6
+        assert sorted(got.collect()) == sorted(wanted.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_of_whole_files_are_not_moved(spark, scratch):
+    folder = os.path.join(scratch, "in")
+    os.mkdir(folder)
+    for name in ("a", "b"):
+        with open(f"{folder}/{name}.txt", "w") as f:
+            f.writelines(json.dumps({"query": os.urandom(400).hex(), "context": [], "answer": "a"}) + "\n" for _ in range(1000))
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {f.getName(): f.length() for f in (blocks.getAllFiles().apply(i) for i in range(blocks.getAllFiles().size()))}
+    before = kept()
+    good, _ = ST.stream_samples(spark, folder)
+    assert ST.run_to_path(good, f"{scratch}/rows", f"{scratch}/ck").count() == 2000
+    lines = sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder))
+    assert sum(n for f, n in kept().items() if f not in before) < lines / 10
+
+
 def test_given_ids_reject_lines_without_one(spark, scratch):
     folder = os.path.join(scratch, "in")
     os.mkdir(folder)
